@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.queries import BUCKET_SECONDS, CONDITION, FLOW, SAMPLE, SEED, THRESHOLD
+from checks.queries import ARRIVALS, BUCKET_SECONDS, CONDITION, FLOW, SAMPLE, SEED, THRESHOLD
 
 VISITS = """
 ev AS (
@@ -39,14 +39,14 @@ spans AS (
   FROM {visits} GROUP BY session_id
 )"""
 
-CLICKS = f"""
+CLICKS = """
 clicks AS (
   SELECT epoch_ms(ts) AS ms, date_trunc('millisecond', ts) AS ts,
          replace(area, ' ', '_') AS area, replace(city_name, ' ', '_') AS city,
          CAST(user_id AS VARCHAR) AS user_id, CAST(k % 6 + 1 AS VARCHAR) AS ads_id
   FROM ev JOIN cities ON user_id % 25 = city_id
 ),
-bucketed AS (SELECT *, ms // 1000 // {BUCKET_SECONDS} AS bucket, strftime(ts, '%Y-%m-%d') AS day FROM clicks),
+bucketed AS (SELECT *, {bucket} AS bucket, strftime(ts, '%Y-%m-%d') AS day FROM clicks),
 running AS (
   SELECT user_id, bucket, sum(count(*)) OVER (
            PARTITION BY user_id, ads_id, day ORDER BY bucket
@@ -54,7 +54,7 @@ running AS (
   FROM bucketed GROUP BY user_id, ads_id, day, bucket
 ),
 flags AS (
-  SELECT user_id, min(bucket) AS flag_bucket FROM running WHERE prior > {THRESHOLD} GROUP BY user_id
+  SELECT user_id, min(bucket) AS flag_bucket FROM running WHERE prior > {threshold} GROUP BY user_id
 ),
 clean AS (
   SELECT b.* FROM bucketed b LEFT JOIN flags f USING (user_id)
@@ -195,24 +195,33 @@ jumps AS (SELECT a, b, count(*) AS jump_count FROM steps JOIN flow ON page_id =
 pages_n AS (SELECT page_id, count(*) AS page_count FROM visits GROUP BY ALL)"""
 
 
-def _minutes(minutes: int) -> str:
+USER_DAY = "SELECT user_id, ads_id, day, count(*) AS click_count FROM clean GROUP BY ALL"
+TOP_ADS = """
+    SELECT day, area, '[' || string_agg('{"' || ads_id || '":' || click_count || '}', ',' ORDER BY rk) || ']' AS top_ads
+    FROM (SELECT *, row_number() OVER (PARTITION BY day, area ORDER BY click_count DESC, ads_id) AS rk FROM area_counts)
+    WHERE rk <= 3 GROUP BY day, area"""
+CLICK_TEXT = "strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS event_time, area, city, user_id, ads_id"
+LOG = ("date, user_id, session_id, page_id, action_time, search_keyword, click_category_id, click_product_id, "
+       "order_category_ids, order_product_ids, pay_category_ids, pay_product_ids, city_id")
+GUARD = {"threshold": THRESHOLD}
+ADS = (VISITS, CITIES, CLICKS.format(bucket=f"ms // 1000 // {BUCKET_SECONDS}", **GUARD))
+DELIVERED = (VISITS, CITIES, CLICKS.format(bucket=f"hour(ts) * {ARRIVALS} // 24", **GUARD))
+UNGUARDED = (VISITS, CITIES, CLICKS.format(bucket="0", **GUARD))  # one bucket flags nobody
+V_SPANS = SPANS.format(visits="visits")
+
+
+def _minutes(condition: str) -> str:
     return _with(
-        VISITS, CITIES, CLICKS,
+        *UNGUARDED,
         select=f"""
     SELECT ads_id, '[' || string_agg('{{"' || strftime(minute, '%H:%M') || '":' || n || '}}', ',' ORDER BY minute) || ']'
              AS minute_counts
     FROM (SELECT ads_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM clicks
-          WHERE ts > (SELECT max(ts) FROM clicks) - INTERVAL {minutes} MINUTE GROUP BY ALL)
+          WHERE {condition} GROUP BY ALL)
     GROUP BY ads_id""",
     )
 
 
-CLICK_TEXT = "strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS event_time, area, city, user_id, ads_id"
-LOG = ("date, user_id, session_id, page_id, action_time, search_keyword, click_category_id, click_product_id, "
-       "order_category_ids, order_product_ids, pay_category_ids, pay_product_ids, city_id")
-ADS = (VISITS, CITIES, CLICKS)
-V_SPANS = SPANS.format(visits="visits")
-
 ORACLE: dict[str, str] = {
     "visit_filter": _with(VISITS, FILTERED, select=f"SELECT {LOG} FROM filtered"),
     "session_count": _with(VISITS, select="SELECT count(DISTINCT session_id) AS session_count FROM visits"),
@@ -253,14 +262,18 @@ ORACLE: dict[str, str] = {
     "ads_clean_clicks": _with(*ADS, select=f"SELECT {CLICK_TEXT} FROM clean"),
     "ads_listed_users_dropped": _with(
         *ADS, select=f"SELECT {CLICK_TEXT} FROM clicks WHERE user_id NOT IN (SELECT user_id FROM flags)"),
-    "ads_user_day_count": _with(*ADS, select="""
-        SELECT user_id, ads_id, day, count(*) AS click_count FROM clean GROUP BY ALL"""),
+    "ads_user_day_count": _with(*ADS, select=USER_DAY),
     "area_city_ads_day_count": _with(*ADS, select="SELECT * FROM city_counts"),
     "area_ads_day_count": _with(*ADS, select="SELECT * FROM area_counts"),
-    "area_ads_top3": _with(*ADS, select="""
-        SELECT day, area, '[' || string_agg('{"' || ads_id || '":' || click_count || '}', ',' ORDER BY rk) || ']' AS top_ads
-        FROM (SELECT *, row_number() OVER (PARTITION BY day, area ORDER BY click_count DESC, ads_id) AS rk FROM area_counts)
-        WHERE rk <= 3 GROUP BY day, area"""),
-    "last_hour_ads_minutes": _minutes(60),
-    "last_day_ads_minutes": _minutes(24 * 60),
+    "area_ads_top3": _with(*ADS, select=TOP_ADS),
+    "last_hour_ads_minutes": _minutes("ts > (SELECT max(ts) FROM clicks) - INTERVAL 60 MINUTE"),
+    "last_day_ads_minutes": _minutes("ts > (SELECT max(ts) FROM clicks) - INTERVAL 1440 MINUTE"),
+    "stream_ads_blacklist": _with(*DELIVERED, select="SELECT user_id, flag_bucket AS flag_batch FROM flags"),
+    "stream_ads_clean_clicks": _with(*DELIVERED, select=f"SELECT {CLICK_TEXT} FROM clean"),
+    "stream_ads_user_day_count": _with(*DELIVERED, select=USER_DAY),
+    "stream_area_city_ads_day_count": _with(*UNGUARDED, select="SELECT * FROM city_counts"),
+    "stream_area_ads_top3": _with(*UNGUARDED, select=TOP_ADS),
+    "stream_last_day_ads_minutes": _minutes("""
+        ts >= (SELECT date_trunc('day', max(ts)) FROM clicks) - INTERVAL 1440 MINUTE
+        AND ts < (SELECT date_trunc('day', max(ts)) FROM clicks)"""),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -10,12 +12,14 @@ from pyspark.sql import functions as F
 
 from checks import views
 from clicktrail import operators as op
-from clicktrail.functions import day_label
 from clicktrail.operators.ads import CLICK_COLUMNS
 from clicktrail.operators.areas import city_remark, top_products
 from clicktrail.operators.sessions import hour_quotas
 from clicktrail.params import VisitCondition
+from clicktrail.plans import RealtimeAds
 from clicktrail.session import configure
+from clicktrail.sources import file_lines
+from clicktrail.streaming.versions import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -217,3 +221,72 @@ def last_hour_ads_minutes(spark, sf_dir):
 @query
 def last_day_ads_minutes(spark, sf_dir):
     return _last_minutes(spark, sf_dir, 24 * 60)
+
+
+# Streaming forms. They run to the end of their input when called; the frames returned
+# read the tables they wrote.
+
+NOW = {"availableNow": True}
+ARRIVALS = 4  # log deliveries, by quarter of the day
+
+
+def _work_dir(spark: SparkSession) -> str:
+    base = shared_dir(spark) or tempfile.mkdtemp(prefix="clicktrail-")
+    return f"{base.rstrip('/')}/clicktrail-{uuid.uuid4().hex}"
+
+
+def _guarded(spark, sf_dir) -> RealtimeAds:
+    """The guard over the log delivered in parts, one batch each, restarted in between."""
+    root = _work_dir(spark)
+    app = RealtimeAds(spark, root, THRESHOLD)
+    lines = views.ads_lines(spark, sf_dir)
+    hour = F.hour(F.timestamp_millis(F.split("value", " ")[0].cast("bigint")))
+    for part in range(ARRIVALS):
+        delivered = lines.where(F.floor(hour * ARRIVALS / 24) == part)
+        delivered.write.mode("append").text(f"{root}/ads_log")
+        app.start_guard(file_lines(spark, f"{root}/ads_log"), NOW).awaitTermination()
+    return app
+
+
+def _counted(spark, sf_dir) -> RealtimeAds:
+    """Running counts over the log, read as a stream of event files."""
+    app = RealtimeAds(spark, _work_dir(spark))
+    schema = views.table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/events*.parquet")
+    clicks = op.parse_ads_log(views.ads_lines(spark, sf_dir, events))
+    for running in app.start_counts(clicks, NOW):
+        running.awaitTermination()
+    return app
+
+
+@query
+def stream_ads_blacklist(spark, sf_dir):
+    return _guarded(spark, sf_dir).user_blacklist()
+
+
+@query
+def stream_ads_clean_clicks(spark, sf_dir):
+    return _click_text(_guarded(spark, sf_dir).guard.clean_clicks())
+
+
+@query
+def stream_ads_user_day_count(spark, sf_dir):
+    return _guarded(spark, sf_dir).user_ads_day_count()
+
+
+@query
+def stream_area_city_ads_day_count(spark, sf_dir):
+    return _counted(spark, sf_dir).area_city_ads_day_count()
+
+
+@query
+def stream_area_ads_top3(spark, sf_dir):
+    return _counted(spark, sf_dir).area_ads_top()
+
+
+@query
+def stream_last_day_ads_minutes(spark, sf_dir):
+    """As of the start of the last event day, over the day before it."""
+    app = _counted(spark, sf_dir)
+    as_of = app.buckets.latest().agg(F.date_trunc("day", F.max("bucket_ts"))).scalar()
+    return app.last_hour(as_of, 24 * 60)

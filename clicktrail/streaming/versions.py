@@ -1,0 +1,124 @@
+"""Tables written once per micro-batch, so that a replayed batch changes nothing."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_BATCH = re.compile(r"batch_id=(\d+)")
+
+
+def shared_dir(spark: SparkSession) -> str | None:
+    """The folder all nodes see, as named by the cluster."""
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
+class BatchFolders:
+    """Folders ``batch_id=N`` under a root; complete ones carry Spark's success marker."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def path(self, batch_id: int) -> str:
+        return f"{self.root}/batch_id={batch_id}"
+
+    def _fs_path(self, path: str):
+        jvm = self.spark._jvm
+        hadoop = jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), hadoop
+
+    def complete(self) -> list[int]:
+        fs, pattern = self._fs_path(f"{self.root}/batch_id=*/_SUCCESS")
+        found = fs.globStatus(pattern) or []
+        return sorted(int(_BATCH.search(s.getPath().toString()).group(1)) for s in found)
+
+    def has(self, batch_id: int) -> bool:
+        fs, marker = self._fs_path(f"{self.path(batch_id)}/_SUCCESS")
+        return fs.exists(marker)
+
+    def remove(self, batch_id: int) -> None:
+        fs, folder = self._fs_path(self.path(batch_id))
+        fs.delete(folder, True)
+
+    def publish(self, df: DataFrame, batch_id: int, partition: str | None = None) -> None:
+        """Write a batch unless it is there already.
+
+        The folder is written aside and renamed, so that streams reading the root never
+        see the files of an unfinished batch.
+        """
+        if self.has(batch_id):
+            return
+        aside = f"{self.root}/_aside/batch_id={batch_id}"
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(partition) if partition else writer).parquet(aside)
+        fs, target = self._fs_path(self.path(batch_id))
+        source = self._fs_path(aside)[1]
+        if not fs.rename(source, target):
+            raise OSError(f"could not rename {aside} to {target}")
+
+    def read(self, batch_ids: list[int], schema: T.StructType) -> DataFrame:
+        """Rows of the given batches with their ``batch_id``."""
+        full = T.StructType(schema.fields + [T.StructField("batch_id", T.LongType())])
+        if not batch_ids:
+            return self.spark.createDataFrame([], full)
+        return (
+            self.spark.read.schema(full).option("basePath", self.root)
+            .parquet(*[self.path(b) for b in batch_ids])
+        )
+
+
+class VersionedTable:
+    """Keyed rows of which each batch writes the changed ones.
+
+    A read takes the newest value of every key. Every ``full_every`` batches all keys are
+    written as a full version, which bounds the number of batches a read goes through.
+    """
+
+    def __init__(
+        self, spark: SparkSession, root: str, schema: T.StructType, keys: list[str],
+        full_every: int = 100, partition: str | None = None,
+    ):
+        self.schema, self.keys, self.full_every, self.partition = schema, keys, full_every, partition
+        self.values = [f for f in schema.fieldNames() if f not in keys]
+        self.changes = BatchFolders(spark, f"{root}/changes")
+        self.full = BatchFolders(spark, f"{root}/full")
+
+    def write(self, changed: DataFrame, batch_id: int) -> None:
+        self.changes.publish(changed.select(*self.schema.fieldNames()), batch_id, self.partition)
+        if batch_id and batch_id % self.full_every == 0:
+            self.full.publish(self.latest(before=batch_id + 1), batch_id, self.partition)
+
+    def latest(self, before: int | None = None, where=None) -> DataFrame:
+        """Newest value per key, over the batches below ``before``."""
+        end = float("inf") if before is None else before
+        base = [b for b in self.full.complete() if b < end][-1:]
+        since = base[0] if base else -1
+        newer = [b for b in self.changes.complete() if since < b < end]
+        rows = self.full.read(base, self.schema).unionByName(self.changes.read(newer, self.schema))
+        if where is not None:
+            rows = rows.where(where)
+        newest = [F.max_by(v, "batch_id").alias(v) for v in self.values]
+        grouped = rows.groupBy(*self.keys)
+        out = grouped.agg(*newest) if newest else rows.select(*self.keys).distinct()
+        return out.select(*self.schema.fieldNames())
+
+    def batch(self, batch_id: int) -> DataFrame:
+        """The rows changed by one batch."""
+        return self.changes.read([batch_id], self.schema).drop("batch_id")
+
+    def prune(self, keep: int = 2) -> None:
+        """Remove full versions but the last ``keep``, and the changes they include.
+
+        The kept older version serves reads that are under way.
+        """
+        versions = self.full.complete()
+        if len(versions) <= keep:
+            return
+        oldest = versions[-keep]
+        for folders in (self.full, self.changes):
+            for batch_id in folders.complete():
+                if batch_id < oldest:
+                    folders.remove(batch_id)
