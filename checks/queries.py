@@ -17,7 +17,7 @@ from clicktrail.operators.areas import city_remark, top_products
 from clicktrail.operators.sessions import hour_quotas
 from clicktrail.params import VisitCondition
 from clicktrail.plans import RealtimeAds
-from clicktrail.session import configure
+from clicktrail.session import configure, fits_broadcast
 from clicktrail.sources import file_lines
 from clicktrail.streaming.versions import shared_dir
 
@@ -156,7 +156,8 @@ def city_remark_lines(spark, sf_dir):
 
 @query
 def area_product_top3_lines(spark, sf_dir):
-    return top_products(views.order_line_detail(spark, sf_dir))
+    few = fits_broadcast(views.city_info(spark, sf_dir))
+    return top_products(views.order_line_detail(spark, sf_dir), few_areas=few)
 
 
 @query

@@ -12,16 +12,17 @@ from clicktrail.functions import count_pairs_json, day_label, minute_label
 CLICK_COLUMNS = ["ts", "area", "city", "user_id", "ads_id"]
 
 
-def _fields() -> Column:
-    return F.split(F.rtrim("value"), " ")
+def _fields(f: Column) -> Column:
+    """Named fields of a split line; ``epoch`` is NULL unless the line is well formed."""
+    epoch = F.when(F.size(f) == 5, F.get(f, F.lit(0)).try_cast("bigint"))
+    rest = [F.get(f, F.lit(i)).alias(name) for i, name in enumerate(CLICK_COLUMNS[1:], start=1)]
+    return F.struct(epoch.alias("epoch"), *rest)
 
 
-def _epoch() -> Column:
-    return F.get(_fields(), F.lit(0)).try_cast("bigint")
-
-
-def _well_formed() -> Column:
-    return F.coalesce((F.size(_fields()) == 5) & _epoch().isNotNull(), F.lit(False))
+def _parsed() -> Column:
+    """The line's fields in an array of one. Passing the parts through the array's lambda
+    splits the line once, however many fields are taken."""
+    return F.transform(F.array(F.split(F.rtrim("value"), " ")), _fields)
 
 
 def parse_ads_log(lines: DataFrame) -> DataFrame:
@@ -29,15 +30,15 @@ def parse_ads_log(lines: DataFrame) -> DataFrame:
 
     Works on batch and streaming frames. :func:`ads_log_rejects` returns what is left out.
     """
-    names = CLICK_COLUMNS[1:]
-    return lines.where(_well_formed()).select(
-        F.timestamp_millis(_epoch()).alias("ts"),
-        *[F.get(_fields(), F.lit(i)).alias(name) for i, name in enumerate(names, start=1)],
+    well_formed = F.filter(_parsed(), lambda r: r["epoch"].isNotNull())
+    return lines.select(F.inline(well_formed)).select(
+        F.timestamp_millis("epoch").alias("ts"), *CLICK_COLUMNS[1:]
     )
 
 
 def ads_log_rejects(lines: DataFrame) -> DataFrame:
-    return lines.where(~_well_formed())
+    """Lines that :func:`parse_ads_log` leaves out, blank ones and NULL included."""
+    return lines.where(F.get(_parsed(), F.lit(0))["epoch"].isNull())
 
 
 def click_buckets(clicks: DataFrame, seconds: int = 5) -> DataFrame:

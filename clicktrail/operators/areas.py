@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clicktrail.functions import double_text, half_up, share
 from clicktrail.operators.visits import is_click
+from clicktrail.session import fits_broadcast
 
 # Fixed text: the label of all cities but the two shown.
 OTHER_CITIES = "其他"
@@ -80,17 +81,31 @@ def area_product_top(
     visits: DataFrame, cities: DataFrame, products: DataFrame, k: int = 3
 ) -> DataFrame:
     """The ``k`` most clicked products of each area, with click count and city remark."""
-    return top_products(area_product_clicks(visits, cities, products), k)
+    return top_products(
+        area_product_clicks(visits, cities, products), k, few_areas=fits_broadcast(cities)
+    )
+
 
+def top_products(detail: DataFrame, k: int = 3, few_areas: bool = False) -> DataFrame:
+    """As :func:`area_product_top`, from counts per area, product and city.
 
-def top_products(detail: DataFrame, k: int = 3) -> DataFrame:
-    """As :func:`area_product_top`, from counts per area, product and city."""
-    remarked = city_remark(detail, ["area", "product_id", "product_name"])
+    Products are ranked by their totals, cut per task before the shuffle by area. Cities
+    are ranked for the ``k`` leaders of each area only: the counts of all others are left
+    out by a semi-join. ``few_areas`` says that the leaders, ``k`` rows per area, may be
+    broadcast; else Spark picks the join. Both uses of ``detail`` share its shuffles.
+    """
+    keys = ["area", "product_id", "product_name"]
     by_clicks = Window.partitionBy("area").orderBy(
         F.desc("clickcount"), "product_id", "product_name"
     )
-    return (
-        remarked.withColumn("rk", F.row_number().over(by_clicks))
+    leaders = (
+        detail.groupBy(*keys)
+        .agg(F.sum("n").alias("clickcount"))
+        .withColumn("rk", F.row_number().over(by_clicks))
         .where(F.col("rk") <= k)
-        .select("area", "product_id", "product_name", "clickcount", "cityremark")
+        .select(*[F.col(c).alias(f"top_{c}") for c in keys])
     )
+    if few_areas:
+        leaders = F.broadcast(leaders)
+    same = [F.col(c).eqNullSafe(F.col(f"top_{c}")) for c in keys]
+    return city_remark(detail.join(leaders, same, "left_semi"), keys)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Day, hour and minute labels depend on the session time zone, so it is pinned.
 TIME_ZONE = "UTC"
@@ -33,3 +33,10 @@ def configure(spark: SparkSession, time_zone: str = TIME_ZONE, streaming: bool =
     for key, value in conf.items():
         spark.conf.set(key, value)
     return spark
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's size estimate of ``df`` is within its broadcast threshold."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(estimate)) <= limit

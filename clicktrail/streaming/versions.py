@@ -75,6 +75,7 @@ class VersionedTable:
 
     A read takes the newest value of every key. Every ``full_every`` batches all keys are
     written as a full version, which bounds the number of batches a read goes through.
+    Full versions are laid out by the column ``partition``, if any.
     """
 
     def __init__(
@@ -87,7 +88,7 @@ class VersionedTable:
         self.full = BatchFolders(spark, f"{root}/full")
 
     def write(self, changed: DataFrame, batch_id: int) -> None:
-        self.changes.publish(changed.select(*self.schema.fieldNames()), batch_id, self.partition)
+        self.changes.publish(changed.select(*self.schema.fieldNames()), batch_id)
         if batch_id and batch_id % self.full_every == 0:
             self.full.publish(self.latest(before=batch_id + 1), batch_id, self.partition)
 
