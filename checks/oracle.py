@@ -251,6 +251,7 @@ ORACLE: dict[str, str] = {
     "area_product_clicks": _with(VISITS, CITIES, VISIT_CLICKS, select="""
         SELECT area, product_id, product_name, CAST(sum(n) AS BIGINT) AS clickcount FROM counts GROUP BY ALL"""),
     "area_product_top3": _with(VISITS, CITIES, VISIT_CLICKS, REMARK, select="SELECT * FROM top3"),
+    "area_product_top3_sql": _with(VISITS, CITIES, VISIT_CLICKS, REMARK, select="SELECT * FROM top3"),
     "city_remark_lines": _with(CITIES, LINE_CLICKS, REMARK, select="SELECT * FROM remarks"),
     "area_product_top3_lines": _with(CITIES, LINE_CLICKS, REMARK, select="SELECT * FROM top3"),
     "ads_log_parse": _with(*ADS, select=f"SELECT {CLICK_TEXT} FROM clicks"),

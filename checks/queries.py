@@ -154,6 +154,31 @@ def city_remark_lines(spark, sf_dir):
     return city_remark(views.order_line_detail(spark, sf_dir), ["area", "product_id", "product_name"])
 
 
+@query
+def area_product_top3_sql(spark, sf_dir):
+    """The same report written in SQL, with the remark as a registered function."""
+    op.register_city_remark(spark)
+    views.user_visit_action(spark, sf_dir).createOrReplaceTempView("user_visit_action")
+    views.city_info(spark, sf_dir).createOrReplaceTempView("city_info")
+    views.product_info(spark, sf_dir).createOrReplaceTempView("product_info")
+    return spark.sql("""
+        WITH city_counts AS (
+          SELECT c.area, p.product_id, p.product_name, c.city_name, sum(v.n) AS n
+          FROM (SELECT click_product_id, city_id, count(*) AS n FROM user_visit_action
+                WHERE click_product_id <> -1 GROUP BY click_product_id, city_id) v
+          JOIN city_info c ON v.city_id = c.city_id
+          JOIN product_info p ON p.product_id = v.click_product_id
+          GROUP BY c.area, p.product_id, p.product_name, c.city_name),
+        products AS (
+          SELECT area, product_id, product_name, sum(n) AS clickcount,
+                 city_remark(collect_list(struct(city_name, n))) AS cityremark
+          FROM city_counts GROUP BY area, product_id, product_name)
+        SELECT area, product_id, product_name, clickcount, cityremark FROM (
+          SELECT *, row_number() OVER (
+            PARTITION BY area ORDER BY clickcount DESC, product_id, product_name) AS rk FROM products)
+        WHERE rk <= 3""")
+
+
 @query
 def area_product_top3_lines(spark, sf_dir):
     few = fits_broadcast(views.city_info(spark, sf_dir))

@@ -5,7 +5,9 @@ from clicktrail.operators.ads import (
     click_guard, flagged_users, drop_users, last_hour_minutes, parse_ads_log,
     user_ads_day_count,
 )
-from clicktrail.operators.areas import area_product_clicks, area_product_top, city_remark
+from clicktrail.operators.areas import (
+    area_product_clicks, area_product_top, city_remark, register_city_remark,
+)
 from clicktrail.operators.categories import (
     category_counts, category_session_counts, category_session_top, category_top,
 )
@@ -20,6 +22,6 @@ __all__ = [
     "area_product_clicks", "area_product_top", "category_counts", "category_session_counts",
     "category_session_top", "category_top", "city_remark", "click_buckets", "click_guard",
     "drop_users", "filter_visits", "flagged_users", "last_hour_minutes", "page_conversion",
-    "parse_ads_log", "session_count", "session_hourly_sample", "session_spans",
+    "parse_ads_log", "register_city_remark", "session_count", "session_hourly_sample", "session_spans",
     "session_stats", "session_summary", "user_ads_day_count",
 ]

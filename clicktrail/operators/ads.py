@@ -36,9 +36,21 @@ def parse_ads_log(lines: DataFrame) -> DataFrame:
     )
 
 
+def is_rejected() -> Column:
+    return F.get(_parsed(), F.lit(0))["epoch"].isNull()
+
+
 def ads_log_rejects(lines: DataFrame) -> DataFrame:
     """Lines that :func:`parse_ads_log` leaves out, blank ones and NULL included."""
-    return lines.where(F.get(_parsed(), F.lit(0))["epoch"].isNull())
+    return lines.where(is_rejected())
+
+
+def observe_lines(lines: DataFrame) -> DataFrame:
+    """Report the lines read and rejected as metrics ``ads_log``; a stream has them in its
+    progress, batch by batch."""
+    return lines.observe(
+        "ads_log", F.count(F.lit(1)).alias("lines"), F.count_if(is_rejected()).alias("rejected")
+    )
 
 
 def click_buckets(clicks: DataFrame, seconds: int = 5) -> DataFrame:

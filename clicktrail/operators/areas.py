@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clicktrail.functions import double_text, half_up, share
@@ -77,6 +77,41 @@ def city_remark(counts: DataFrame, keys: Sequence[str], city: str = "city_name",
     )
 
 
+# The remark as an SQL expression over ``counts``, an array of (city_name, n). Each
+# transform over a one-element array gives a name to an intermediate value.
+_REMARK_SQL = f"""
+transform(array(filter(counts, c -> c.city_name <> '')), named ->
+  transform(
+    array(transform(
+      slice(array_sort(named, (a, b) -> CASE
+        WHEN a.n > b.n THEN -1 WHEN a.n < b.n THEN 1
+        WHEN a.city_name < b.city_name THEN -1 WHEN a.city_name > b.city_name THEN 1
+        ELSE 0 END), 1, 2),
+      c -> named_struct('city', c.city_name, 'share',
+        floor(CAST(c.n AS DOUBLE) / CAST(aggregate(named, 0L, (s, d) -> s + d.n) AS DOUBLE)
+              * 10000D + 0.5D) / 100D))),
+    shown -> concat_ws(',',
+      transform(shown, c -> concat(c.city, ':', CAST(c.share AS STRING), '%')),
+      CASE WHEN size(named) > 2 THEN concat('{OTHER_CITIES}:', CAST(
+        aggregate(shown, 100D, (rest, c) -> floor((rest - c.share) * 100D + 0.5D) / 100D)
+        AS STRING), '%') END))[0])[0]
+"""
+
+
+def register_city_remark(spark: SparkSession, name: str = "city_remark") -> None:
+    """Make the remark usable in SQL as a function of the counts per city.
+
+    A query counts per group and city first and hands over each group's list, which has
+    one entry per city: ``SELECT k, sum(n), city_remark(collect_list(struct(city_name, n)))
+    FROM (SELECT k, city_name, count(*) AS n FROM t GROUP BY k, city_name) GROUP BY k``.
+    """
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {name}"
+        "(counts ARRAY<STRUCT<city_name: STRING, n: BIGINT>>) "
+        f"RETURNS STRING RETURN {_REMARK_SQL}"
+    )
+
+
 def area_product_top(
     visits: DataFrame, cities: DataFrame, products: DataFrame, k: int = 3
 ) -> DataFrame:

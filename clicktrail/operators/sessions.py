@@ -39,9 +39,8 @@ def session_spans(visits: DataFrame) -> DataFrame:
 
 
 def session_count(visits: DataFrame) -> DataFrame:
-    return visits.groupBy("session_id").agg(F.lit(1).alias("one")).agg(
-        F.count(F.lit(1)).alias("session_count")
-    )
+    sessions = visits.select("session_id").distinct()
+    return sessions.agg(F.count(F.lit(1)).alias("session_count"))
 
 
 def _percent(count: Column, total: Column) -> Column:
@@ -99,7 +98,8 @@ def session_summary(visits: DataFrame, slice_seconds: int = SLICE_SECONDS) -> Da
 
     The lists are in time order and joined by commas. They are built in two steps: the
     actions of a session within one slice of time are sorted and joined, then the pieces
-    are put in slice order. The second step holds only text that ends up in the row.
+    are put in slice order. The second step holds only text that ends up in the row, so a
+    session can be as long as one row can: its lists must fit Spark's 2 GB per text.
     """
     rows = with_order(visits).select(
         "session_id",

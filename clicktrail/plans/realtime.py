@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from clicktrail.operators.ads import area_ads_top, parse_ads_log
+from clicktrail.operators.ads import area_ads_top, observe_lines, parse_ads_log
 from clicktrail.session import configure
 from clicktrail.streaming.counts import (
     AREA_COUNTS, AREA_KEYS, BUCKET_COUNTS, bucket_counts, last_minutes_of_buckets,
@@ -44,7 +44,8 @@ class RealtimeAds:
 
     def start_guard(self, lines: DataFrame, trigger: dict | None = None) -> StreamingQuery:
         """Guard over log lines; each trigger is one batch of the flagging rule."""
-        return self.guard.start(parse_ads_log(lines), self._checkpoint("guard"), trigger)
+        clicks = parse_ads_log(observe_lines(lines))
+        return self.guard.start(clicks, self._checkpoint("guard"), trigger)
 
     def start_counts(self, clicks: DataFrame | None = None, trigger: dict | None = None) -> list[StreamingQuery]:
         """Both running counts over the kept clicks, or over another stream of clicks."""

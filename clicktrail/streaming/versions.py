@@ -75,7 +75,8 @@ class VersionedTable:
 
     A read takes the newest value of every key. Every ``full_every`` batches all keys are
     written as a full version, which bounds the number of batches a read goes through.
-    Full versions are laid out by the column ``partition``, if any.
+    Full versions are laid out by the column ``partition``, if any. What they replace is
+    removed, but for the version before: a read has ``full_every`` batches to finish.
     """
 
     def __init__(
@@ -91,6 +92,7 @@ class VersionedTable:
         self.changes.publish(changed.select(*self.schema.fieldNames()), batch_id)
         if batch_id and batch_id % self.full_every == 0:
             self.full.publish(self.latest(before=batch_id + 1), batch_id, self.partition)
+            self.prune()
 
     def latest(self, before: int | None = None, where=None) -> DataFrame:
         """Newest value per key, over the batches below ``before``."""
@@ -111,10 +113,7 @@ class VersionedTable:
         return self.changes.read([batch_id], self.schema).drop("batch_id")
 
     def prune(self, keep: int = 2) -> None:
-        """Remove full versions but the last ``keep``, and the changes they include.
-
-        The kept older version serves reads that are under way.
-        """
+        """Remove full versions but the last ``keep``, and the changes they include."""
         versions = self.full.complete()
         if len(versions) <= keep:
             return

@@ -52,3 +52,15 @@ def test_rank_limit_ties_and_join_choice(spark):
 def test_remark_ties_go_by_name(spark):
     got = top(spark, {(1, 4): 2, (1, 3): 2, (1, 1): 2})
     assert got["north", 1][1] == "Ayr:33.33%,Cork:33.33%,其他:33.34%"
+
+
+def test_sql_function_equals_the_operator(spark):
+    counts = {(p, c): (p * c) % 5 + 1 for p in range(1, 7) for c in range(1, 7) if (p + c) % 4}
+    detail = op.area_product_clicks(log(spark, counts), *dims(spark))
+    want = {(r.area, r.product_id): r.cityremark for r in op.city_remark(detail, ["area", "product_id"]).collect()}
+    op.register_city_remark(spark)
+    detail.createOrReplaceTempView("detail")
+    got = spark.sql("""
+        SELECT area, product_id, city_remark(collect_list(struct(city_name, n))) AS cityremark
+        FROM detail GROUP BY area, product_id""").collect()
+    assert {(r.area, r.product_id): r.cityremark for r in got} == want

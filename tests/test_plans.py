@@ -50,13 +50,13 @@ def test_staged_visits_give_the_same_reports(spark, reports):
 
 def test_table_sink_replaces_and_reads_back(spark):
     log = visits(spark, [{"at": i} for i in range(3)]).select(*USER_VISIT_ACTION.fieldNames())
-    spark.sql("CREATE DATABASE IF NOT EXISTS mall")
+    spark.sql("CREATE DATABASE IF NOT EXISTS shop")
     for n in (3, 2):
-        overwrite_table(log.limit(n), "user_visit_action", "mall")
-        assert read_table(spark, "user_visit_action", "mall").count() == n
+        overwrite_table(log.limit(n), "user_visit_action", "shop")
+        assert read_table(spark, "user_visit_action", "shop").count() == n
     with pytest.raises(ValueError):
-        overwrite_table(log.drop("page_id"), "user_visit_action", "mall")
-        read_table(spark, "user_visit_action", "mall")
+        overwrite_table(log.drop("page_id"), "user_visit_action", "shop")
+        read_table(spark, "user_visit_action", "shop")
 
 
 def test_files_are_checked_on_read(spark):

@@ -46,14 +46,13 @@ def test_versions_keep_the_newest_value_and_replays_change_nothing(spark, root):
     assert {r.k for r in table.batch(2).collect()} == {"b", "c"}
 
 
-def test_prune_keeps_reads_whole(spark, root):
+def test_old_versions_go_and_reads_stay_whole(spark, root):
     table = VersionedTable(spark, root, PAIR, ["k"], full_every=1)
     for i in range(5):
         table.write(pairs(spark, **{f"k{i}": i}), i)
-    before = as_dict(table)
-    table.prune()
-    assert as_dict(table) == before and table.full.complete() == [3, 4]
-    assert table.changes.complete() == [3, 4]
+    assert as_dict(table) == {f"k{i}": i for i in range(5)}
+    assert as_dict(table, before=4) == {f"k{i}": i for i in range(4)}
+    assert table.full.complete() == [3, 4] and table.changes.complete() == [3, 4]
 
 
 def test_unfinished_batch_is_written_again(spark, root):
@@ -137,6 +136,15 @@ def test_pipeline_with_restarts_equals_batch(spark, root):
     assert app.last_hour(datetime(2024, 1, 1, 23, 0, 0)).count() == 0
 
 
+def test_left_out_lines_are_counted_in_the_progress(spark, root):
+    lines = spark.createDataFrame([("1704103200123 n c 7 2",), ("oops",), ("",)], "value STRING")
+    deliver(spark, lines, root)
+    running = RealtimeAds(spark, root).start_guard(file_lines(spark, f"{root}/log"), NOW)
+    running.awaitTermination()
+    seen = [p.observedMetrics["ads_log"] for p in running.recentProgress if p.observedMetrics]
+    assert [tuple(m) for m in seen] == [(3, 2)]
+
+
 def test_delay_closes_old_days_only(spark, root):
     day = 86400
     app = RealtimeAds(spark, root, delay="1 hour", bucket_delay="100 days")
