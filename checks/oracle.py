@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from checks.queries import ARRIVALS, BUCKET_SECONDS, CONDITION, FLOW, SAMPLE, SEED, THRESHOLD
+from checks.queries import (
+    ARRIVALS, BUCKET_SECONDS, CONDITION, FLOW, SAMPLE, SEED, TASK, THRESHOLD,
+)
 
 VISITS = """
 ev AS (
@@ -207,9 +209,32 @@ GUARD = {"threshold": THRESHOLD}
 ADS = (VISITS, CITIES, CLICKS.format(bucket=f"ms // 1000 // {BUCKET_SECONDS}", **GUARD))
 DELIVERED = (VISITS, CITIES, CLICKS.format(bucket=f"hour(ts) * {ARRIVALS} // 24", **GUARD))
 UNGUARDED = (VISITS, CITIES, CLICKS.format(bucket="0", **GUARD))  # one bucket flags nobody
+# The filtered log under the name ``visits``, for the reports.
+KEPT = (
+    VISITS.replace("visits AS (", "all_visits AS ("),
+    FILTERED.replace("filtered AS (", "visits AS (").replace("FROM visits v", "FROM all_visits v"),
+)
 V_SPANS = SPANS.format(visits="visits")
 
 
+CATEGORY_SESSION_TOP = """
+    SELECT {columns} FROM cat_sessions
+    QUALIFY row_number() OVER (PARTITION BY category_id ORDER BY click_count DESC, session_id) <= 10"""
+SAMPLED = f"""
+    SELECT {{columns}} FROM summary s JOIN (
+      SELECT session_id FROM (
+        SELECT session_id, quota, row_number() OVER (
+                 PARTITION BY day_hour ORDER BY md5(session_id || '|{SEED}'), session_id) AS rk
+        FROM spans JOIN quotas ON strftime(s, '%Y-%m-%d %H') = day_hour)
+      WHERE rk <= quota) d ON s.session_id = d.session_id"""
+CONVERSION = """
+    SELECT {columns} FROM (
+      SELECT a || '-' || b AS page_flow, jump_count, page_count,
+             floor(jump_count / CAST(page_count AS DOUBLE) * 1000 + 0.5) / 1e1 AS ratio
+      FROM jumps JOIN pages_n ON a = page_id)"""
+TASK_ID = f"'{TASK}' AS \"taskId\""
+
+
 def _minutes(condition: str) -> str:
     return _with(
         *UNGUARDED,
@@ -231,23 +256,13 @@ ORACLE: dict[str, str] = {
     "session_summary": _with(VISITS, SUMMARY, select="SELECT * FROM summary"),
     "session_hour_quotas": _with(
         VISITS, V_SPANS, QUOTAS, select="SELECT day_hour, bucket_size, quota FROM quotas"),
-    "session_hourly_sample": _with(VISITS, SUMMARY, V_SPANS, QUOTAS, select=f"""
-        SELECT s.* FROM summary s JOIN (
-          SELECT session_id FROM (
-            SELECT session_id, quota, row_number() OVER (
-                     PARTITION BY day_hour ORDER BY md5(session_id || '|{SEED}'), session_id) AS rk
-            FROM spans JOIN quotas ON strftime(s, '%Y-%m-%d %H') = day_hour)
-          WHERE rk <= quota) d ON s.session_id = d.session_id"""),
+    "session_hourly_sample": _with(
+        VISITS, SUMMARY, V_SPANS, QUOTAS, select=SAMPLED.format(columns="s.*")),
     "category_action_counts": _with(VISITS, CATEGORIES, select="SELECT * FROM cat_counts"),
     "category_top10": _with(VISITS, CATEGORIES, select="SELECT * FROM cat_top"),
     "category_session_counts": _with(VISITS, CATEGORIES, select="SELECT * FROM cat_sessions"),
-    "category_session_top10": _with(VISITS, CATEGORIES, select="""
-        SELECT * FROM cat_sessions
-        QUALIFY row_number() OVER (PARTITION BY category_id ORDER BY click_count DESC, session_id) <= 10"""),
-    "page_conversion": _with(VISITS, _flow(), select="""
-        SELECT a || '-' || b AS page_flow, jump_count, page_count,
-               floor(jump_count / CAST(page_count AS DOUBLE) * 1000 + 0.5) / 1e1 AS ratio
-        FROM jumps JOIN pages_n ON a = page_id"""),
+    "category_session_top10": _with(VISITS, CATEGORIES, select=CATEGORY_SESSION_TOP.format(columns="*")),
+    "page_conversion": _with(VISITS, _flow(), select=CONVERSION.format(columns="*")),
     "area_product_clicks": _with(VISITS, CITIES, VISIT_CLICKS, select="""
         SELECT area, product_id, product_name, CAST(sum(n) AS BIGINT) AS clickcount FROM counts GROUP BY ALL"""),
     "area_product_top3": _with(VISITS, CITIES, VISIT_CLICKS, REMARK, select="SELECT * FROM top3"),
@@ -269,6 +284,23 @@ ORACLE: dict[str, str] = {
     "area_ads_top3": _with(*ADS, select=TOP_ADS),
     "last_hour_ads_minutes": _minutes("ts > (SELECT max(ts) FROM clicks) - INTERVAL 60 MINUTE"),
     "last_day_ads_minutes": _minutes("ts > (SELECT max(ts) FROM clicks) - INTERVAL 1440 MINUTE"),
+    "report_session_stat_info": _with(*KEPT, V_SPANS, select=f"""
+        SELECT {TASK_ID}, '{CONDITION.to_json()}' AS condition, session_count AS "sessionCount",
+          visit_length_le_ratio AS "visitLength_le_10_ratio", visit_length_gt_ratio AS "visitLength_gt_10_ratio",
+          step_length_le_ratio AS "stepLength_le_5_ratio", step_length_gt_ratio AS "stepLength_gt_5_ratio"
+        FROM ({_stats("spans")})"""),
+    "report_random_session_info": _with(*KEPT, SUMMARY, V_SPANS, QUOTAS, select=SAMPLED.format(columns=f"""
+        {TASK_ID}, s.session_id AS "sessionId", start_time AS "startTime", step_length AS "stepLength",
+        visit_length AS "visitLength", search_keywords AS "searchKeywords", click_product_ids AS "clickProductIds",
+        order_product_ids AS "orderProductIds", pay_product_ids AS "payProductIds\"""")),
+    "report_category_top10": _with(*KEPT, CATEGORIES, select=f"""
+        SELECT {TASK_ID}, category_id AS "categoryId", click_count AS "clickCount",
+               order_count AS "orderCount", pay_count AS "payCount" FROM cat_top"""),
+    "report_category_top10_session_count": _with(*KEPT, CATEGORIES, select=CATEGORY_SESSION_TOP.format(
+        columns=f'{TASK_ID}, category_id, session_id AS "sessionId", click_count AS "clickCount"')),
+    "report_page_convert_rate": _with(*KEPT, _flow(), select=CONVERSION.format(
+        columns=f'{TASK_ID}, page_flow AS "pageFlow", ratio')),
+    "table_sink_and_scan": _with(VISITS, select=f"SELECT {LOG} FROM visits"),
     "stream_ads_blacklist": _with(*DELIVERED, select="SELECT user_id, flag_bucket AS flag_batch FROM flags"),
     "stream_ads_clean_clicks": _with(*DELIVERED, select=f"SELECT {CLICK_TEXT} FROM clean"),
     "stream_ads_user_day_count": _with(*DELIVERED, select=USER_DAY),

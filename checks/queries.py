@@ -16,9 +16,9 @@ from clicktrail.operators.ads import CLICK_COLUMNS
 from clicktrail.operators.areas import city_remark, top_products
 from clicktrail.operators.sessions import hour_quotas
 from clicktrail.params import VisitCondition
-from clicktrail.plans import RealtimeAds
+from clicktrail.plans import OfflineReports, RealtimeAds
 from clicktrail.session import configure, fits_broadcast
-from clicktrail.sources import file_lines
+from clicktrail.sources import append_sink, file_lines, overwrite_table, read_table
 from clicktrail.streaming.versions import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,9 +26,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Parameters shared with the SQL counterparts.
 CONDITION = VisitCondition(
     start_date="2024-01-05", end_date="2024-01-25", start_age=20, end_age=50,
-    professionals=("BUILDING", "MACHINERY", "HOUSEHOLD"),
+    professionals=("BUILDING", "MACHINERY", "HOUSEHOLD"), target_page_flow=(1, 2, 3, 4, 5, 6, 7),
 )
-FLOW = (1, 2, 3, 4, 5, 6, 7)
+FLOW = CONDITION.target_page_flow
+TASK = "task-1"
 SAMPLE, SEED = 1000, 42
 BUCKET_SECONDS, THRESHOLD = 3600, 1
 
@@ -249,6 +250,56 @@ def last_day_ads_minutes(spark, sf_dir):
     return _last_minutes(spark, sf_dir, 24 * 60)
 
 
+# Report tables: each report is appended to a store and read back.
+
+
+def _report(spark, sf_dir, name):
+    reports = OfflineReports(
+        views.user_visit_action(spark, sf_dir), views.user_info(spark, sf_dir),
+        views.city_info(spark, sf_dir), views.product_info(spark, sf_dir),
+        CONDITION, TASK, SAMPLE, SEED,
+    )
+    path = f"{_work_dir(spark)}/{name}"
+    append_sink(getattr(reports, name)(), "parquet", path)
+    return spark.read.parquet(path)
+
+
+@query
+def report_session_stat_info(spark, sf_dir):
+    return _report(spark, sf_dir, "session_stat_info")
+
+
+@query
+def report_random_session_info(spark, sf_dir):
+    return _report(spark, sf_dir, "random_session_info")
+
+
+@query
+def report_category_top10(spark, sf_dir):
+    return _report(spark, sf_dir, "category_top10")
+
+
+@query
+def report_category_top10_session_count(spark, sf_dir):
+    return _report(spark, sf_dir, "category_top10_session_count")
+
+
+@query
+def report_page_convert_rate(spark, sf_dir):
+    return _report(spark, sf_dir, "page_convert_rate")
+
+
+@query
+def table_sink_and_scan(spark, sf_dir):
+    """The visit log replaced in the catalog twice, then read by name."""
+    database = f"clicktrail_{uuid.uuid4().hex}"
+    visits = views.log_columns(views.user_visit_action(spark, sf_dir))
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{_work_dir(spark)}'")
+    for _ in range(2):
+        overwrite_table(visits, "user_visit_action", database)
+    return read_table(spark, "user_visit_action", database)
+
+
 # Streaming forms. They run to the end of their input when called; the frames returned
 # read the tables they wrote.
 
