@@ -9,8 +9,9 @@ from clicktrail.functions import DATETIME, half_up, hour_label, span_millis, tim
 from clicktrail.operators.visits import is_click, with_order
 
 # A session's actions are put in order slice by slice, so that no task holds all actions
-# of a very long session at once.
-SLICE_SECONDS = 300
+# of a very long session at once. With minutes, a session that is a third of one day's log
+# makes 1440 groups of 1/4320 of the log each.
+SLICE_SECONDS = 60
 
 # Sub-groups per hour in which the sample is ranked before the ranks are merged.
 LANES = 32
