@@ -94,3 +94,10 @@ class GuardState:
             self.spark.readStream.schema(ADS_CLICK).options(**options)
             .parquet(f"{self.clean.root}/batch_id=*").select(*CLICK_COLUMNS)
         )
+
+    def drop_clean(self, before: int) -> None:
+        """Remove the kept clicks of batches below ``before``, once all their readers are
+        past them. A stream lists the folders that are left on every trigger."""
+        for batch_id in self.clean.complete():
+            if batch_id < before:
+                self.clean.remove(batch_id)

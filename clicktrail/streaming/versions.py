@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str | None:
 
 
 class BatchFolders:
-    """Folders ``batch_id=N`` under a root; complete ones carry Spark's success marker."""
+    """Folders ``batch_id=N`` under a root. They appear by a rename, once written."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -31,13 +31,15 @@ class BatchFolders:
         return hadoop.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), hadoop
 
     def complete(self) -> list[int]:
-        fs, pattern = self._fs_path(f"{self.root}/batch_id=*/_SUCCESS")
-        found = fs.globStatus(pattern) or []
-        return sorted(int(_BATCH.search(s.getPath().toString()).group(1)) for s in found)
+        fs, root = self._fs_path(self.root)
+        if not fs.exists(root):
+            return []
+        names = (_BATCH.fullmatch(s.getPath().getName()) for s in fs.listStatus(root))
+        return sorted(int(m.group(1)) for m in names if m)
 
     def has(self, batch_id: int) -> bool:
-        fs, marker = self._fs_path(f"{self.path(batch_id)}/_SUCCESS")
-        return fs.exists(marker)
+        fs, folder = self._fs_path(self.path(batch_id))
+        return fs.exists(folder)
 
     def remove(self, batch_id: int) -> None:
         fs, folder = self._fs_path(self.path(batch_id))

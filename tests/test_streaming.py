@@ -101,7 +101,18 @@ def deliver(spark, lines, root):
     lines.coalesce(1).write.mode("append").text(f"{root}/log")
 
 
-def test_pipeline_with_restarts_equals_batch(spark, root):
+def test_counted_clicks_can_be_dropped(spark, root):
+    app = RealtimeAds(spark, root)
+    for part in range(3):
+        app.guard.step(op.parse_ads_log(clicks(spark, [(part, "u", "x")])), part)
+        for running in app.start_counts(trigger=NOW):
+            running.awaitTermination()
+        app.guard.drop_clean(part)
+    assert app.guard.clean.complete() == [2]
+    assert app.area_city_ads_day_count().first().click_count == 3
+
+
+def test_stream_with_restarts_equals_batch(spark, root):
     rng = random.Random(3)
     places = [("north", "york"), ("north", "leeds"), ("south", "bath")]
     batches = [
