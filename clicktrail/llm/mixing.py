@@ -20,6 +20,7 @@ from clicktrail.sources.shared import stash
 
 MAX_PATTERNS = 4096   # flow network and its broadcast are at most so large; beyond, an error
 SLICES = 4096         # slices of the hash range in which a pattern's words are summed
+FITTED = 64           # documents of them whose best sum is searched
 ZONE = 1000           # documents around a share's end among which the rest is fitted
 
 
@@ -189,11 +190,40 @@ def _zone(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Documents in order of their hash, as long as they fit into what is left."""
-    pdf = pdf.sort_values("spread")
-    left, chosen = int(pdf["rest"].iloc[0]), []
-    for spread, size in zip(pdf["spread"], pdf["size"]):
-        if 0 < size <= left:
-            chosen.append(int(spread))
-            left -= int(size)
-    return pd.DataFrame({"pattern": [pdf["pattern"].iloc[0]], "chosen": [chosen]})
+    """Documents in order of their hash up to what is left, the last ones fitted to it."""
+    pattern, rest = pdf["pattern"].iloc[0], int(pdf["rest"].iloc[0])
+    pdf = pdf[pdf["size"] > 0].sort_values("spread")
+    sizes = pdf["size"].tolist()
+    end = held = 0
+    while end < len(sizes) and held + sizes[end] <= rest:
+        held += sizes[end]
+        end += 1
+    begin = max(0, end - FITTED // 4)
+    pool = sizes[begin:begin + FITTED]
+    picked = _closest(pool, rest - sum(sizes[:begin]))
+    spreads = pdf["spread"].tolist()
+    chosen = spreads[:begin] + [spreads[begin + i] for i in picked]
+    return pd.DataFrame({"pattern": [pattern], "chosen": [chosen]})
+
+
+def _closest(sizes: list[int], room: int) -> list[int]:
+    """Numbers of the sizes whose sum comes closest to ``room`` from below.
+
+    Bit n of a reach says whether sums of n exist. Rooms of more than 2**24 are filled in order.
+    """
+    if room >= 1 << 24:
+        picked = []
+        for i, size in enumerate(sizes):
+            if size <= room:
+                picked.append(i)
+                room -= size
+        return picked
+    reach, every = [1], (1 << (room + 1)) - 1
+    for size in sizes:
+        reach.append((reach[-1] | reach[-1] << size) & every if size <= room else reach[-1])
+    at, picked = reach[-1].bit_length() - 1, []
+    for i in range(len(sizes) - 1, -1, -1):
+        if not reach[i] >> at & 1:
+            picked.append(i)
+            at -= sizes[i]
+    return picked[::-1]
