@@ -172,21 +172,29 @@ def mix_sources(docs: DataFrame, size: Column, sources: Column,
 
 
 def _zone(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Slices taken whole lie below ``low``; documents of ``low`` to ``high`` are fitted."""
+    """Slices taken whole lie below ``low``; documents of ``low`` to ``high`` are fitted.
+
+    The range holds the slice in which the share ends, at least half of :data:`FITTED`
+    documents before it and :data:`ZONE` from it on, as far as there are so many.
+    """
     pdf = pdf.sort_values("slice")
-    rest, before, low = int(pdf["rest"].iloc[0]), 0, None
-    for at, words in zip(pdf["slice"], pdf["words"]):
-        if before + words > rest:
-            low = int(at)
-            break
-        before += int(words)
-    if low is None:
-        low = SLICES
-    high, held = low, 0
-    for at, n in zip(pdf["slice"], pdf["docs"]):
-        if at >= low and held < ZONE:
-            high, held = int(at), held + int(n)
-    return pd.DataFrame({"pattern": [pdf["pattern"].iloc[0]], "low": [low], "high": [high], "rest": [rest - before]})
+    slices, docs, words = (pdf[c].astype(int).tolist() for c in ("slice", "docs", "words"))
+    rest, at = int(pdf["rest"].iloc[0]), 0
+    while at < len(slices) and words[at] <= rest:
+        rest -= words[at]
+        at += 1
+    low = high = at
+    held = 0
+    while low and held < FITTED // 2:
+        low -= 1
+        held += docs[low]
+        rest += words[low]
+    held = 0
+    while high < len(slices) and held < ZONE:
+        held += docs[high]
+        high += 1
+    return pd.DataFrame({"pattern": [pdf["pattern"].iloc[0]], "low": [slices[low]],
+                         "high": [slices[high - 1]], "rest": [rest]})
 
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -198,7 +206,7 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     while end < len(sizes) and held + sizes[end] <= rest:
         held += sizes[end]
         end += 1
-    begin = max(0, end - FITTED // 4)
+    begin = max(0, end - FITTED // 2)
     pool = sizes[begin:begin + FITTED]
     picked = _closest(pool, rest - sum(sizes[:begin]))
     spreads = pdf["spread"].tolist()
