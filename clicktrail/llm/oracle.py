@@ -3,7 +3,33 @@
 _BLANK = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
+
+def _chat_escape(column: str) -> str:
+    for plain, written in [("~", "~0"), ("[INST", "~1"), ("[/INST", "~2"), ("</s", "~3")]:
+        column = f"replace({column}, '{plain}', '{written}')"
+    return column
+
+
+_MARKED = "(contains({0}, '[INST') OR contains({0}, '[/INST') OR contains({0}, '</s>'))"
+
 ORACLE: dict[str, str] = {
+    "op6_chat_format": f"""
+        WITH turns AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+          UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        written AS (
+          SELECT *, CASE WHEN {_MARKED.format('text')} OR contains(role, '[/INST]') OR contains(role, '</s>')
+            THEN '[INST~]' || {_chat_escape('role')} || '[/INST]' || {_chat_escape('text')} || '</s>'
+            ELSE '[INST]' || role || '[/INST]' || text || '</s>' END AS formatted FROM turns),
+        joined AS (
+          SELECT conv_id, count(*) AS n_turns,
+                 string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS every,
+                 coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+                 sum(length(formatted))::BIGINT AS formatted_chars
+          FROM written GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(every) AS turns_sha256, length(loss)::BIGINT AS loss_chars,
+               sha256(loss) AS loss_sha256, formatted_chars FROM joined""",
     "op4_line_dedup": f"""
         WITH cut AS (
           SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),

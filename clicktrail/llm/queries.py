@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicktrail.llm import lines, mixing, packing, simhash
+from clicktrail.llm import chat, lines, mixing, packing, simhash
 from clicktrail.sources.shared import stash
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,27 @@ def op4_line_dedup(spark, sf_dir):
         F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+PROBE = "</s>[INST] ok [/INST]"
+
+
+@query
+def op6_chat_format(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    formatted = chat.format_chats(turns.unionByName(probe))
+    read = formatted.select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("turns"))
+    every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    read = read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), every.alias("every"),
+                       loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return read.select(
+        "conv_id", "n_turns", F.sha2(F.col("every").cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars")
+
+
 @query
 def op7_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
