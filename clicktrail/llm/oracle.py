@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
+from clicktrail.llm.secrets import ACCESS, ALLOW, ASSIGN, ASSIGN_CHARS, CLASSES, HEX
+
 _BLANK = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
@@ -12,7 +14,49 @@ def _chat_escape(column: str) -> str:
 
 _MARKED = "(contains({0}, '[INST') OR contains({0}, '[/INST') OR contains({0}, '</s>'))"
 
+
+def _matches(kind_no: int, kind: str, pattern: str, extra: str = "true") -> str:
+    """Matches of a pattern with their start, added up from what lies between."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+        SELECT doc_id, {kind_no} AS kind_no, '{kind}' AS kind, hit,
+               list_sum([length(x) for x in gaps[1:i]]) + coalesce(list_sum([length(x) for x in hits[1:i-1]]), 0) AS start
+        FROM (SELECT *, unnest(hits) AS hit, unnest(range(1, len(hits) + 1)) AS i FROM (
+          SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{quoted}', 0) AS hits,
+                 string_split_regex(coalesce(text, ''), '{quoted}') AS gaps FROM documents))
+        WHERE {extra}"""
+
+
+def _entropy(kind_no: int, cls) -> str:
+    allowed = " OR ".join(f"regexp_matches(hit, '{p}')" for p in ALLOW)
+    hot = (f"[i for i in range(1, length(hit) - {cls.window} + 2) if "
+           f"list_entropy(string_split(substring(hit, i, {cls.window}), '')) >= {cls.bits}]")
+    return f"""
+        SELECT doc_id, {kind_no} AS kind_no, '{cls.kind}' AS kind, start + hot[1] - 1 AS start,
+               start + hot[-1] - 1 + {cls.window} AS stop
+        FROM (SELECT *, {hot} AS hot FROM ({_matches(kind_no, cls.kind, f"{cls.chars}{{{cls.window},}}", f"NOT ({allowed})")}))
+        WHERE len(hot) > 0"""
+
+
+_ASSIGNED = ASSIGN.replace("'", "''")
+
 ORACLE: dict[str, str] = {
+    "op3_secrets": f"""
+        WITH base AS (
+          SELECT doc_id, kind_no, kind, start, start + length(hit) AS stop FROM (
+            {_matches(1, "assign", ASSIGN, f"length(regexp_extract(hit, '{_ASSIGNED}', 1)) >= {ASSIGN_CHARS}")}
+            UNION ALL {_matches(2, "access", ACCESS)} UNION ALL {_matches(3, "hex", HEX)})),
+        spans AS (
+          SELECT * FROM base {' '.join(f"UNION ALL {_entropy(4 + i, c)}" for i, c in enumerate(CLASSES))}),
+        joined AS (
+          SELECT doc_id, count(*) FILTER (kind_no = 1) AS n_assign, count(*) FILTER (kind_no = 2) AS n_access,
+                 count(*) FILTER (kind_no = 3) AS n_hex,
+                 string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_no) FILTER (kind_no <= 3) AS base,
+                 string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_no) AS every
+          FROM spans GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+               coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+        FROM documents d LEFT JOIN joined j ON j.doc_id = d.doc_id""",
     "op6_chat_format": f"""
         WITH turns AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

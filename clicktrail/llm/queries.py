@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicktrail.llm import chat, lines, mixing, packing, simhash
+from clicktrail.llm import chat, lines, mixing, packing, secrets, simhash
 from clicktrail.sources.shared import stash
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,20 @@ def op1_simhash(spark, sf_dir):
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op3_secrets(spark, sf_dir):
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind_no"] <= 3)
+
+    def count(kind):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in ("assign", "access", "hex")]
+    return found.select(
+        "row.doc_id", *counts, F.sha2(secrets.digest_text(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.digest_text(F.col("secrets")).alias("spans"))
+
+
 @query
 def op4_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
