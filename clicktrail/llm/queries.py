@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicktrail.llm import chat, lines, mixing, packing, secrets, simhash
+from clicktrail.llm import chat, lines, mixing, packing, secrets, simhash, toxicity
 from clicktrail.sources.shared import stash
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +89,20 @@ def op8_mixing(spark, sf_dir):
     sized = stash(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "sized")
     mixed = mixing.mix_sources(sized, F.col("size"), F.array("source"))
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+def fold(doc_id, folds):
+    """Remainder of the checksum of an id's text; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def toxicity_model(spark, docs, sf_dir):
+    return toxicity.train(docs, table(spark, sf_dir, "labels"), keep=fold("doc_id", 5) != 0)
+
+
+@query
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select("row.doc_id", (fold("row.doc_id", 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
