@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicktrail.llm import chat, lines, mixing, packing, secrets, simhash, toxicity
+from clicktrail.llm import chat, context_mixing, lines, mixing, packing, secrets, simhash, toxicity
 from clicktrail.sources.shared import stash
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def fold(doc_id, folds):
+    """Remainder of the checksum of an id's text; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
+
+
 @query
 def op1_simhash(spark, sf_dir):
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
@@ -32,6 +37,12 @@ def op1_simhash(spark, sf_dir):
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op2_lm_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return context_mixing.score_texts(docs, fold("doc_id", 7) == 2)
+
+
 @query
 def op3_secrets(spark, sf_dir):
     found = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -91,11 +102,6 @@ def op8_mixing(spark, sf_dir):
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
-def fold(doc_id, folds):
-    """Remainder of the checksum of an id's text; a null id counts as empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
-
-
 def toxicity_model(spark, docs, sf_dir):
     return toxicity.train(docs, table(spark, sf_dir, "labels"), keep=fold("doc_id", 5) != 0)
 
