@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicktrail.llm import chat, context_mixing, lines, mixing, packing, secrets, simhash, toxicity
+from clicktrail.llm import chat, context_mixing, cover_tree, lines, mixing, packing, secrets, simhash, toxicity
 from clicktrail.sources.shared import stash
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,11 @@ def op4_line_dedup(spark, sf_dir):
         F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+@query
+def op5_near_vectors(spark, sf_dir):
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 PROBE = "</s>[INST] ok [/INST]"
 
 
