@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicktrail.llm import chat, context_mixing, cover_tree, lines, mixing, packing, secrets, simhash, toxicity
+from clicktrail.llm import chat, context_mixing, cover_tree, lines, mixing, packing, posting_lists, secrets, simhash, toxicity
 from clicktrail.sources.shared import stash
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,3 +117,8 @@ def op9_toxicity(spark, sf_dir):
     scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
     return scored.select("row.doc_id", (fold("row.doc_id", 5) == 0).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op10_nearest_vectors(spark, sf_dir):
+    return posting_lists.nearest(table(spark, sf_dir, "embeddings"))
