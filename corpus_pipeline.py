@@ -6,10 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicktrail.llm import lines, mixing, packing, simhash
+from clicktrail.llm import lines, mixing, packing, queries, simhash, toxicity
 from clicktrail.sources.shared import stash
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents rated toxic go; the classifier learns from the labels of the documents there are."""
+    model = queries.toxicity_model(spark, docs, sf_dir)
+    return toxicity.score(docs, model).where("score < 0.5").select("row.*")
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that a document of smaller id holds go; ``n_chars`` follows the text."""
     kept = lines.kept_text(docs, lines.line_dedup(docs))
@@ -37,6 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("line_dedup", drop_repeated_lines),
     ("simhash_dedup", drop_near_copies),
     ("mixing", mix),
