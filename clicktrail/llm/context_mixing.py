@@ -31,20 +31,21 @@ from clicktrail.sources.shared import stash
 
 END = b"\n"                # never part of a word
 BLOCK_BYTES = 32 << 20     # text whose tokens are numbered together
-ORDERS = (1, 2, 3, 4, 6)   # bytes of a hashed context
+ORDERS = (1, 2, 4)         # bytes of a hashed context
 HEAD = 4                   # shorter word starts are counted for all words, longer ones per batch
-OF_KIND = (1, 2, 3)        # those of them that are counted for each kind of text
+OF_KIND = (1, 2)           # those of them that are counted for each kind of text
 TABLES = len(ORDERS) + 2   # two more for short word starts, of all texts and for each kind
 STARTS, STARTS_OF_KIND = TABLES - 2, TABLES - 1
 MARKERS, KINDS = 256, 8    # frequent words, and groups of them
-LOOK_BACK = 64             # tokens whose markers tell the kind
+STRIDE, LOOK_BACK = 4, 16  # tokens that share a kind, and how many such groups before tell it
 SLOT_BITS = 20             # slots of a table, a fixed size of the model
 CHUNK = 1 << 14
 SEEN_SOME = 0.05           # added to counts before log odds
 GATES = 6 * 4 * 2
 BUCKETS = 33               # of a prediction, in the refining table
-BATCH_WORDS, MOST_WORDS, SLICE_WORDS = 16_384, 49_152, 8_192
-STEP_EVENTS, STEP, PASSES = 4096, 0.15, 2
+BATCH_WORDS, MOST_WORDS, SLICE_WORDS = 12_288, 32_768, 4_096
+BATCH_BITS = 21            # slots in which longer word starts of a batch are counted
+STEP_EVENTS, STEP = 8192, 0.15
 INPUTS = TABLES + 1
 
 BLOCK_SCHEMA = ("block long, word binary, kind int, rank int, train long, "
@@ -72,7 +73,7 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     n, v = int(total.n or 0), int(total.v or 0)
     scored = words.mapInArrow(_word_scores(_fit(words)), "word binary, kind int, c long, logp double")
 
-    values = places.select("block", "word", "kind", "rank").join(scored, ["word", "kind"]).select(F.col("block").alias("of_block"), "rank", "c", "logp")
+    values = places.select("block", "word", "kind", "rank").join(scored.hint("shuffle_hash"), ["word", "kind"]).select(F.col("block").alias("of_block"), "rank", "c", "logp")
     contents = blocks.where("content is not null").select("block", "doc_id", "held_out", "n_tokens", "content")
     out = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
            "base_score double, score double")
@@ -100,14 +101,16 @@ def marker_kinds(texts: DataFrame) -> dict[bytes, int]:
 
 
 def _frequent_words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of a task that occur most; what is frequent over all is so in some tasks."""
-    counts: Counter = Counter()
+    """The words of a task that occur most, once they repeat within a text."""
+    counts: dict[bytes, int] = {}
     for batch in source:
         for text in as_bytes(batch.column(2)):
-            counts.update(text.lower().split())
-        if len(counts) > 1 << 19:
-            counts = Counter(dict(counts.most_common(1 << 16)))
-    top = counts.most_common(8 * MARKERS)
+            for word, n in Counter(text.lower().split()).items():
+                if n > 1:
+                    counts[word] = counts.get(word, 0) + n
+        if len(counts) > 1 << 18:
+            counts = dict(heapq.nlargest(1 << 15, counts.items(), key=lambda x: x[1]))
+    top = heapq.nlargest(8 * MARKERS, counts.items(), key=lambda x: x[1])
     yield pa.record_batch([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
 
@@ -161,13 +164,15 @@ class _Numbers(dict):
 
 
 def _kinds_before(points: np.ndarray) -> np.ndarray:
-    """The kind that most markers among the tokens before point to; 0 if there are none."""
-    votes = np.zeros((len(points) + 1, KINDS), np.int32)
+    """The kind that most markers before a group of tokens point to; 0 if there are none."""
+    groups = -(-len(points) // STRIDE)
     at = np.flatnonzero(points)
-    votes[at + 1, points[at] - 1] = 1
-    votes = np.cumsum(votes, axis=0)[:-1]
-    votes[LOOK_BACK:] -= votes[:-LOOK_BACK].copy()
-    return np.where(votes.max(axis=1) > 0, votes.argmax(axis=1) + 1, 0)
+    votes = np.bincount(at // STRIDE * KINDS + points[at] - 1, minlength=groups * KINDS).reshape(groups, KINDS)
+    votes = np.vstack([np.zeros((1, KINDS), np.int64), np.cumsum(votes, axis=0)])
+    recent = votes[:-1].copy()
+    recent[LOOK_BACK:] -= votes[:-1 - LOOK_BACK]
+    kinds = np.where(recent.max(axis=1) > 0, recent.argmax(axis=1) + 1, 0)
+    return np.repeat(kinds, STRIDE)[:len(points)]
 
 
 def _number_tokens(kinds: dict[bytes, int]):
@@ -211,11 +216,11 @@ def _number_tokens(kinds: dict[bytes, int]):
             for doc, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
                 tokens = text.lower().split()
                 tokens.append(END)
-                own = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
+                own = np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens))
                 points = np.frombuffer(numbers.kinds, "u1")[own]   # a copy, so that the array may grow on
-                pairs = own * (KINDS + 1) + _kinds_before(points)
+                pairs = own * np.int32(KINDS + 1) + _kinds_before(points).astype(np.int32)
                 pairs, times = np.unique(pairs, return_counts=True)
-                docs.append((doc, held, len(tokens), pairs, times.astype(np.uint32)))
+                docs.append((doc, held, len(tokens), pairs, times.astype(np.int32)))
                 size += len(text) + 64
                 if size >= BLOCK_BYTES:
                     yield from finish((part << 24) + blocks, list(numbers), docs)
@@ -292,9 +297,9 @@ def _fit(words: DataFrame) -> dict:
     few = trained.coalesce(max(1, spark.sparkContext.defaultParallelism))
     chunks = few.mapInArrow(_count_contexts(code), "chunk int, slots binary, zeros binary, ones binary").groupBy(
         "chunk").applyInArrow(_sum_chunk, "chunk int, counts binary").collect()
-    tables = np.zeros((TABLES << SLOT_BITS, 2), np.float16)
+    tables = np.zeros(TABLES << SLOT_BITS, np.uint16)
     for row in chunks:
-        tables[row.chunk * CHUNK:(row.chunk + 1) * CHUNK] = np.frombuffer(row.counts, np.float16).reshape(-1, 2)
+        tables[row.chunk * CHUNK:(row.chunk + 1) * CHUNK] = np.frombuffer(row.counts, np.uint16)
     model = {"code": code, "tables": spark.sparkContext.broadcast(tables)}
     learned = np.zeros(_LEARNED)
     for row in trained.mapInArrow(_learn(model), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
@@ -338,8 +343,9 @@ def binary_code(counts: np.ndarray) -> dict:
             for bit, child in enumerate(children[node]):
                 open_.append((child, path + [(node - 256, bit)]))
     lengths = np.array([len(p) for p in paths])
-    return {"length": lengths, "begin": np.cumsum(lengths) - lengths,
-            "node": np.array([n for p in paths for n, _ in p], np.uint64),
+    nodes = np.array([n for p in paths for n, _ in p], np.uint64)
+    return {"length": lengths, "begin": (np.cumsum(lengths) - lengths).astype(np.int32),
+            "node": (_avalanche(nodes + np.uint64(1)) >> np.uint64(32)).astype(np.uint32),
             "bit": np.array([b for p in paths for _, b in p], np.int8)}
 
 
@@ -370,75 +376,73 @@ def _word_batches(source: Iterator[pa.RecordBatch]) -> Iterator[_Batch]:
         yield _Batch(words, kinds, counts)
 
 
+def _avalanche(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xE7037ED1A0B428DB)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0x8EBC6AF09C88C6E3)
+
+
 class _Symbols:
-    """Bytes of a batch of words in one row, with their place and contexts."""
+    """Bytes of a batch of words in one row, with their place and a hash per context."""
 
-    def __init__(self, words: list[bytes], kinds: np.ndarray):
-        parts = [w if w == END else w + b" " for w in words]
+    def __init__(self, batch: _Batch):
+        parts = [w if w == END else w + b" " for w in batch.words]
         self.flat = np.frombuffer(b"".join(parts), "u1")
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        self.begin = np.cumsum(lengths) - lengths
-        self.word = np.repeat(np.arange(len(parts)), lengths)
-        self.place = np.arange(len(self.flat)) - self.begin[self.word]
+        begin = np.cumsum(lengths) - lengths
+        self.word = np.repeat(np.arange(len(parts), dtype=np.int32), lengths)
+        self.place = np.arange(len(self.flat)) - begin[self.word]
         value = self.flat.astype(np.uint64) + np.uint64(1)
         powers = np.cumprod(np.full(int(self.place.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
         terms = value * powers[self.place]
         before = np.cumsum(terms) - terms
-        self.start_hash = before - before[self.begin][self.word]
-        kind = (kinds[self.word].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)
-        self.contexts, total = [], np.zeros(len(value), np.uint64)
+        start = before - before[begin][self.word]
+        kind = (batch.kinds[self.word].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)
+        contexts, total = [], np.zeros(len(value), np.uint64)
         for back in range(1, max(ORDERS) + 1):
-            factor = np.uint64(pow(0xD6E8FEB86659FD93, back, 1 << 64))
             earlier = np.zeros(len(value), np.uint64)
             earlier[back:] = value[:-back]
-            total = total + np.where(self.place >= back, earlier * factor, np.uint64(0))
+            total = total + np.where(self.place >= back, earlier * np.uint64(pow(0xD6E8FEB86659FD93, back, 1 << 64)), np.uint64(0))
             if back in ORDERS:
-                self.contexts.append((total + np.uint64(back)) ^ kind if back in OF_KIND else total + np.uint64(back))
-        self.contexts += [self.start_hash, self.start_hash ^ kind]
-
-
-def _mixed(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    h = (context ^ (node + np.uint64(1)) * np.uint64(0xA0761D6478BD642F)) * np.uint64(0xE7037ED1A0B428DB)
-    h ^= h >> np.uint64(32)
-    return h * np.uint64(0x8EBC6AF09C88C6E3)
+                contexts.append((total + np.uint64(back)) ^ kind if back in OF_KIND else total + np.uint64(back))
+        contexts += [start, start ^ kind]
+        self.contexts = [(_avalanche(c + np.uint64(1)) >> np.uint64(32)).astype(np.uint32) for c in contexts]
 
 
 class _Events:
     """Coded bits of a batch of words: which bit, of which word, in which node and context."""
 
     def __init__(self, batch: _Batch, code: dict):
-        symbols = _Symbols(batch.words, batch.kinds)
+        symbols = _Symbols(batch)
         length = code["length"][symbols.flat]
-        self.symbol = np.repeat(np.arange(len(length)), length)
-        within = np.arange(len(self.symbol)) - np.repeat(np.cumsum(length) - length, length)
-        path = code["begin"][symbols.flat[self.symbol]] + within
+        self.symbol = np.repeat(np.arange(len(length), dtype=np.int32), length)
+        first = (np.cumsum(length) - length).astype(np.int32)
+        path = np.arange(len(self.symbol), dtype=np.int32) + (code["begin"][symbols.flat] - first)[self.symbol]
         self.node, self.bit = code["node"][path], code["bit"][path]
         self.word = symbols.word[self.symbol]
-        self.deep = symbols.place[self.symbol] >= HEAD
+        self.deep = (symbols.place >= HEAD)[self.symbol]
         self.count = batch.counts[self.word]
         self._contexts = symbols.contexts
 
-    def keys(self, table: int, part: slice = slice(None)) -> np.ndarray:
-        return _mixed(self._contexts[table][self.symbol[part]], self.node[part])
-
-    def slots(self, table: int, part: slice = slice(None)) -> np.ndarray:
-        return (self.keys(table, part) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    def slots(self, table: int, part, bits: int = SLOT_BITS) -> np.ndarray:
+        key = (self._contexts[table][self.symbol[part]] + self.node[part]) * np.uint32(0x9E3779B1)
+        return key >> np.uint32(32 - bits)
 
     def deep_counts(self) -> dict[int, np.ndarray]:
         """Counts of both bits after the same start of a word, for starts of :data:`HEAD` bytes or more."""
         deep, found = np.flatnonzero(self.deep), {}
+        ones = self.count[deep] * self.bit[deep]
         for table in (STARTS, STARTS_OF_KIND):
-            found[table] = np.zeros((len(self.bit), 2), np.float32)
-            _, group = np.unique(self.keys(table)[deep], return_inverse=True)
-            for bit in (0, 1):
-                found[table][deep, bit] = np.bincount(group, self.count[deep] * (self.bit[deep] == bit))[group]
+            slots = self.slots(table, deep, BATCH_BITS)
+            found[table] = np.zeros((2, len(self.bit)), np.float32)
+            for bit, weight in ((0, self.count[deep] - ones), (1, ones)):
+                found[table][bit, deep] = np.bincount(slots, weight, 1 << BATCH_BITS)[slots]
         return found
 
 
 def _count_symbols(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(256)
     for batch in _word_batches(source):
-        symbols = _Symbols(batch.words, batch.kinds)
+        symbols = _Symbols(batch)
         total += np.bincount(symbols.flat, batch.counts[symbols.word], 256)
     seen = np.flatnonzero(total)
     yield pa.record_batch([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["symbol", "n"])
@@ -451,7 +455,7 @@ def _count_contexts(code: dict):
             events = _Events(batch, code)
             short = np.flatnonzero(~events.deep)
             for t in range(TABLES):
-                slots, bit, weight = events.slots(t), events.bit, events.count
+                slots, bit, weight = events.slots(t, slice(None)), events.bit, events.count
                 if t >= STARTS:
                     slots, bit, weight = slots[short], bit[short], weight[short]
                 for b in (0, 1):
@@ -470,41 +474,59 @@ def _count_contexts(code: dict):
 
 
 def _sum_chunk(table: pa.Table) -> pa.Table:
-    """Sum of the tasks' counts, as logarithms of one more, which 16 bits hold well enough."""
+    """Sum of the tasks' counts, as eighths of a binary logarithm, a byte for either bit."""
     total = np.zeros((CHUNK, 2), np.float64)
     for slots, zeros, ones in zip(*(table[c] for c in ("slots", "zeros", "ones"))):
         own = np.frombuffer(slots.as_py(), "<i4")
         total[own, 0] += np.frombuffer(zeros.as_py(), np.float32)
         total[own, 1] += np.frombuffer(ones.as_py(), np.float32)
-    return pa.table({"chunk": table["chunk"][:1], "counts": pa.array([np.log2(1 + total).astype(np.float16).tobytes()], pa.binary())})
+    return pa.table({"chunk": table["chunk"][:1], "counts": pa.array([_write_counts(total).tobytes()], pa.binary())})
+
+
+def _write_counts(counts: np.ndarray) -> np.ndarray:
+    eighths = np.minimum(np.rint(8 * np.log2(1 + counts)), 255).astype(np.uint16)
+    return eighths[:, 0] | (eighths[:, 1] << np.uint16(8))
 
 
-def _inputs(events: _Events, tables: np.ndarray, deep: dict[int, np.ndarray], part: slice, leave_one: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of every predictor, and the gate, for a run of events.
+class _Odds:
+    """Log odds and totals of all pairs of counts that a table can hold.
 
-    ``leave_one`` takes one occurrence of the token itself out of all counts, as if it were new.
+    With ``leave_one`` a pair is looked up by the bit that came and has one occurrence of it
+    taken out, as if the token were new.
     """
-    bit, n = events.bit[part], part.stop - part.start
-    x = np.ones((n, INPUTS), np.float32)
-    own = (events.count[part] > 0).astype(np.float32) if leave_one else None
-    sums = []
-    for t in range(TABLES):
-        seen = tables[(t << SLOT_BITS) + events.slots(t, part)]
-        if t >= STARTS:
-            seen = np.where(events.deep[part][:, None], deep[t][part], seen)
-        zeros, ones = seen[:, 0], seen[:, 1]
-        if leave_one:
-            zeros, ones = np.maximum(zeros - own * (bit == 0), 0), np.maximum(ones - own * (bit == 1), 0)
-        x[:, t] = np.log((ones + SEEN_SOME) / (zeros + SEEN_SOME))
-        sums.append((zeros + ones, (zeros < 0.5) | (ones < 0.5)))
-    of_kind = np.searchsorted([0.5, 2.5, 10, 50, 500], sums[STARTS_OF_KIND][0])
-    of_all = np.searchsorted([0.5, 8, 100], sums[STARTS][0])
-    x[:, -1] = 0.3
-    return x, (of_kind * 4 + of_all) * 2 + sums[STARTS_OF_KIND][1]
-
-
-def _open_tables(model: dict) -> np.ndarray:
-    return np.exp2(model["tables"].value.astype(np.float32)) - 1
+
+    def __init__(self, tables: np.ndarray, leave_one: bool):
+        self.tables, self.leave_one = tables, leave_one
+        pairs = np.arange(1 << 16)
+        zeros, ones = (np.exp2((pairs >> shift & 255) / 8) - 1 for shift in (0, 8))
+        cases = [(np.maximum(zeros - 1, 0), ones), (zeros, np.maximum(ones - 1, 0))] if leave_one else [(zeros, ones)]
+        self.odds = np.concatenate([_log_odds(z, o) for z, o in cases]).astype(np.float32)
+        self.total = np.concatenate([z + o for z, o in cases]).astype(np.float32)
+        self.sure = np.concatenate([(z < 0.5) | (o < 0.5) for z, o in cases])
+
+    def inputs(self, events: _Events, deep: dict[int, np.ndarray], part: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds of every predictor, and the gate, for a run of events."""
+        bit, is_deep = events.bit[part], events.deep[part]
+        x = np.full((INPUTS, part.stop - part.start), 0.3, np.float32)
+        case = bit.astype(np.int32) << 16 if self.leave_one else np.int32(0)
+        for t in range(TABLES):
+            pair = self.tables[t << SLOT_BITS:(t + 1) << SLOT_BITS][events.slots(t, part)] + case
+            x[t] = self.odds[pair]
+            if t >= STARTS:
+                zeros, ones = deep[t][0, part], deep[t][1, part]
+                if self.leave_one:
+                    zeros, ones = np.maximum(zeros - (bit == 0), 0), np.maximum(ones - (bit == 1), 0)
+                x[t] = np.where(is_deep, _log_odds(zeros, ones), x[t])
+                total = np.where(is_deep, zeros + ones, self.total[pair])
+                if t == STARTS:
+                    of_all = np.searchsorted([0.5, 8, 100], total)
+        of_kind = np.searchsorted([0.5, 2.5, 10, 50, 500], total)
+        sure = np.where(is_deep, (zeros < 0.5) | (ones < 0.5), self.sure[pair])
+        return x, (of_kind * 4 + of_all) * 2 + sure
+
+
+def _log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return np.log((ones + SEEN_SOME) / (zeros + SEEN_SOME))
 
 
 def _slices(events: _Events, n_words: int) -> Iterator[slice]:
@@ -520,32 +542,30 @@ def _learn(model: dict):
     Tasks start alike and their weights are averaged, each by the tokens it saw.
     """
     def learn(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, weights = _open_tables(model), _first_weights()
+        odds, weights = _Odds(model["tables"].value, leave_one=True), _first_weights()
         power = np.full((GATES, INPUTS), 1e-2)
         weight_sum = np.zeros(GATES)
         hits, trials = np.zeros(GATES * BUCKETS), np.zeros(GATES * BUCKETS)
-        rng = np.random.default_rng(0)
         for batch in _word_batches(source):
             events = _Events(batch, model["code"])
             deep = events.deep_counts()
             for part in _slices(events, len(batch.words)):
-                x, gate = _inputs(events, tables, deep, part, leave_one=True)
+                x, gate = odds.inputs(events, deep, part)
                 bit, count = events.bit[part], events.count[part]
-                for _ in range(PASSES):
-                    order = rng.permutation(len(bit))
-                    for at in range(0, len(order), STEP_EVENTS):
-                        some = order[at:at + STEP_EVENTS]
-                        xs, gs, cs = x[some].astype(np.float64), gate[some], count[some]
-                        error = (bit[some] - _odds_to_share((xs * weights[gs]).sum(axis=1))) * cs
-                        total = np.bincount(gs, cs, GATES)[:, None]
-                        pull = np.stack([np.bincount(gs, error * xs[:, k], GATES) for k in range(INPUTS)], axis=1) / np.maximum(total, 1)
-                        power += pull ** 2
-                        weights += STEP * pull / np.sqrt(power)
-                weight_sum += np.bincount(gate, count, GATES)
-                for place, near in _buckets((x * weights[gate]).sum(axis=1)):
-                    place, near = gate * BUCKETS + place, near * count
-                    hits += np.bincount(place, near * bit, GATES * BUCKETS)
-                    trials += np.bincount(place, near, GATES * BUCKETS)
+                for at in range(0, len(bit), STEP_EVENTS):
+                    some = slice(at, at + STEP_EVENTS)
+                    xs, gs, cs = x[:, some], gate[some], count[some]
+                    z = _weighted(xs, weights, gs)
+                    error = (bit[some] - _odds_to_share(z)) * cs
+                    total = np.bincount(gs, cs, GATES)
+                    pull = np.stack([np.bincount(gs, error * row, GATES) for row in xs], axis=1) / np.maximum(total, 1)[:, None]
+                    power += pull ** 2
+                    weights += STEP * pull / np.sqrt(power)
+                    weight_sum += total
+                    for place, near in _buckets(z):
+                        place, near = gs * BUCKETS + place, near * cs
+                        hits += np.bincount(place, near * bit[some], GATES * BUCKETS)
+                        trials += np.bincount(place, near, GATES * BUCKETS)
         learned = np.concatenate([(weights * weight_sum[:, None]).ravel(), weight_sum, hits, trials])
         some = np.flatnonzero(learned)
         yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(learned[some])], names=["i", "x"])
@@ -553,6 +573,10 @@ def _learn(model: dict):
     return learn
 
 
+def _weighted(x: np.ndarray, weights: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    return sum(row * weights[gate, k] for k, row in enumerate(x))
+
+
 def _odds_to_share(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -566,13 +590,13 @@ def _buckets(z: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def _word_scores(model: dict):
     def rate(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, weights, refined = _open_tables(model), model["weights"], model["refined"]
+        odds, weights, refined = _Odds(model["tables"].value, leave_one=False), model["weights"], model["refined"]
         for batch in _word_batches(source):
             events = _Events(batch, model["code"])
             deep, logp = events.deep_counts(), np.zeros(len(batch.words))
             for part in _slices(events, len(batch.words)):
-                x, gate = _inputs(events, tables, deep, part, leave_one=False)
-                z = (x * weights[gate]).sum(axis=1)
+                x, gate = odds.inputs(events, deep, part)
+                z = _weighted(x, weights, gate)
                 share = (_odds_to_share(z) + sum(refined[gate, place] * near for place, near in _buckets(z))) / 2
                 share = np.clip(share, 1e-7, 1 - 1e-7)
                 logp += np.bincount(events.word[part], np.log10(np.where(events.bit[part] == 1, share, 1 - share)), len(batch.words))
