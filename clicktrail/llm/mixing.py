@@ -151,7 +151,7 @@ def mix_sources(docs: DataFrame, size: Column, sources: Column,
     for p, words in patterns.items():
         whole, rest = divmod(flow[members[p]], words) if words else (0, 0)
         first = members[p][0] if members[p] else None
-        plan.append((p, whole, rest, sizes.get(first, 0), wanted.get(first, 0.0)))
+        plan.append((p, whole, rest, sizes.get(first, 0), float(wanted.get(first, 0.0))))
     plan_df = spark.createDataFrame(plan, "pattern string, whole long, rest long, source_size long, target double")
 
     zones = stash(slices.join(F.broadcast(plan_df), "pattern").groupBy("pattern").applyInPandas(
