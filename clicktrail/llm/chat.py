@@ -54,7 +54,7 @@ def parse_turn(piece: Column) -> Column:
     cut = F.locate(ROLE_END, piece)
     role = F.substring(piece, mark + 1, cut - mark - 1)
     text = F.substring(piece, cut + len(ROLE_END), F.length(piece))
-    ok = (cut > 0) & ~F.contains(text, F.lit("[INST")) & ~F.contains(text, F.lit("[/INST"))
+    ok = (cut > 0) & mark.isNotNull() & ~F.contains(text, F.lit("[INST")) & ~F.contains(text, F.lit("[/INST"))
 
     def read(part: Column) -> Column:
         return F.when(ok, F.when(escaped, unescape(part)).otherwise(part))
