@@ -57,8 +57,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column
     wanted = wanted.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     drawn = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most SAMPLE pairs of numbers, so the broadcast has a bound
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("y", "text")
-    rows = stash(texts.repartition(8).mapInArrow(_distinct_ngrams, "y int, grams binary"), "toxicity-sample")
+    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "y", "text")
+    rows = stash(texts.repartition(8).mapInArrow(_distinct_ngrams, "doc_id long, y int, grams binary"), "toxicity-sample")
     sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
@@ -76,7 +76,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column
     best = rated.orderBy(F.desc("score"), "gram").limit(FEATURES)
     features = best.select("gram", "ratio").toPandas().sort_values("gram")
     grams, ratios = features["gram"].to_numpy(np.uint32), features["ratio"].to_numpy(np.float64)
-    data = rows.mapInArrow(_feature_numbers(grams), "y int, features binary").collect()
+    data = rows.mapInArrow(_feature_numbers(grams), "doc_id long, y int, features binary").collect()
+    data.sort(key=lambda r: (r.doc_id, r.features))     # whatever the order in which rows came
     weights, bias = _calibrated([np.frombuffer(r.features, "<i4") for r in data], np.array([r.y for r in data]), ratios)
     return {"grams": grams, "weights": (weights * ratios).astype(np.float32), "bias": float(bias)}
 
@@ -106,13 +107,13 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def _distinct_ngrams(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("y", pa.int32()), ("grams", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("grams", pa.binary())])
 
     def rows():
         for batch in source:
-            for y, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+            for doc, y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
                 grams = np.unique(ngrams(text)).astype("<u4").tobytes()
-                yield (int(y > 0), grams), len(grams)
+                yield (doc, int(y > 0), grams), len(grams)
 
     return batches(rows(), schema)
 
@@ -120,7 +121,7 @@ def _distinct_ngrams(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _count_ngrams(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, 1 << BUCKET_BITS), np.int32)
     for batch in source:
-        for y, grams in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for y, grams in zip(batch.column(1).to_pylist(), batch.column(2)):
             counts[y][np.frombuffer(grams.as_py(), "<u4")] += 1
     grams = np.flatnonzero(counts.any(axis=0))
     for at in range(0, len(grams), 1 << 16):
@@ -130,13 +131,13 @@ def _count_ngrams(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _feature_numbers(grams: np.ndarray):
-    schema = pa.schema([("y", pa.int32()), ("features", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("features", pa.binary())])
 
     def rows(source):
         for batch in source:
-            for y, own in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, y, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 numbers = np.flatnonzero(np.isin(grams, np.frombuffer(own.as_py(), "<u4"), assume_unique=True))
-                yield (y, numbers.astype("<i4").tobytes()), 4 * len(numbers)
+                yield (doc, y, numbers.astype("<i4").tobytes()), 4 * len(numbers)
 
     return lambda source: batches(rows(source), schema)
 
@@ -148,8 +149,8 @@ def _calibrated(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray) -> tu
     rate the quarter left out, and a fit of one feature, that rating, tells how ratings
     translate to probabilities. The rarer class weighs more there, half way to balance.
     """
-    order = np.lexsort((np.array([r.sum() for r in rows]), np.array([len(r) for r in rows]), y))
-    rows, y = [rows[i] for i in order], y[order]  # independent of how rows came
+    order = np.argsort(y, kind="stable")    # so that every quarter has its part of either class
+    rows, y = [rows[i] for i in order], y[order]
     quarter, z = np.arange(len(y)) % 4, np.zeros(len(y))
     for q in range(4):
         seen = np.flatnonzero(quarter != q)

@@ -1,0 +1,73 @@
+import pytest
+from pyspark.sql import functions as F
+from test_lines import plain as plain_keep
+from test_simhash import plain_components, plain_fingerprint
+
+import corpus_pipeline
+from clicktrail.llm import mixing
+
+STAGES = dict(corpus_pipeline.STAGES)
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@pytest.fixture(scope="module")
+def docs(docs_frame):
+    return docs_frame.select(*COLUMNS)
+
+
+@pytest.fixture(scope="module")
+def tables(spark, docs, tmp_path_factory):
+    root = tmp_path_factory.mktemp("tables")
+    docs.write.parquet(f"{root}/documents.parquet")
+    labels = spark.createDataFrame([(100 + i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{root}/labels.parquet")
+    return str(root)
+
+
+def test_order_of_the_stages():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_dedup", "mixing", "packing"]
+
+
+def test_toxicity_stage(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = STAGES["toxicity"](spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    left = {r.doc_id for r in kept.select("doc_id").collect()}
+    learnt = labels.join(docs.select("doc_id"), "doc_id").collect()
+    assert not left & {r.doc_id for r in learnt if r.toxic}
+    assert {r.doc_id for r in learnt if not r.toxic} <= left
+
+
+def test_line_stage(spark, docs, tables, odd_docs):
+    out = STAGES["line_dedup"](spark, docs, tables)
+    assert out.columns == COLUMNS
+    want = [(str(i), None if t is None else "\n".join(x for x, k in zip(t.split("\n"), keep) if k), str(s))
+            for (i, t, s), keep in zip(odd_docs, plain_keep(odd_docs))]
+    rows = out.collect()
+    assert sorted((str(r.doc_id), str(r.text), str(r.source)) for r in rows) == sorted((i, str(t), s) for i, t, s in want)
+    assert all(r.n_chars == len(r.text) for r in rows if r.text is not None)
+
+
+def test_simhash_stage(spark, docs, tables, odd_docs):
+    out = STAGES["simhash_dedup"](spark, docs, tables)
+    assert out.columns == COLUMNS
+    smallest = plain_components([(i, plain_fingerprint(t)) for i, t, _ in odd_docs if i is not None])
+    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(i) for i, _, _ in odd_docs if i is None or smallest[i] == i)
+
+
+def test_mixing_stage(spark, docs, tables):
+    out = STAGES["mixing"](spark, docs, tables)
+    assert out.columns == COLUMNS
+    taken = mixing.mix_sources(docs, mixing.word_count(F.col("text")), F.array("source")).collect()
+    want = [str(r.row) for r in taken if r["size"] for _ in range(r.taken // r["size"])]
+    assert sorted(str(r) for r in out.collect()) == sorted(want)
+
+
+def test_whole_run_and_empty_tables(spark, tables, tmp_path, no_docs):
+    out = corpus_pipeline.run(spark, tables)
+    rows = out.collect()
+    assert rows and sum(r.length for r in rows) > 1000
+    no_docs.select(*COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{tables}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
