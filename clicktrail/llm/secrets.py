@@ -75,13 +75,22 @@ def digest_text(spans: Column) -> Column:
 
 
 def _hits(text: Column, pattern: str) -> Column:
-    """Matches with their start: what lies between them adds up to where they are."""
+    """Matches with their start: what lies between them adds up to where they are.
+
+    Most texts have no match, and one search tells; only others are cut up.
+    """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     steps = F.zip_with(F.slice(between, F.lit(1), F.size(hits)), hits, lambda gap, hit: F.struct(
         F.length(gap).alias("gap"), hit.alias("hit")))
-    starts = running_starts(F.transform(steps, lambda s: s["gap"] + F.length(s["hit"])))
-    return F.zip_with(steps, starts, lambda s, at: F.struct((at + s["gap"]).alias("start"), s["hit"].alias("hit")))
+
+    def placed(steps: Column) -> Column:
+        starts = running_starts(F.transform(steps, lambda s: s["gap"] + F.length(s["hit"])))
+        return F.zip_with(steps, starts, lambda s, at: F.struct((at + s["gap"]).alias("start"), s["hit"].alias("hit")))
+
+    # the one-element array names the steps, so that the text is cut up once
+    found = F.flatten(F.transform(F.array(steps), placed))
+    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast("array<struct<start: bigint, hit: string>>"))
 
 
 def _span(start: Column, end: Column, kind_no: int, kind: str) -> Column:
