@@ -43,6 +43,7 @@ CHUNK = 1 << 14
 SEEN_SOME = 0.05           # added to counts before log odds
 GATES = 6 * 4 * 2
 BUCKETS = 33               # of a prediction, in the refining table
+WORDS_PER_TASK = 65_536
 BATCH_WORDS, MOST_WORDS, SLICE_WORDS = 12_288, 32_768, 4_096
 BATCH_BITS = 21            # slots in which longer word starts of a batch are counted
 STEP_EVENTS, STEP = 8192, 0.15
@@ -66,11 +67,13 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     blocks = stash(texts.mapInArrow(_number_tokens(kinds), BLOCK_SCHEMA), "blocks")
     places = blocks.where("word is not null").select("block", "word", "kind", "rank", "train")
     counted = stash(places.groupBy("word", "kind").agg(F.sum("train").alias("c")), "words")
-    # words that begin alike lie together, sorted, so that longer starts can be counted in a batch
-    words = stash(counted.repartitionByRange(F.substring("word", 1, HEAD)).sortWithinPartitions("word", "kind"), "sorted-words")
-    total = words.where("c > 0").groupBy("word").agg(F.sum("c").alias("c")).agg(
+    total = counted.where("c > 0").groupBy("word").agg(F.sum("c").alias("c")).agg(
         F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(total.n or 0), int(total.v or 0)
+    # words that begin alike lie together, sorted, so that longer starts can be counted in a
+    # batch; where they lie depends on training words alone
+    words = stash(counted.repartition(1 + v // WORDS_PER_TASK, F.substring("word", 1, HEAD)).sortWithinPartitions(
+        "word", "kind"), "sorted-words")
     scored = words.mapInArrow(_word_scores(_fit(words)), "word binary, kind int, c long, logp double")
 
     values = places.select("block", "word", "kind", "rank").join(scored.hint("shuffle_hash"), ["word", "kind"]).select(F.col("block").alias("of_block"), "rank", "c", "logp")
