@@ -43,7 +43,7 @@ spans AS (
 
 CLICKS = """
 clicks AS (
-  SELECT epoch_ms(ts) AS ms, date_trunc('millisecond', ts) AS ts,
+  SELECT epoch_us(ts) // 1000 AS ms, date_trunc('millisecond', ts) AS ts,
          replace(area, ' ', '_') AS area, replace(city_name, ' ', '_') AS city,
          CAST(user_id AS VARCHAR) AS user_id, CAST(k % 6 + 1 AS VARCHAR) AS ads_id
   FROM ev JOIN cities ON user_id % 25 = city_id
@@ -208,7 +208,6 @@ LOG = ("date, user_id, session_id, page_id, action_time, search_keyword, click_c
 GUARD = {"threshold": THRESHOLD}
 ADS = (VISITS, CITIES, CLICKS.format(bucket=f"ms // 1000 // {BUCKET_SECONDS}", **GUARD))
 DELIVERED = (VISITS, CITIES, CLICKS.format(bucket=f"hour(ts) * {ARRIVALS} // 24", **GUARD))
-UNGUARDED = (VISITS, CITIES, CLICKS.format(bucket="0", **GUARD))  # one bucket flags nobody
 # The filtered log under the name ``visits``, for the reports.
 KEPT = (
     VISITS.replace("visits AS (", "all_visits AS ("),
@@ -235,18 +234,24 @@ CONVERSION = """
 TASK_ID = f"'{TASK}' AS \"taskId\""
 
 
-def _minutes(condition: str) -> str:
+def _minutes(*parts: str, condition: str = "true") -> str:
     return _with(
-        *UNGUARDED,
+        *parts,
         select=f"""
-    SELECT ads_id, '[' || string_agg('{{"' || strftime(minute, '%H:%M') || '":' || n || '}}', ',' ORDER BY minute) || ']'
+    SELECT ads_id, '[' || string_agg('{{"' || minute || '":' || n || '}}', ',' ORDER BY minute) || ']'
              AS minute_counts
-    FROM (SELECT ads_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM clicks
+    FROM (SELECT ads_id, strftime(ts, '%H:%M') AS minute, count(*) AS n FROM clean
           WHERE {condition} GROUP BY ALL)
     GROUP BY ads_id""",
     )
 
 
+def _last(minutes: int) -> str:
+    """In the window of whole ten seconds that is complete after the last click."""
+    end = "(SELECT (max(ms) // 10000 + 1) * 10000 FROM clicks)"
+    return f"ms >= {end} - {minutes} * 60000 AND ms < {end}"
+
+
 ORACLE: dict[str, str] = {
     "visit_filter": _with(VISITS, FILTERED, select=f"SELECT {LOG} FROM filtered"),
     "session_count": _with(VISITS, select="SELECT count(DISTINCT session_id) AS session_count FROM visits"),
@@ -270,10 +275,14 @@ ORACLE: dict[str, str] = {
     "city_remark_lines": _with(CITIES, LINE_CLICKS, REMARK, select="SELECT * FROM remarks"),
     "area_product_top3_lines": _with(CITIES, LINE_CLICKS, REMARK, select="SELECT * FROM top3"),
     "ads_log_parse": _with(*ADS, select=f"SELECT {CLICK_TEXT} FROM clicks"),
-    "ads_log_rejects": """
-        SELECT count(*) AS rejected FROM documents
-        WHERE text IS NULL OR len(string_split(rtrim(text, ' '), ' ')) <> 5
-           OR try_cast(string_split(text, ' ')[1] AS BIGINT) IS NULL""",
+    "ads_log_rejects": _with(VISITS, CITIES, select="""
+        SELECT value FROM (
+          SELECT concat_ws(' ', CASE event_id % 11 WHEN 1 THEN '99999999999999999' WHEN 2 THEN '9223372036854775808'
+                     WHEN 3 THEN '-5' WHEN 4 THEN '253402300800000' WHEN 5 THEN '12x' ELSE CAST(epoch_us(ts) // 1000 AS VARCHAR) END,
+                   area, replace(city_name, ' ', '_'), CASE WHEN event_id % 11 <> 6 THEN user_id END, k % 6 + 1) AS value
+          FROM ev JOIN cities ON user_id % 25 = city_id)
+        WHERE len(string_split(value, ' ')) <> 5
+           OR coalesce(try_cast(string_split(value, ' ')[1] AS BIGINT) NOT BETWEEN 0 AND 253402300799999, true)"""),
     "ads_blacklist": _with(*ADS, select="SELECT user_id, flag_bucket FROM flags"),
     "ads_clean_clicks": _with(*ADS, select=f"SELECT {CLICK_TEXT} FROM clean"),
     "ads_listed_users_dropped": _with(
@@ -282,8 +291,8 @@ ORACLE: dict[str, str] = {
     "area_city_ads_day_count": _with(*ADS, select="SELECT * FROM city_counts"),
     "area_ads_day_count": _with(*ADS, select="SELECT * FROM area_counts"),
     "area_ads_top3": _with(*ADS, select=TOP_ADS),
-    "last_hour_ads_minutes": _minutes("ts > (SELECT max(ts) FROM clicks) - INTERVAL 60 MINUTE"),
-    "last_day_ads_minutes": _minutes("ts > (SELECT max(ts) FROM clicks) - INTERVAL 1440 MINUTE"),
+    "last_hour_ads_minutes": _minutes(*ADS, condition=_last(60)),
+    "last_day_ads_minutes": _minutes(*ADS, condition=_last(1440)),
     "report_session_stat_info": _with(*KEPT, V_SPANS, select=f"""
         SELECT {TASK_ID}, '{CONDITION.to_json()}' AS condition, session_count AS "sessionCount",
           visit_length_le_ratio AS "visitLength_le_10_ratio", visit_length_gt_ratio AS "visitLength_gt_10_ratio",
@@ -304,9 +313,7 @@ ORACLE: dict[str, str] = {
     "stream_ads_blacklist": _with(*DELIVERED, select="SELECT user_id, flag_bucket AS flag_batch FROM flags"),
     "stream_ads_clean_clicks": _with(*DELIVERED, select=f"SELECT {CLICK_TEXT} FROM clean"),
     "stream_ads_user_day_count": _with(*DELIVERED, select=USER_DAY),
-    "stream_area_city_ads_day_count": _with(*UNGUARDED, select="SELECT * FROM city_counts"),
-    "stream_area_ads_top3": _with(*UNGUARDED, select=TOP_ADS),
-    "stream_last_day_ads_minutes": _minutes("""
-        ts >= (SELECT date_trunc('day', max(ts)) FROM clicks) - INTERVAL 1440 MINUTE
-        AND ts < (SELECT date_trunc('day', max(ts)) FROM clicks)"""),
+    "stream_area_city_ads_day_count": _with(*DELIVERED, select="SELECT * FROM city_counts"),
+    "stream_area_ads_top3": _with(*DELIVERED, select=TOP_ADS),
+    "stream_last_hour_ads_minutes": _minutes(*DELIVERED),
 }

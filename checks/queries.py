@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -12,14 +10,14 @@ from pyspark.sql import functions as F
 
 from checks import views
 from clicktrail import operators as op
-from clicktrail.operators.ads import CLICK_COLUMNS
+from clicktrail.operators.ads import CLICK_COLUMNS, SLIDE
 from clicktrail.operators.areas import city_remark, top_products
 from clicktrail.operators.sessions import hour_quotas
 from clicktrail.params import VisitCondition
 from clicktrail.plans import OfflineReports, RealtimeAds
-from clicktrail.session import configure, fits_broadcast
+from clicktrail.session import configure
 from clicktrail.sources import append_sink, file_lines, overwrite_table, read_table
-from clicktrail.streaming.versions import shared_dir
+from clicktrail.sources.shared import shared_root, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -182,8 +180,7 @@ def area_product_top3_sql(spark, sf_dir):
 
 @query
 def area_product_top3_lines(spark, sf_dir):
-    few = fits_broadcast(views.city_info(spark, sf_dir))
-    return top_products(views.order_line_detail(spark, sf_dir), few_areas=few)
+    return top_products(views.order_line_detail(spark, sf_dir))
 
 
 @query
@@ -193,9 +190,8 @@ def ads_log_parse(spark, sf_dir):
 
 @query
 def ads_log_rejects(spark, sf_dir):
-    """Document texts are no ad log lines, so all but a well-formed one are rejected."""
-    lines = views.table(spark, sf_dir, "documents").select(F.col("text").alias("value"))
-    return op.ads_log_rejects(lines).agg(F.count(F.lit(1)).alias("rejected"))
+    """Lines of which some are cut short, have a field too many or an epoch out of range."""
+    return op.ads_log_rejects(views.mixed_ads_lines(spark, sf_dir))
 
 
 @query
@@ -217,27 +213,28 @@ def ads_listed_users_dropped(spark, sf_dir):
 
 @query
 def ads_user_day_count(spark, sf_dir):
-    return op.user_ads_day_count(_clean(spark, sf_dir))
+    return op.guarded_day_counts(_bucketed(spark, sf_dir), ["user_id", "ads_id"], THRESHOLD)
 
 
 @query
 def area_city_ads_day_count(spark, sf_dir):
-    return op.area_city_ads_day_count(_clean(spark, sf_dir))
+    return op.guarded_day_counts(_bucketed(spark, sf_dir), ["area", "city", "ads_id"], THRESHOLD)
 
 
 @query
 def area_ads_day_count(spark, sf_dir):
-    return op.area_ads_day_count(op.area_city_ads_day_count(_clean(spark, sf_dir)))
+    return op.area_ads_day_count(area_city_ads_day_count(spark, sf_dir))
 
 
 @query
 def area_ads_top3(spark, sf_dir):
-    return op.area_ads_top(op.area_city_ads_day_count(_clean(spark, sf_dir)))
+    return op.area_ads_top(area_city_ads_day_count(spark, sf_dir))
 
 
 def _last_minutes(spark, sf_dir, minutes):
-    clicks = _clicks(spark, sf_dir)
-    return op.last_hour_minutes(clicks, clicks.agg(F.max("ts")).scalar(), minutes)
+    """Over the guarded clicks, in the first window that is complete after the last click."""
+    last = _clicks(spark, sf_dir).agg((F.max("ts") + F.expr(f"INTERVAL {SLIDE} SECONDS"))).scalar()
+    return op.last_hour_minutes(_clean(spark, sf_dir), last, minutes)
 
 
 @query
@@ -259,7 +256,7 @@ def _report(spark, sf_dir, name):
         views.city_info(spark, sf_dir), views.product_info(spark, sf_dir),
         CONDITION, TASK, SAMPLE, SEED,
     )
-    path = f"{_work_dir(spark)}/{name}"
+    path = f"{work_folder(spark, 'report')}/{name}"
     append_sink(getattr(reports, name)(), "parquet", path)
     return spark.read.parquet(path)
 
@@ -292,9 +289,9 @@ def report_page_convert_rate(spark, sf_dir):
 @query
 def table_sink_and_scan(spark, sf_dir):
     """The visit log replaced in the catalog twice, then read by name."""
-    database = f"clicktrail_{uuid.uuid4().hex}"
+    database = "clicktrail_checks"
     visits = views.log_columns(views.user_visit_action(spark, sf_dir))
-    spark.sql(f"CREATE DATABASE {database} LOCATION '{_work_dir(spark)}'")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{shared_root(spark)}/{database}'")
     for _ in range(2):
         overwrite_table(visits, "user_visit_action", database)
     return read_table(spark, "user_visit_action", database)
@@ -307,32 +304,20 @@ NOW = {"availableNow": True}
 ARRIVALS = 4  # log deliveries, by quarter of the day
 
 
-def _work_dir(spark: SparkSession) -> str:
-    base = shared_dir(spark) or tempfile.mkdtemp(prefix="clicktrail-")
-    return f"{base.rstrip('/')}/clicktrail-{uuid.uuid4().hex}"
-
-
-def _guarded(spark, sf_dir) -> RealtimeAds:
-    """The guard over the log delivered in parts, one batch each, restarted in between."""
-    root = _work_dir(spark)
+def _guarded(spark, sf_dir, counted: bool = False) -> RealtimeAds:
+    """The guard over the log delivered in parts, one batch each, restarted in between; if
+    ``counted``, the kept clicks go into the running counts after each."""
+    root = work_folder(spark, "stream")
     app = RealtimeAds(spark, root, THRESHOLD)
     lines = views.ads_lines(spark, sf_dir)
     hour = F.hour(F.timestamp_millis(F.split("value", " ")[0].cast("bigint")))
     for part in range(ARRIVALS):
         delivered = lines.where(F.floor(hour * ARRIVALS / 24) == part)
         delivered.write.mode("append").text(f"{root}/ads_log")
+        app = RealtimeAds(spark, root, THRESHOLD)
         app.start_guard(file_lines(spark, f"{root}/ads_log"), NOW).awaitTermination()
-    return app
-
-
-def _counted(spark, sf_dir) -> RealtimeAds:
-    """Running counts over the log, read as a stream of event files."""
-    app = RealtimeAds(spark, _work_dir(spark))
-    schema = views.table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/events*.parquet")
-    clicks = op.parse_ads_log(views.ads_lines(spark, sf_dir, events))
-    for running in app.start_counts(clicks, NOW):
-        running.awaitTermination()
+        for running in app.start_counts(trigger=NOW) if counted else ():
+            running.awaitTermination()
     return app
 
 
@@ -353,17 +338,17 @@ def stream_ads_user_day_count(spark, sf_dir):
 
 @query
 def stream_area_city_ads_day_count(spark, sf_dir):
-    return _counted(spark, sf_dir).area_city_ads_day_count()
+    return _guarded(spark, sf_dir, counted=True).area_city_ads_day_count()
 
 
 @query
 def stream_area_ads_top3(spark, sf_dir):
-    return _counted(spark, sf_dir).area_ads_top()
+    return _guarded(spark, sf_dir, counted=True).area_ads_top()
 
 
 @query
-def stream_last_day_ads_minutes(spark, sf_dir):
-    """As of the start of the last event day, over the day before it."""
-    app = _counted(spark, sf_dir)
-    as_of = app.buckets.latest().agg(F.date_trunc("day", F.max("bucket_ts"))).scalar()
-    return app.last_hour(as_of, 24 * 60)
+def stream_last_hour_ads_minutes(spark, sf_dir):
+    """Clicks by arrival: all were delivered within the hour, hours to weeks after their time."""
+    app = _guarded(spark, sf_dir, counted=True)
+    last = app.buckets.latest().agg(F.max("bucket_ts") + F.expr(f"INTERVAL {SLIDE} SECONDS")).scalar()
+    return app.last_hour(last, 60)

@@ -110,6 +110,24 @@ def ads_lines(spark: SparkSession, sf_dir: str, events: DataFrame | None = None)
     )
 
 
+def mixed_ads_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ad log lines, good ones and, by event id, some with a fault of each kind.
+
+    Areas keep their spaces, so that those of two words give a field too many.
+    """
+    rows = _events(table(spark, sf_dir, "events")).withColumn("city_id", F.col("user_id") % 25).join(
+        city_info(spark, sf_dir), "city_id")
+    m = F.col("event_id") % 11
+    epoch = (
+        F.when(m == 1, "99999999999999999").when(m == 2, "9223372036854775808").when(m == 3, "-5")
+        .when(m == 4, "253402300800000").when(m == 5, "12x").otherwise(F.unix_millis("ts").cast("string"))
+    )
+    user = F.when(m == 6, F.lit(None)).otherwise(F.col("user_id").cast("string"))
+    return rows.select(F.concat_ws(
+        " ", epoch, "area", F.replace(F.col("city_name"), F.lit(" "), F.lit("_")), user,
+        (F.col("k") % 6 + 1).cast("string")).alias("value"))
+
+
 def order_line_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines per area, product and city, counted by key before the wide joins."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")

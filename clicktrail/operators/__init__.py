@@ -2,7 +2,7 @@
 
 from clicktrail.operators.ads import (
     ads_log_rejects, area_ads_day_count, area_ads_top, area_city_ads_day_count, click_buckets,
-    click_guard, flagged_users, drop_users, last_hour_minutes, parse_ads_log,
+    click_guard, flagged_users, drop_users, guarded_day_counts, last_hour_minutes, parse_ads_log,
     user_ads_day_count,
 )
 from clicktrail.operators.areas import (
@@ -21,7 +21,7 @@ __all__ = [
     "ads_log_rejects", "area_ads_day_count", "area_ads_top", "area_city_ads_day_count",
     "area_product_clicks", "area_product_top", "category_counts", "category_session_counts",
     "category_session_top", "category_top", "city_remark", "click_buckets", "click_guard",
-    "drop_users", "filter_visits", "flagged_users", "last_hour_minutes", "page_conversion",
+    "drop_users", "filter_visits", "flagged_users", "guarded_day_counts", "last_hour_minutes", "page_conversion",
     "parse_ads_log", "register_city_remark", "session_count", "session_hourly_sample", "session_spans",
     "session_stats", "session_summary", "user_ads_day_count",
 ]

@@ -11,10 +11,21 @@ from clicktrail.functions import count_pairs_json, day_label, minute_label
 
 CLICK_COLUMNS = ["ts", "area", "city", "user_id", "ads_id"]
 
+# Milliseconds from 1970 to the end of year 9999. Others do not convert, or give days whose
+# labels do not sort; such lines are rejected.
+LAST_MILLIS = 253_402_300_799_999
+
+# Parts into which the clicks of one user are dealt for a join on the user.
+SALTS = 32
+
+# Seconds by which the window of the last-hour report moves.
+SLIDE = 10
+
 
 def _fields(f: Column) -> Column:
     """Named fields of a split line; ``epoch`` is NULL unless the line is well formed."""
-    epoch = F.when(F.size(f) == 5, F.get(f, F.lit(0)).try_cast("bigint"))
+    millis = F.get(f, F.lit(0)).try_cast("bigint")
+    epoch = F.when((F.size(f) == 5) & millis.between(0, LAST_MILLIS), millis)
     rest = [F.get(f, F.lit(i)).alias(name) for i, name in enumerate(CLICK_COLUMNS[1:], start=1)]
     return F.struct(epoch.alias("epoch"), *rest)
 
@@ -69,6 +80,10 @@ def flagged_users(bucketed: DataFrame, threshold: int = 100) -> DataFrame:
     counts = bucketed.groupBy("user_id", "ads_id", day_label(F.col("ts")).alias("day"), "bucket").agg(
         F.count(F.lit(1)).alias("n")
     )
+    return _flagged(counts, threshold)
+
+
+def _flagged(counts: DataFrame, threshold: int) -> DataFrame:
     earlier = (
         Window.partitionBy("user_id", "ads_id", "day")
         .orderBy("bucket")
@@ -86,18 +101,51 @@ def click_guard(bucketed: DataFrame, threshold: int = 100) -> DataFrame:
     """Clicks without those of users flagged in an earlier bucket.
 
     Clicks in the flag bucket itself stay. No join hint: the flagged users are usually
-    few, and adaptive execution picks the join by their measured size.
+    few, and adaptive execution picks the join by their measured size. Where it shuffles,
+    the clicks of a user are dealt over ``SALTS`` tasks and the flags repeated for each.
     """
     flags = flagged_users(bucketed, threshold).select(
-        F.col("user_id").alias("flagged"), "flag_bucket"
+        F.col("user_id").alias("flagged"), "flag_bucket", _every_salt()
     )
+    late = (
+        (F.col("user_id") == F.col("flagged")) & (F.col("own_salt") == F.col("salt"))
+        & (F.col("bucket") > F.col("flag_bucket"))
+    )
+    return bucketed.withColumn("own_salt", _salt()).join(flags, late, "left_anti").drop("own_salt")
+
+
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("ts", "area", "city", "ads_id"), F.lit(SALTS))
+
+
+def _every_salt() -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt")
+
+
+def guarded_day_counts(bucketed: DataFrame, keys: list[str], threshold: int = 100) -> DataFrame:
+    """Clicks that pass :func:`click_guard`, per ``keys`` and day.
+
+    Clicks are counted once, per user, place, ad, day and bucket. Flags come from these
+    counts, and the counts of late buckets are dropped, so the log is read once and a user
+    with most of the clicks is a few rows.
+    """
+    counts = bucketed.groupBy(
+        "user_id", "area", "city", "ads_id", day_label(F.col("ts")).alias("day"), "bucket"
+    ).agg(F.count(F.lit(1)).alias("n"))
+    per_ad = counts.groupBy("user_id", "ads_id", "day", "bucket").agg(F.sum("n").alias("n"))
+    flags = _flagged(per_ad, threshold).withColumnRenamed("user_id", "flagged")
     late = (F.col("user_id") == F.col("flagged")) & (F.col("bucket") > F.col("flag_bucket"))
-    return bucketed.join(flags, late, "left_anti")
+    return counts.join(flags, late, "left_anti").groupBy(*keys, "day").agg(F.sum("n").alias("click_count"))
 
 
 def drop_users(clicks: DataFrame, blacklist: DataFrame) -> DataFrame:
-    """Clicks of users that are not on a given list."""
-    return clicks.join(blacklist.select("user_id"), "user_id", "left_anti").select(*clicks.columns)
+    """Clicks of users that are not on a given list.
+
+    Clicks of one user are dealt over ``SALTS`` tasks where the join is by shuffle.
+    """
+    listed = blacklist.select(F.col("user_id").alias("listed"), _every_salt())
+    same = (F.col("user_id") == F.col("listed")) & (F.col("own_salt") == F.col("salt"))
+    return clicks.withColumn("own_salt", _salt()).join(listed, same, "left_anti").select(*clicks.columns)
 
 
 def user_ads_day_count(clicks: DataFrame) -> DataFrame:
@@ -136,29 +184,34 @@ def area_ads_top(counts: DataFrame, k: int = 3) -> DataFrame:
 
 
 def minute_lists(per_minute: DataFrame) -> DataFrame:
-    """Counts per ad and minute to one JSON text per ad, in time order."""
-    entries = F.array_sort(F.collect_list(F.struct("minute", "label", "click_count")))
-    return (
-        per_minute.withColumn("label", minute_label(F.col("minute")))
-        .groupBy("ads_id")
-        .agg(count_pairs_json(entries, "label", "click_count").alias("minute_counts"))
-    )
+    """Counts per ad and minute label to one JSON text per ad, in order of the labels."""
+    entries = F.array_sort(F.collect_list(F.struct("minute", "click_count")))
+    return per_minute.groupBy("ads_id").agg(
+        count_pairs_json(entries, "minute", "click_count").alias("minute_counts"))
 
 
-def in_window(ts: str, as_of: datetime | Column, minutes: int) -> Column:
-    """Whether ``ts`` lies in the ``minutes`` up to and including ``as_of``."""
-    end = as_of if isinstance(as_of, Column) else F.lit(as_of)
-    return (F.col(ts) > end - F.expr(f"INTERVAL {int(minutes)} MINUTES")) & (F.col(ts) <= end)
+def in_window(arrival: str, as_of: datetime | Column, minutes: int, slide: int = SLIDE) -> Column:
+    """Whether ``arrival`` lies in the window that was last complete at ``as_of``.
+
+    Windows of ``minutes`` move every ``slide`` seconds; they hold their start, not their end.
+    """
+    given = as_of if isinstance(as_of, Column) else F.lit(as_of)
+    end = F.timestamp_seconds(F.floor(F.unix_seconds(given) / F.lit(slide)) * F.lit(slide))
+    return (F.col(arrival) >= end - F.expr(f"INTERVAL {int(minutes)} MINUTES")) & (F.col(arrival) < end)
 
 
-def last_hour_minutes(clicks: DataFrame, as_of: datetime | Column, minutes: int = 60) -> DataFrame:
-    """Clicks of each ad by minute over the window up to ``as_of``, as JSON text.
+def last_hour_minutes(
+    clicks: DataFrame, as_of: datetime | Column, minutes: int = 60, arrival: str = "ts"
+) -> DataFrame:
+    """Clicks of each ad by minute label over the window of arrivals at ``as_of``, as JSON text.
 
-    Clicks are counted per ad and minute first, so a list has one entry per minute.
+    The window is by ``arrival``, the label by the click's own time: a click that comes hours
+    late counts when it comes. Clicks are counted per ad and label first, so a list has at
+    most 1440 entries.
     """
     per_minute = (
-        clicks.where(in_window("ts", as_of, minutes))
-        .groupBy("ads_id", F.date_trunc("minute", "ts").alias("minute"))
+        clicks.where(in_window(arrival, as_of, minutes))
+        .groupBy("ads_id", minute_label(F.col("ts")).alias("minute"))
         .agg(F.count(F.lit(1)).alias("click_count"))
     )
     return minute_lists(per_minute)

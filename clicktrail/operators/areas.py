@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clicktrail.functions import double_text, half_up, share
-from clicktrail.operators.visits import is_click
-from clicktrail.session import fits_broadcast
+from clicktrail.operators.visits import clicked
 
 # Fixed text: the label of all cities but the two shown.
 OTHER_CITIES = "其他"
@@ -22,7 +21,7 @@ def area_product_clicks(visits: DataFrame, cities: DataFrame, products: DataFram
     joins nor a hot product sees single log rows.
     """
     by_id = (
-        visits.where(is_click("click_product_id"))
+        visits.where(clicked("click_product_id"))
         .groupBy(F.col("click_product_id").alias("product_id"), "city_id")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -44,7 +43,8 @@ def city_remark(counts: DataFrame, keys: Sequence[str], city: str = "city_name",
     """
     keys = list(keys)
     named = F.coalesce(F.col(city) != "", F.lit(False))
-    per_city = counts.groupBy(*keys, city).agg(F.sum(n).alias("n")).withColumn("named", named)
+    # dealt by the keys alone, so that both sums and the ranks need one shuffle
+    per_city = counts.repartition(*keys).groupBy(*keys, city).agg(F.sum(n).alias("n")).withColumn("named", named)
     leading = Window.partitionBy(*keys).orderBy(F.desc("named"), F.desc("n"), city)
     ranked = per_city.withColumn("rk", F.row_number().over(leading))
 
@@ -116,18 +116,16 @@ def area_product_top(
     visits: DataFrame, cities: DataFrame, products: DataFrame, k: int = 3
 ) -> DataFrame:
     """The ``k`` most clicked products of each area, with click count and city remark."""
-    return top_products(
-        area_product_clicks(visits, cities, products), k, few_areas=fits_broadcast(cities)
-    )
+    return top_products(area_product_clicks(visits, cities, products), k)
 
 
-def top_products(detail: DataFrame, k: int = 3, few_areas: bool = False) -> DataFrame:
+def top_products(detail: DataFrame, k: int = 3) -> DataFrame:
     """As :func:`area_product_top`, from counts per area, product and city.
 
     Products are ranked by their totals, cut per task before the shuffle by area. Cities
     are ranked for the ``k`` leaders of each area only: the counts of all others are left
-    out by a semi-join. ``few_areas`` says that the leaders, ``k`` rows per area, may be
-    broadcast; else Spark picks the join. Both uses of ``detail`` share its shuffles.
+    out by a semi-join, for which Spark picks the way by the measured size of the leaders.
+    Both uses of ``detail`` share its shuffles.
     """
     keys = ["area", "product_id", "product_name"]
     by_clicks = Window.partitionBy("area").orderBy(
@@ -140,7 +138,5 @@ def top_products(detail: DataFrame, k: int = 3, few_areas: bool = False) -> Data
         .where(F.col("rk") <= k)
         .select(*[F.col(c).alias(f"top_{c}") for c in keys])
     )
-    if few_areas:
-        leaders = F.broadcast(leaders)
     same = [F.col(c).eqNullSafe(F.col(f"top_{c}")) for c in keys]
     return city_remark(detail.join(leaders, same, "left_semi"), keys)

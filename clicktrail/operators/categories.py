@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clicktrail.functions import csv_items
-from clicktrail.operators.visits import is_click
+from clicktrail.operators.visits import clicked, is_click
 
 
 def category_counts(visits: DataFrame) -> DataFrame:
@@ -48,13 +48,18 @@ def category_top(visits: DataFrame, k: int = 10) -> DataFrame:
 
 
 def category_session_counts(visits: DataFrame, categories: DataFrame) -> DataFrame:
-    """Clicks per session on each of the given categories."""
-    wanted = categories.select("category_id")
+    """Clicks per session on each of the given categories.
+
+    Rows that are no click are filtered at the scan, and clicks are counted per session
+    before the join with the categories.
+    """
+    wanted = categories.select(F.col("category_id").cast("bigint").alias("click_category_id"))
     return (
-        visits.select(F.col("click_category_id").cast("string").alias("category_id"), "session_id")
-        .join(wanted, "category_id", "left_semi")
-        .groupBy("category_id", "session_id")
+        visits.where(clicked("click_category_id"))
+        .groupBy("click_category_id", "session_id")
         .agg(F.count(F.lit(1)).alias("click_count"))
+        .join(wanted, "click_category_id", "left_semi")
+        .select(F.col("click_category_id").cast("string").alias("category_id"), "session_id", "click_count")
     )
 
 

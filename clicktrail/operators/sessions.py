@@ -16,9 +16,6 @@ SLICE_SECONDS = 60
 # Sub-groups per hour in which the sample is ranked before the ranks are merged.
 LANES = 32
 
-# Samples up to this size may be broadcast.
-BROADCAST_ROWS = 200_000
-
 # Lists of a summary, in output order.
 LISTS = ("search_keywords", "click_product_ids", "order_product_ids", "pay_product_ids")
 
@@ -187,11 +184,9 @@ def session_hourly_sample(visits: DataFrame, n: int = 1000, seed: int = 0) -> Da
 
     The draw needs start times only; lists are built for the drawn sessions alone. There
     are at most ``2 * n`` of them: a quota of at least 1 means an unrounded share of at
-    least 0.5, so rounding at most doubles it. That bound decides on the broadcast.
+    least 0.5, so rounding at most doubles it. Adaptive execution broadcasts them if few.
     """
     pick = hourly_pick(visits, n, seed).withColumnRenamed("session_id", "picked")
-    if 2 * n <= BROADCAST_ROWS:
-        pick = F.broadcast(pick)
     same = F.col("session_id").eqNullSafe(F.col("picked"))
     chosen = visits.join(pick, same, "left_semi")
     return session_summary(chosen)

@@ -59,3 +59,8 @@ def with_order(visits: DataFrame) -> DataFrame:
 
 def is_click(id_column: str) -> Column:
     return F.coalesce(F.col(id_column) != NO_CLICK, F.lit(False))
+
+
+def clicked(id_column: str) -> Column:
+    """As :func:`is_click`, for filters: NULL is no match there, and scans can use it."""
+    return F.col(id_column) != NO_CLICK

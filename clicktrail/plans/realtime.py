@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from clicktrail.operators.ads import area_ads_top, observe_lines, parse_ads_log
 from clicktrail.session import configure
 from clicktrail.streaming.counts import (
-    AREA_COUNTS, AREA_KEYS, BUCKET_COUNTS, bucket_counts, last_minutes_of_buckets,
+    AREA_COUNTS, AREA_KEYS, BUCKET_COUNTS, BUCKET_KEYS, bucket_counts, last_minutes_of_buckets,
     running_day_counts, start_upsert,
 )
 from clicktrail.streaming.guard import GuardState
@@ -27,16 +29,19 @@ class RealtimeAds:
 
     def __init__(
         self, spark: SparkSession, root: str, threshold: int = 100, full_every: int = 100,
-        delay: str | None = None, bucket_delay: str = "2 hours",
+        delay: str | None = None, time_zone: str | None = None,
     ):
-        self.spark, self.root = configure(spark, streaming=True), root.rstrip("/")
-        self.delay, self.bucket_delay = delay, bucket_delay
+        """``time_zone`` labels days and minutes; the session's own unless given."""
+        zone = time_zone or spark.conf.get("spark.sql.session.timeZone")
+        self.spark, self.root = configure(spark, zone, streaming=True), root.rstrip("/")
+        self.delay = delay
         self.guard = GuardState(spark, f"{self.root}/guard", threshold, full_every)
         self.area_counts = VersionedTable(
             spark, f"{self.root}/area_city_ads_day", AREA_COUNTS, AREA_KEYS, full_every
         )
         self.buckets = VersionedTable(
-            spark, f"{self.root}/ads_buckets", BUCKET_COUNTS, ["ads_id", "bucket_ts"], full_every
+            spark, f"{self.root}/ads_buckets", BUCKET_COUNTS, BUCKET_KEYS, full_every,
+            expire=("bucket_ts", "25 hours"),
         )
 
     def _checkpoint(self, name: str) -> str:
@@ -47,18 +52,33 @@ class RealtimeAds:
         clicks = parse_ads_log(observe_lines(lines))
         return self.guard.start(clicks, self._checkpoint("guard"), trigger)
 
-    def start_counts(self, clicks: DataFrame | None = None, trigger: dict | None = None) -> list[StreamingQuery]:
-        """Both running counts over the kept clicks, or over another stream of clicks."""
+    def start_counts(
+        self, clicks: DataFrame | None = None, trigger: dict | None = None,
+        publish: Callable[[str, DataFrame], None] | None = None, arrival: Column | None = None,
+    ) -> list[StreamingQuery]:
+        """Both running counts over the kept clicks, or over another stream of clicks.
+
+        ``publish`` gets the name and frame of a report after each batch of its counts:
+        ``area_ads_top`` and ``last_hour``, the latter as of that moment. ``arrival`` stands
+        in for the time of the batch.
+        """
         def source():
             return clicks if clicks is not None else self.guard.clean_stream()
 
+        def report(name: str, frame: Callable[[], DataFrame]):
+            return None if publish is None else lambda _: publish(name, frame())
+
         per_area = running_day_counts(source(), AREA_KEYS[:-1], self.delay)
-        per_bucket = bucket_counts(source(), delay=self.bucket_delay)
+        per_bucket = bucket_counts(source(), arrival=arrival)
         return [
-            start_upsert(per_area, self.area_counts, self._checkpoint("area"), trigger),
+            start_upsert(
+                per_area, self.area_counts, self._checkpoint("area"), trigger,
+                report("area_ads_top", self.area_ads_top),
+            ),
             start_upsert(
                 per_bucket, self.buckets, self._checkpoint("buckets"),
                 trigger or {"processingTime": "10 seconds"},
+                report("last_hour", lambda: self.last_hour(F.current_timestamp())),
             ),
         ]
 

@@ -4,24 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Fixed values of the ad log's consumer.
+# Fixed value: the topic of the ad log.
 TOPIC = "ads_log"
-GROUP_ID = "commerce-consumer-group"
 
 
 def topic_lines(
-    spark: SparkSession, servers: str, topic: str = TOPIC, group_id: str = GROUP_ID,
+    spark: SparkSession, servers: str, topic: str = TOPIC, group_id: str | None = None,
     starting: str = "latest", **options,
 ) -> DataFrame:
     """Record values of a Kafka topic. Offsets are kept in the query's checkpoint.
 
     Needs the Kafka connector on the class path. ``maxOffsetsPerTrigger`` bounds a batch.
+    Without ``group_id`` Spark makes one per query; queries that share one would each see
+    a part of the topic only.
     """
+    if group_id is not None:
+        options["kafka.group.id"] = group_id
     return (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
-        .option("kafka.group.id", group_id)
         .option("startingOffsets", starting)
         .options(**options)
         .load()

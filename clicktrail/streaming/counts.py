@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from clicktrail.functions import day_label
-from clicktrail.operators.ads import minute_lists
+from clicktrail.functions import day_label, minute_label
+from clicktrail.operators.ads import SLIDE, in_window, minute_lists
 from clicktrail.streaming.versions import VersionedTable
 
+BUCKET_KEYS = ["ads_id", "minute", "bucket_ts"]
 AREA_KEYS = ["area", "city", "ads_id", "day"]
 AREA_COUNTS = T.StructType(
     [T.StructField(k, T.StringType()) for k in AREA_KEYS] + [T.StructField("click_count", T.LongType())]
@@ -20,6 +22,7 @@ AREA_COUNTS = T.StructType(
 BUCKET_COUNTS = T.StructType(
     [
         T.StructField("ads_id", T.StringType()),
+        T.StructField("minute", T.StringType()),
         T.StructField("bucket_ts", T.TimestampType()),
         T.StructField("click_count", T.LongType()),
     ]
@@ -30,7 +33,8 @@ def running_day_counts(clicks: DataFrame, keys: list[str], delay: str | None = N
     """Clicks per key and day so far.
 
     Without ``delay`` every key is kept for good. With it, the counts of a UTC day are
-    closed once event time is that far past its end, and later clicks of it are lost.
+    closed once event time is that far past its end; later clicks of it are not counted,
+    and the query's progress reports how many (``numRowsDroppedByWatermark``).
     """
     if delay is None:
         grouped = clicks.groupBy(*keys, day_label(F.col("ts")).alias("day"))
@@ -42,41 +46,54 @@ def running_day_counts(clicks: DataFrame, keys: list[str], delay: str | None = N
     return counts.select(*keys, day_label(F.col("w.start")).alias("day"), "click_count")
 
 
-def bucket_counts(clicks: DataFrame, seconds: int = 10, delay: str = "2 hours") -> DataFrame:
-    """Clicks per ad and ``seconds``-wide bucket of event time.
+def bucket_counts(clicks: DataFrame, seconds: int = SLIDE, arrival: Column | None = None) -> DataFrame:
+    """Clicks per ad, minute label and ``seconds``-wide bucket of arrival.
 
-    Sliding windows over the last hour would copy each click into every window that
-    holds it. Buckets as wide as the slide hold it once and are added up on reading.
+    Sliding windows over the last hour would copy each click into every window that holds
+    it. Buckets as wide as the slide hold it once and are added up on reading. Arrival is
+    the time of the batch unless given: a replayed batch keeps its time, so nothing is ever
+    late, whatever the clicks' own times are, and the state holds the newest buckets only.
     """
     counts = (
-        clicks.withWatermark("ts", delay)
-        .groupBy("ads_id", F.window("ts", f"{int(seconds)} seconds").alias("w"))
+        clicks.withColumn("arrival", F.current_timestamp() if arrival is None else arrival)
+        .withWatermark("arrival", "1 minute")
+        .groupBy("ads_id", minute_label(F.col("ts")).alias("minute"), F.window("arrival", f"{int(seconds)} seconds").alias("w"))
         .agg(F.count(F.lit(1)).alias("click_count"))
     )
-    return counts.select("ads_id", F.col("w.start").alias("bucket_ts"), "click_count")
+    return counts.select("ads_id", "minute", F.col("w.start").alias("bucket_ts"), "click_count")
 
 
 def last_minutes_of_buckets(
     buckets: DataFrame, as_of: datetime | Column, minutes: int = 60
 ) -> DataFrame:
-    """Clicks of each ad by minute, over the buckets that start in the ``minutes`` before
-    ``as_of``. It is evaluated on reading, so it moves on when no clicks arrive."""
-    end = as_of if isinstance(as_of, Column) else F.lit(as_of)
-    start = end - F.expr(f"INTERVAL {int(minutes)} MINUTES")
+    """Clicks of each ad by minute label, over the window of arrivals at ``as_of``.
+
+    The same window as :func:`clicktrail.operators.ads.last_hour_minutes` takes. It is
+    evaluated on reading, so it moves on when no clicks arrive.
+    """
     per_minute = (
-        buckets.where((F.col("bucket_ts") >= start) & (F.col("bucket_ts") < end))
-        .groupBy("ads_id", F.date_trunc("minute", "bucket_ts").alias("minute"))
+        buckets.where(in_window("bucket_ts", as_of, minutes))
+        .groupBy("ads_id", "minute")
         .agg(F.sum("click_count").alias("click_count"))
     )
     return minute_lists(per_minute)
 
 
 def start_upsert(
-    counts: DataFrame, table: VersionedTable, checkpoint: str, trigger: dict | None = None
+    counts: DataFrame, table: VersionedTable, checkpoint: str, trigger: dict | None = None,
+    after: Callable[[int], None] | None = None,
 ) -> StreamingQuery:
-    """Run a streaming aggregate in update mode and write each batch's changed keys."""
+    """Run a streaming aggregate in update mode and write each batch's changed keys.
+
+    ``after`` is called with the batch's number once its keys are written.
+    """
+    def step(changed: DataFrame, batch_id: int) -> None:
+        table.write(changed, batch_id)
+        if after is not None:
+            after(batch_id)
+
     return (
-        counts.writeStream.outputMode("update").foreachBatch(table.write)
+        counts.writeStream.outputMode("update").foreachBatch(step)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "5 seconds"}))
         .start()

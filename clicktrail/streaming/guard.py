@@ -13,6 +13,7 @@ from clicktrail.schemas import ADS_CLICK
 from clicktrail.streaming.versions import BatchFolders, VersionedTable
 
 KEYS = ["user_id", "ads_id", "day"]
+MOST_DAYS = 1000   # listed to pick folders; a batch of more days is matched by key alone
 TOTALS = T.StructType(
     [T.StructField(k, T.StringType()) for k in KEYS]
     + [T.StructField("prior", T.LongType()), T.StructField("click_count", T.LongType())]
@@ -57,9 +58,10 @@ class GuardState:
             .groupBy("user_id", "ads_id", day_label(F.col("ts")).alias("day"))
             .agg(F.count(F.lit(1)).alias("n"))
         )
-        first, last = counts.agg(F.min("day"), F.max("day")).first()
+        # folders of the batch's days only, and of those the batch's keys only
+        days = [r.day for r in counts.select("day").distinct().limit(MOST_DAYS + 1).collect()]
         before = self.totals.latest(
-            before=batch_id, where=F.col("day").between(first or "", last or "")
+            before=batch_id, where=F.col("day").isin(days) if len(days) <= MOST_DAYS else None, keys=counts
         ).select(*KEYS, F.col("click_count").alias("known"))
         prior = F.coalesce(F.col("known"), F.lit(0))
         changed = counts.join(before, KEYS, "left").select(

@@ -11,11 +11,6 @@ from pyspark.sql import types as T
 _BATCH = re.compile(r"batch_id=(\d+)")
 
 
-def shared_dir(spark: SparkSession) -> str | None:
-    """The folder all nodes see, as named by the cluster."""
-    return spark.conf.get("spark.checkpoint.dir", None)
-
-
 class BatchFolders:
     """Folders ``batch_id=N`` under a root. They appear by a rename, once written."""
 
@@ -77,27 +72,46 @@ class VersionedTable:
 
     A read takes the newest value of every key. Every ``full_every`` batches all keys are
     written as a full version, which bounds the number of batches a read goes through.
-    Full versions are laid out by the column ``partition``, if any. What they replace is
-    removed, but for the version before: a read has ``full_every`` batches to finish.
+    Rows are laid out by the column ``partition``, if any, in a few files for each of its
+    values. What full versions replace is removed, but for the version before: a read has
+    ``full_every`` batches to finish. ``expire`` names a time column and an age: full versions
+    leave out keys that are so much older than the newest.
     """
 
+    FILES = 4   # per value of the partition column and batch
+
     def __init__(
         self, spark: SparkSession, root: str, schema: T.StructType, keys: list[str],
-        full_every: int = 100, partition: str | None = None,
+        full_every: int = 100, partition: str | None = None, expire: tuple[str, str] | None = None,
     ):
         self.schema, self.keys, self.full_every, self.partition = schema, keys, full_every, partition
+        self.expire = expire
         self.values = [f for f in schema.fieldNames() if f not in keys]
         self.changes = BatchFolders(spark, f"{root}/changes")
         self.full = BatchFolders(spark, f"{root}/full")
 
     def write(self, changed: DataFrame, batch_id: int) -> None:
-        self.changes.publish(changed.select(*self.schema.fieldNames()), batch_id)
+        self.changes.publish(self._laid_out(changed.select(*self.schema.fieldNames())), batch_id, self.partition)
         if batch_id and batch_id % self.full_every == 0:
-            self.full.publish(self.latest(before=batch_id + 1), batch_id, self.partition)
+            rows = self.latest(before=batch_id + 1)
+            if self.expire:
+                column, age = self.expire
+                newest = rows.agg(F.max(column)).scalar()
+                rows = rows.where(F.col(column) >= newest - F.expr(f"INTERVAL {age}"))
+            self.full.publish(self._laid_out(rows), batch_id, self.partition)
             self.prune()
 
-    def latest(self, before: int | None = None, where=None) -> DataFrame:
-        """Newest value per key, over the batches below ``before``."""
+    def _laid_out(self, rows: DataFrame) -> DataFrame:
+        if not self.partition:
+            return rows
+        part = F.pmod(F.xxhash64(*self.keys), F.lit(self.FILES))
+        return rows.repartition(self.partition, part)
+
+    def latest(self, before: int | None = None, where=None, keys: DataFrame | None = None) -> DataFrame:
+        """Newest value per key, over the batches below ``before``.
+
+        ``keys`` limits the rows to those keys before they are compared.
+        """
         end = float("inf") if before is None else before
         base = [b for b in self.full.complete() if b < end][-1:]
         since = base[0] if base else -1
@@ -105,6 +119,8 @@ class VersionedTable:
         rows = self.full.read(base, self.schema).unionByName(self.changes.read(newer, self.schema))
         if where is not None:
             rows = rows.where(where)
+        if keys is not None:
+            rows = rows.join(keys.select(*self.keys), self.keys, "left_semi")
         newest = [F.max_by(v, "batch_id").alias(v) for v in self.values]
         grouped = rows.groupBy(*self.keys)
         out = grouped.agg(*newest) if newest else rows.select(*self.keys).distinct()

@@ -2,6 +2,8 @@ from collections import Counter, defaultdict
 from datetime import datetime
 import random
 
+from pyspark.sql import functions as F
+
 from clicktrail import operators as op
 from tests.rows import START, clicks
 
@@ -79,5 +81,41 @@ def test_last_hour_is_half_open_and_in_time_order(spark):
     rows = [(0, "u", "x"), (1, "u", "x"), (3599, "u", "x"), (3600, "u", "x"), (3601, "u", "x"), (60, "u", "y")]
     got = op.last_hour_minutes(parsed(spark, rows), datetime(2024, 1, 1, 11, 0, 0)).collect()
     assert {r.ads_id: r.minute_counts for r in got} == {
-        "x": '[{"10:00":1},{"10:59":1},{"11:00":1}]', "y": '[{"10:01":1}]',
+        "x": '[{"10:00":2},{"10:59":1}]', "y": '[{"10:01":1}]',
     }
+    # the window moves every ten seconds, and counts by arrival where that is another time
+    later = op.last_hour_minutes(parsed(spark, rows), datetime(2024, 1, 1, 11, 0, 19)).collect()
+    assert {r.ads_id: r.minute_counts for r in later}["x"] == '[{"10:59":1},{"11:00":2}]'
+    arrived = parsed(spark, rows).withColumn("at", F.lit(datetime(2024, 1, 3)))
+    got = op.last_hour_minutes(arrived, datetime(2024, 1, 3, 0, 0, 10), arrival="at").collect()
+    assert {r.ads_id: r.minute_counts for r in got}["x"] == '[{"10:00":2},{"10:59":1},{"11:00":2}]'
+
+
+def test_epochs_out_of_range_are_rejected_and_kill_nothing(spark):
+    bad = ["99999999999999999 n c 1 2", "9223372036854775807 n c 1 2", "-1 n c 1 2", "253402300800000 n c 1 2", "1.5 n c 1 2"]
+    good = ["0 n c 1 2", "253402300799999 n c 1 2"]
+    lines = spark.createDataFrame([(x,) for x in bad + good], "value STRING")
+    assert sorted(r.value for r in op.ads_log_rejects(lines).collect()) == sorted(bad)
+    days = [r.d for r in op.parse_ads_log(lines).select(F.date_format("ts", "yyyy-MM-dd").alias("d")).collect()]
+    assert sorted(days) == ["1970-01-01", "9999-12-31"]
+
+
+def test_a_hot_user_is_dealt_over_many_tasks(spark):
+    rows = [(i, "hot", str(i % 5)) for i in range(3000)] + [(i, f"u{i % 300}", "x") for i in range(900)]
+    bucketed = op.click_buckets(parsed(spark, rows), 100)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        listed = spark.createDataFrame([("u1",)], "user_id STRING")
+        for kept in (op.click_guard(bucketed, 200), op.drop_users(bucketed, listed)):
+            parts = kept.where("user_id = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+            assert len(parts) >= 8
+        counts = {r.user_id: r.click_count for r in op.guarded_day_counts(bucketed, ["user_id"], 200).collect()}
+        plain = {r.user_id: r.n for r in op.click_guard(bucketed, 200).groupBy("user_id").agg(F.count("*").alias("n")).collect()}
+        assert counts == plain and counts["hot"] < 3000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -5,12 +5,12 @@ import uuid
 
 import pytest
 
-import __spark_entry__ as entry
+from checks.queries import REGISTRY
 from clicktrail import operators as op
 from clicktrail.params import VisitCondition
 from tests.rows import visits
 
-LAZY = [n for n in entry.queries() if not n.startswith(("stream_", "report_", "table_sink"))]
+LAZY = [n for n in REGISTRY if not n.startswith(("stream_", "report_", "table_sink"))]
 
 
 def plan(df) -> str:
@@ -23,13 +23,13 @@ def read_schemas(text):
 
 @pytest.mark.parametrize("name", LAZY)
 def test_no_pairing_of_all_rows_and_no_python(spark, sf_dir, name):
-    text = plan(entry.queries()[name](spark, sf_dir))
+    text = plan(REGISTRY[name](spark, sf_dir))
     for node in ("CartesianProduct", "NestedLoopJoin", "EvalPython", "InPandas", "InArrow"):
         assert node not in text
 
 
 def test_statistics_read_two_columns(spark, sf_dir):
-    text = plan(entry.queries()["session_stats"](spark, sf_dir))
+    text = plan(REGISTRY["session_stats"](spark, sf_dir))
     assert read_schemas(text) == [{"ts", "user_id"}]
 
 
@@ -37,23 +37,23 @@ def test_statistics_read_two_columns(spark, sf_dir):
     ("category_session_top10", 1), ("area_product_top3", 1), ("area_ads_top3", 1), ("session_hourly_sample", 1),
 ])
 def test_ranks_are_cut_before_the_shuffle(spark, sf_dir, name, limits):
-    text = plan(entry.queries()[name](spark, sf_dir))
+    text = plan(REGISTRY[name](spark, sf_dir))
     assert len(re.findall(r"WindowGroupLimit .* Partial", text)) == limits
 
 
 def test_category_ranking_keeps_ten_rows_per_task(spark, sf_dir):
-    assert "TakeOrderedAndProject(limit=10" in plan(entry.queries()["category_top10"](spark, sf_dir))
+    assert "TakeOrderedAndProject(limit=10" in plan(REGISTRY["category_top10"](spark, sf_dir))
 
 
 def test_shared_shuffles_run_once(spark, sf_dir):
     for name in ("area_product_top3_lines", "session_hourly_sample"):
-        df = entry.queries()[name](spark, sf_dir)
+        df = REGISTRY[name](spark, sf_dir)
         df.collect()
         assert "ReusedExchange" in plan(df)
 
 
 def test_paging_reads_the_log_once(spark, sf_dir):
-    assert len(read_schemas(plan(entry.queries()["page_conversion"](spark, sf_dir)))) == 1
+    assert len(read_schemas(plan(REGISTRY["page_conversion"](spark, sf_dir)))) == 1
 
 
 def test_bounds_reach_the_scans(spark):
@@ -69,3 +69,17 @@ def test_bounds_reach_the_scans(spark):
     assert re.search(r"PartitionFilters: \[.*date#\d+ >= 2024-01-02", text)
     assert "GreaterThanOrEqual(age,18)" in text and "EqualTo(professional,a)" in text
     assert kept.count() == 3
+
+
+def test_rows_that_are_no_click_are_filtered_at_the_scan(spark):
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/{uuid.uuid4().hex}"
+    visits(spark, [{"at": d} for d in range(4)]).write.parquet(path)
+    log = spark.read.parquet(path)
+    text = plan(op.category_session_counts(log, op.category_top(log)))
+    assert "Not(EqualTo(click_category_id,-1))" in text
+
+
+def test_city_remark_shuffles_once(spark, sf_dir):
+    text = plan(REGISTRY["city_remark_lines"](spark, sf_dir))
+    keyed = re.findall(r"Exchange hashpartitioning\(area#\d+, product_id#\d+L?, product_name#\d+(?:, city_name#\d+)?, \d+\)", text)
+    assert len(keyed) == 1 and "city_name" not in keyed[0]

@@ -1,7 +1,7 @@
 import random
 import uuid
 from collections import Counter
-from datetime import datetime
+from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from clicktrail import operators as op
 from clicktrail.plans import RealtimeAds
 from clicktrail.sources import file_lines
-from clicktrail.streaming import GuardState, VersionedTable
+from clicktrail.streaming import GuardState, VersionedTable, last_minutes_of_buckets
 from tests.rows import clicks
 from tests.test_ads import brute_guard
 
@@ -139,12 +139,58 @@ def test_stream_with_restarts_equals_batch(spark, root):
     same(app.user_ads_day_count(), op.user_ads_day_count(clean))
     same(app.area_city_ads_day_count(), op.area_city_ads_day_count(clean))
     same(app.area_ads_top(2), op.area_ads_top(op.area_city_ads_day_count(clean), 2))
-    # as_of between two seconds, so that both windows hold the same clicks
-    as_of = datetime(2024, 1, 1, 11, 30, 0)
-    per_second = clean.where((F.col("ts") >= datetime(2024, 1, 1, 10, 30)) & (F.col("ts") < as_of))
-    same(app.last_hour(as_of), op.last_hour_minutes(per_second, as_of, 10**6))
+    # all arrived within the hour, whatever their own times
+    now = F.current_timestamp() + F.expr("INTERVAL 10 SECONDS")
+    same(app.last_hour(now), op.last_hour_minutes(clean.withColumn("at", F.current_timestamp()), now, arrival="at"))
     # with no further clicks the window still moves on
-    assert app.last_hour(datetime(2024, 1, 1, 23, 0, 0)).count() == 0
+    assert app.last_hour(now + F.expr("INTERVAL 61 MINUTES")).count() == 0
+
+
+def test_both_forms_of_the_last_hour_take_the_same_window_and_lose_no_late_click(spark, root):
+    rng = random.Random(4)
+    first = datetime(2024, 1, 1, 10, 0, 0)
+    # a click's own time, and when it arrives: some hours late, not in the order of time
+    rows = [(rng.randrange(7200), rng.choice("123"), rng.randrange(5400)) for _ in range(300)]
+    rng.shuffle(rows)
+    app = RealtimeAds(spark, root)
+    lines = clicks(spark, [(s, f"{arrived}", a) for s, a, arrived in rows])    # the user tells the arrival
+    arrival = F.timestamp_seconds(F.unix_seconds(F.lit(first)) + F.col("user_id").cast("bigint"))
+    for part in range(3):
+        deliver(spark, lines.where(F.split("value", " ")[3].cast("int") % 3 == part), root)
+        stream = op.parse_ads_log(file_lines(spark, f"{root}/log"))
+        for running in app.start_counts(stream, NOW, arrival=F.expr("current_timestamp()")):
+            running.awaitTermination()
+    held = app.buckets.latest().agg(F.sum("click_count")).first()[0]
+    assert held == len(rows)
+    batch = op.parse_ads_log(lines).withColumn("arrival", arrival)
+    buckets = batch.groupBy("ads_id", F.date_format("ts", "HH:mm").alias("minute"), F.window("arrival", "10 seconds").alias("w")).agg(
+        F.count(F.lit(1)).alias("click_count")).withColumn("bucket_ts", F.col("w.start"))
+    for seconds in (1, 3605, 3599, 4247.5, 6003, 9999):
+        as_of = first + timedelta(seconds=seconds)
+        a = last_minutes_of_buckets(buckets, as_of)
+        b = op.last_hour_minutes(batch, as_of, arrival="arrival")
+        assert Counter(map(tuple, a.collect())) == Counter(map(tuple, b.select(*a.columns).collect()))
+
+
+def test_reports_are_published_after_every_batch(spark, root):
+    app, seen = RealtimeAds(spark, root), []
+    for part in range(2):
+        deliver(spark, clicks(spark, [(part, "u", "x")]), root)
+        stream = op.parse_ads_log(file_lines(spark, f"{root}/log"))
+        for running in app.start_counts(stream, NOW, publish=lambda name, df: seen.append((name, df.count()))):
+            running.awaitTermination()
+    assert Counter(name for name, _ in seen)["area_ads_top"] >= 2 and {n for n, _ in seen} == {"area_ads_top", "last_hour"}
+    assert all(n == 1 for name, n in seen if name == "area_ads_top")
+
+
+def test_expired_keys_leave_full_versions_and_given_keys_limit_a_read(spark, root):
+    schema = T.StructType([*PAIR.fields, T.StructField("at", T.TimestampType())])
+    table = VersionedTable(spark, root, schema, ["k"], full_every=1, expire=("at", "25 hours"))
+    rows = [("old", 1, datetime(2024, 1, 1)), ("new", 2, datetime(2024, 1, 3))]
+    table.write(spark.createDataFrame(rows[:1], schema), 0)
+    table.write(spark.createDataFrame(rows[1:], schema), 1)
+    assert [r.k for r in table.latest().collect()] == ["new"]
+    assert table.latest(keys=spark.createDataFrame([("none",)], "k STRING")).collect() == []
 
 
 def test_left_out_lines_are_counted_in_the_progress(spark, root):
@@ -158,7 +204,7 @@ def test_left_out_lines_are_counted_in_the_progress(spark, root):
 
 def test_delay_closes_old_days_only(spark, root):
     day = 86400
-    app = RealtimeAds(spark, root, delay="1 hour", bucket_delay="100 days")
+    app = RealtimeAds(spark, root, delay="1 hour")
     for rows in ([(0, "u", "1")], [(5 * day, "u", "1")], [(5 * day, "u", "1"), (60, "u", "1"), (5 * day + 1, "u", "2")]):
         deliver(spark, clicks(spark, rows), root)
         stream = op.parse_ads_log(file_lines(spark, f"{root}/log"))
