@@ -57,8 +57,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column
     wanted = wanted.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     drawn = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most SAMPLE pairs of numbers, so the broadcast has a bound
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "y", "text")
-    rows = stash(texts.repartition(8).mapInArrow(_distinct_ngrams, "doc_id long, y int, grams binary"), "toxicity-sample")
+    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select(
+        F.col("doc_id").cast("long").alias("doc_id"), (F.col("y") > 0).cast("int").alias("y"), "text")
+    rows = stash(texts.repartition(8), "toxicity-sample")
     sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
@@ -106,23 +107,11 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return rows.mapInArrow(rate, schema)
 
 
-def _distinct_ngrams(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("grams", pa.binary())])
-
-    def rows():
-        for batch in source:
-            for doc, y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
-                grams = np.unique(ngrams(text)).astype("<u4").tobytes()
-                yield (doc, int(y > 0), grams), len(grams)
-
-    return batches(rows(), schema)
-
-
 def _count_ngrams(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, 1 << BUCKET_BITS), np.int32)
     for batch in source:
-        for y, grams in zip(batch.column(1).to_pylist(), batch.column(2)):
-            counts[y][np.frombuffer(grams.as_py(), "<u4")] += 1
+        for y, text in zip(batch.column(1).to_pylist(), as_bytes(batch.column(2))):
+            counts[y][np.unique(ngrams(text))] += 1
     grams = np.flatnonzero(counts.any(axis=0))
     for at in range(0, len(grams), 1 << 16):
         part = grams[at:at + (1 << 16)]
@@ -135,8 +124,8 @@ def _feature_numbers(grams: np.ndarray):
 
     def rows(source):
         for batch in source:
-            for doc, y, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                numbers = np.flatnonzero(np.isin(grams, np.frombuffer(own.as_py(), "<u4"), assume_unique=True))
+            for doc, y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
+                numbers = np.flatnonzero(np.isin(grams, ngrams(text)))
                 yield (doc, y, numbers.astype("<i4").tobytes()), 4 * len(numbers)
 
     return lambda source: batches(rows(source), schema)
