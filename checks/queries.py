@@ -168,14 +168,18 @@ def area_product_top3_sql(spark, sf_dir):
           JOIN city_info c ON v.city_id = c.city_id
           JOIN product_info p ON p.product_id = v.click_product_id
           GROUP BY c.area, p.product_id, p.product_name, c.city_name),
-        products AS (
-          SELECT area, product_id, product_name, sum(n) AS clickcount,
-                 city_remark(collect_list(struct(city_name, n))) AS cityremark
-          FROM city_counts GROUP BY area, product_id, product_name)
-        SELECT area, product_id, product_name, clickcount, cityremark FROM (
-          SELECT *, row_number() OVER (
-            PARTITION BY area ORDER BY clickcount DESC, product_id, product_name) AS rk FROM products)
-        WHERE rk <= 3""")
+        leaders AS (
+          SELECT area, product_id, product_name, clickcount FROM (
+            SELECT *, row_number() OVER (
+              PARTITION BY area ORDER BY clickcount DESC, product_id, product_name) AS rk
+            FROM (SELECT area, product_id, product_name, sum(n) AS clickcount
+                  FROM city_counts GROUP BY area, product_id, product_name))
+          WHERE rk <= 3)
+        SELECT l.area, l.product_id, l.product_name, first(clickcount) AS clickcount,
+               city_remark(collect_list(struct(city_name, n))) AS cityremark
+        FROM leaders l JOIN city_counts c
+          ON l.area <=> c.area AND l.product_id = c.product_id AND l.product_name <=> c.product_name
+        GROUP BY l.area, l.product_id, l.product_name""")
 
 
 @query
@@ -256,9 +260,9 @@ def _report(spark, sf_dir, name):
         views.city_info(spark, sf_dir), views.product_info(spark, sf_dir),
         CONDITION, TASK, SAMPLE, SEED,
     )
-    path = f"{work_folder(spark, 'report')}/{name}"
-    append_sink(getattr(reports, name)(), "parquet", path)
-    return spark.read.parquet(path)
+    folder = work_folder(spark, "report")
+    reports.write(lambda report, df: append_sink(df, "parquet", f"{folder}/{report}"), only=[name])
+    return spark.read.parquet(f"{folder}/{name}")
 
 
 @query

@@ -20,14 +20,19 @@ def area_product_clicks(visits: DataFrame, cities: DataFrame, products: DataFram
     Clicks are counted by product and city id before the two inner joins, so neither the
     joins nor a hot product sees single log rows.
     """
+    return _clicks_by_id(visits, cities).join(
+        products.select("product_id", "product_name"), "product_id"
+    ).select("area", "product_id", "product_name", "city_name", "n")
+
+
+def _clicks_by_id(visits: DataFrame, cities: DataFrame) -> DataFrame:
     by_id = (
         visits.where(clicked("click_product_id"))
         .groupBy(F.col("click_product_id").alias("product_id"), "city_id")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return by_id.join(cities.select("city_id", "city_name", "area"), "city_id").join(
-        products.select("product_id", "product_name"), "product_id"
-    ).select("area", "product_id", "product_name", "city_name", "n")
+    return by_id.join(cities.select("city_id", "city_name", "area"), "city_id").select(
+        "area", "product_id", "city_name", "n")
 
 
 def _label(name: str, ratio: Column) -> Column:
@@ -115,11 +120,20 @@ def register_city_remark(spark: SparkSession, name: str = "city_remark") -> None
 def area_product_top(
     visits: DataFrame, cities: DataFrame, products: DataFrame, k: int = 3
 ) -> DataFrame:
-    """The ``k`` most clicked products of each area, with click count and city remark."""
-    return top_products(area_product_clicks(visits, cities, products), k)
+    """The ``k`` most clicked products of each area, with click count and city remark.
+
+    Products are counted and ranked by id. Those that ``products`` doesn't list are left out
+    first; names are looked up for the leaders only.
+    """
+    known = _clicks_by_id(visits, cities).join(products.select("product_id"), "product_id", "left_semi")
+    leaders = top_products(known.select("area", "product_id", "city_name", "n"), k, ["area", "product_id"])
+    return leaders.join(products.select("product_id", "product_name"), "product_id").select(
+        "area", "product_id", "product_name", "clickcount", "cityremark")
 
 
-def top_products(detail: DataFrame, k: int = 3) -> DataFrame:
+def top_products(
+    detail: DataFrame, k: int = 3, keys: Sequence[str] = ("area", "product_id", "product_name")
+) -> DataFrame:
     """As :func:`area_product_top`, from counts per area, product and city.
 
     Products are ranked by their totals, cut per task before the shuffle by area. Cities
@@ -127,10 +141,8 @@ def top_products(detail: DataFrame, k: int = 3) -> DataFrame:
     out by a semi-join, for which Spark picks the way by the measured size of the leaders.
     Both uses of ``detail`` share its shuffles.
     """
-    keys = ["area", "product_id", "product_name"]
-    by_clicks = Window.partitionBy("area").orderBy(
-        F.desc("clickcount"), "product_id", "product_name"
-    )
+    keys = list(keys)
+    by_clicks = Window.partitionBy("area").orderBy(F.desc("clickcount"), *keys[1:])
     leaders = (
         detail.groupBy(*keys)
         .agg(F.sum("n").alias("clickcount"))

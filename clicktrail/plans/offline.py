@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from clicktrail import operators as op
 from clicktrail.params import VisitCondition
 from clicktrail.schemas import REPORT_COLUMNS
 from clicktrail.sources import append_sink
+from clicktrail.sources.shared import work_folder
 
 Sink = Callable[[str, DataFrame], None]
 
@@ -30,18 +31,26 @@ class OfflineReports:
         self.condition, self.sample, self.seed = condition, sample, seed
         self.task_id = task_id or str(uuid.uuid4())
         self.visits = op.filter_visits(visits, users, condition)
+        self._top: DataFrame | None = None
+        self._staged = False
 
     def stage(self, path: str) -> "OfflineReports":
-        """Write the filtered visits once to a folder all nodes see and report from there.
-
-        Worth it when the condition keeps a small part of the log: five reports then read
-        that part, by column, instead of filtering the log each.
+        """Write the filtered visits and the leading categories once to a folder all nodes
+        see, and report from there: the log is filtered and joined once for five reports.
         """
-        spark = self.visits.sparkSession
-        self.visits.write.mode("overwrite").parquet(path)
-        self.visits = spark.read.schema(self.visits.schema).parquet(path)
+        self.visits = self._kept(self.visits, f"{path}/visits")
+        self._top = self._kept(op.category_top(self.visits), f"{path}/categories")
+        self._staged = True
         return self
 
+    @staticmethod
+    def _kept(df: DataFrame, path: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def _category_top(self) -> DataFrame:
+        return self._top if self._top is not None else op.category_top(self.visits)
+
     def _report(self, name: str, df: DataFrame) -> DataFrame:
         """Columns by position under the report table's names, after the task id."""
         names = REPORT_COLUMNS[name]
@@ -59,10 +68,10 @@ class OfflineReports:
         return self._report("random_session_info", drawn)
 
     def category_top10(self) -> DataFrame:
-        return self._report("category_top10", op.category_top(self.visits))
+        return self._report("category_top10", self._category_top())
 
     def category_top10_session_count(self) -> DataFrame:
-        top = op.category_session_top(self.visits, op.category_top(self.visits))
+        top = op.category_session_top(self.visits, self._category_top())
         return self._report("category_top10_session_count", top)
 
     def page_convert_rate(self) -> DataFrame:
@@ -77,9 +86,17 @@ class OfflineReports:
     def all(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name)() for name in REPORT_COLUMNS}
 
-    def write(self, sink: Sink) -> None:
-        for name, df in self.all().items():
-            sink(name, df)
+    def write(self, sink: Sink, folder: str | None = None, only: Iterable[str] = ()) -> None:
+        """Hand every report, or those in ``only``, to the sink.
+
+        Stages in ``folder`` first, or in one under the shared folder. A single report is
+        read from the log directly.
+        """
+        names = list(only) or list(REPORT_COLUMNS)
+        if not self._staged and len(names) > 1:
+            self.stage(folder or work_folder(self.visits.sparkSession, "visits"))
+        for name in names:
+            sink(name, getattr(self, name)())
 
     def write_jdbc(self, url: str, **options) -> None:
         """Append every report to the database table of its name."""
