@@ -12,7 +12,12 @@ _BATCH = re.compile(r"batch_id=(\d+)")
 
 
 class BatchFolders:
-    """Folders ``batch_id=N`` under a root. They appear by a rename, once written."""
+    """Folders ``batch_id=N`` under a root, each with a manifest that commits it.
+
+    The manifest, one small file that lists the folder's files, is written last and at once.
+    A folder without one is what a lost driver left: readers pass over it, and the replayed
+    batch removes it and writes it again.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -25,29 +30,44 @@ class BatchFolders:
         hadoop = jvm.org.apache.hadoop.fs.Path(path)
         return hadoop.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), hadoop
 
+    def manifest(self, batch_id: int) -> str:
+        return f"{self.root}/_manifests/batch_id={batch_id}"
+
     def complete(self) -> list[int]:
-        fs, root = self._fs_path(self.root)
+        fs, root = self._fs_path(f"{self.root}/_manifests")
         if not fs.exists(root):
             return []
         names = (_BATCH.fullmatch(s.getPath().getName()) for s in fs.listStatus(root))
         return sorted(int(m.group(1)) for m in names if m)
 
     def has(self, batch_id: int) -> bool:
-        fs, folder = self._fs_path(self.path(batch_id))
-        return fs.exists(folder)
+        fs, manifest = self._fs_path(self.manifest(batch_id))
+        return fs.exists(manifest)
 
     def remove(self, batch_id: int) -> None:
+        for path in (self.manifest(batch_id), self.path(batch_id)):
+            fs, old = self._fs_path(path)
+            fs.delete(old, True)
+
+    def _commit(self, batch_id: int) -> None:
         fs, folder = self._fs_path(self.path(batch_id))
-        fs.delete(folder, True)
+        files, names = fs.listFiles(folder, True), []
+        while files.hasNext():
+            status = files.next()
+            names.append(f"{status.getPath().toString().split(f'batch_id={batch_id}/')[-1]} {status.getLen()}")
+        out = fs.create(self._fs_path(self.manifest(batch_id))[1], True)
+        out.write(bytearray("\n".join(sorted(names)), "utf-8"))
+        out.close()
 
     def publish(self, df: DataFrame, batch_id: int, partition: str | None = None) -> None:
         """Write a batch unless it is there already.
 
-        The folder is written aside and renamed, so that streams reading the root never
-        see the files of an unfinished batch.
+        The folder is written aside and renamed, so that streams reading the root do not
+        see files that are being written, and then committed.
         """
         if self.has(batch_id):
             return
+        self.remove(batch_id)
         aside = f"{self.root}/_aside/batch_id={batch_id}"
         writer = df.write.mode("overwrite")
         (writer.partitionBy(partition) if partition else writer).parquet(aside)
@@ -55,6 +75,7 @@ class BatchFolders:
         source = self._fs_path(aside)[1]
         if not fs.rename(source, target):
             raise OSError(f"could not rename {aside} to {target}")
+        self._commit(batch_id)
 
     def read(self, batch_ids: list[int], schema: T.StructType) -> DataFrame:
         """Rows of the given batches with their ``batch_id``."""

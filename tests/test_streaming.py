@@ -63,6 +63,14 @@ def test_unfinished_batch_is_written_again(spark, root):
     assert table.changes.complete() == []
     table.write(pairs(spark, a=1), 0)
     assert as_dict(table) == {"a": 1}
+    # a folder that a rename left half made has no manifest
+    half = Path(root) / "changes" / "batch_id=1"
+    half.mkdir()
+    (half / "part-0.parquet").write_bytes(b"half of it")
+    assert table.changes.complete() == [0] and as_dict(table) == {"a": 1}
+    table.write(pairs(spark, a=2), 1)
+    assert as_dict(table) == {"a": 2}
+    assert "parquet" in (Path(root) / "changes" / "_manifests" / "batch_id=1").read_text()
 
 
 def test_guard_steps_equal_the_batchwise_rule(spark, root):
