@@ -355,9 +355,8 @@ def binary_code(counts: np.ndarray) -> dict:
 class _Batch:
     """Sorted pairs of word and kind with their counts, and the counts of the words over all kinds."""
 
-    def __init__(self, words: list[bytes], kinds: list[int], counts: list[int]):
-        self.words, self.kinds = words, np.array(kinds, np.int64)
-        self.counts = np.array(counts, np.float64)
+    def __init__(self, words: list[bytes], kinds: np.ndarray, counts: np.ndarray):
+        self.words, self.kinds, self.counts = words, kinds, counts.astype(np.float64)
         new = np.fromiter((a != b for a, b in zip(words, [None, *words])), bool, len(words))
         group = np.cumsum(new) - 1
         self.of_word = np.bincount(group, self.counts)[group]
@@ -365,16 +364,19 @@ class _Batch:
 
 def _word_batches(source: Iterator[pa.RecordBatch]) -> Iterator[_Batch]:
     """Batches of rows sorted by word, cut where the first bytes change, or at a word if none do for long."""
-    words, kinds, counts = [], [], []
+    words: list[bytes] = []
+    kinds, counts, looked = np.zeros(0, np.int64), np.zeros(0, np.int64), BATCH_WORDS
     for batch in source:
-        for word, kind, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if len(words) >= BATCH_WORDS and (word[:HEAD] != words[-1][:HEAD] or (
-                    len(words) >= MOST_WORDS and word != words[-1])):
-                yield _Batch(words, kinds, counts)
-                words, kinds, counts = [], [], []
-            words.append(word)
-            kinds.append(kind)
-            counts.append(c)
+        words += batch.column(0).to_pylist()
+        kinds = np.concatenate([kinds, batch.column(1).to_numpy()])
+        counts = np.concatenate([counts, batch.column(2).to_numpy()])
+        while looked < len(words):
+            word, before = words[looked], words[looked - 1]
+            if word[:HEAD] != before[:HEAD] or looked >= MOST_WORDS and word != before:
+                yield _Batch(words[:looked], kinds[:looked], counts[:looked])
+                words, kinds, counts, looked = words[looked:], kinds[looked:], counts[looked:], BATCH_WORDS
+            else:
+                looked += 1
     if words:
         yield _Batch(words, kinds, counts)
 
@@ -384,15 +386,19 @@ def _avalanche(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(0x8EBC6AF09C88C6E3)
 
 
+def _written(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all words in a row, each closed by a blank, and how many each has."""
+    parts = [w if w == END else w + b" " for w in words]
+    return np.frombuffer(b"".join(parts), "u1"), np.fromiter(map(len, parts), np.int64, len(parts))
+
+
 class _Symbols:
     """Bytes of a batch of words in one row, with their place and a hash per context."""
 
     def __init__(self, batch: _Batch):
-        parts = [w if w == END else w + b" " for w in batch.words]
-        self.flat = np.frombuffer(b"".join(parts), "u1")
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.flat, lengths = _written(batch.words)
         begin = np.cumsum(lengths) - lengths
-        self.word = np.repeat(np.arange(len(parts), dtype=np.int32), lengths)
+        self.word = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         self.place = np.arange(len(self.flat)) - begin[self.word]
         value = self.flat.astype(np.uint64) + np.uint64(1)
         powers = np.cumprod(np.full(int(self.place.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
@@ -445,8 +451,8 @@ class _Events:
 def _count_symbols(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(256)
     for batch in _word_batches(source):
-        symbols = _Symbols(batch)
-        total += np.bincount(symbols.flat, batch.counts[symbols.word], 256)
+        flat, lengths = _written(batch.words)
+        total += np.bincount(flat, np.repeat(batch.counts, lengths), 256)
     seen = np.flatnonzero(total)
     yield pa.record_batch([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["symbol", "n"])
 
@@ -461,9 +467,8 @@ def _count_contexts(code: dict):
                 slots, bit, weight = events.slots(t, slice(None)), events.bit, events.count
                 if t >= STARTS:
                     slots, bit, weight = slots[short], bit[short], weight[short]
-                for b in (0, 1):
-                    own = bit == b
-                    tables[t, b] += np.bincount(slots[own], weight[own], 1 << SLOT_BITS).astype(np.float32)
+                both = np.bincount(slots | bit.astype(np.uint32) << SLOT_BITS, weight, 2 << SLOT_BITS)
+                tables[t] += both.reshape(2, -1).astype(np.float32)
         for t in range(TABLES):
             for at in range(0, 1 << SLOT_BITS, CHUNK):
                 zeros, ones = tables[t, :, at:at + CHUNK]
