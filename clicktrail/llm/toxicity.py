@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clicktrail.llm.arrow import as_bytes, batches
 from clicktrail.sources.shared import stash
@@ -96,15 +97,14 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         table[grams] = weights
         for batch in source:
             out = []
-            for text in as_bytes(batch.column(1)):
+            for text in as_bytes(batch.column(0).field("text")):
                 found = ngrams(text)
                 out.append(bias + float(table[np.unique(found[table[found] != 0])].sum()))
             rated = 1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -500, 500)))
             yield pa.record_batch([batch.column(0), pa.array(rated, pa.float64())], names=["row", "score"])
 
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    schema = rows.select("row").schema.add("score", "double")
-    return rows.mapInArrow(rate, schema)
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.mapInArrow(rate, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def _count_ngrams(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
