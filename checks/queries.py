@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import wraps
 
@@ -293,7 +294,8 @@ def report_page_convert_rate(spark, sf_dir):
 @query
 def table_sink_and_scan(spark, sf_dir):
     """The visit log replaced in the catalog twice, then read by name."""
-    database = "clicktrail_checks"
+    # one database per application, so that no folder of an earlier one is in the way
+    database = re.sub(r"\W", "_", f"clicktrail_{spark.sparkContext.applicationId}")
     visits = views.log_columns(views.user_visit_action(spark, sf_dir))
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{shared_root(spark)}/{database}'")
     for _ in range(2):
