@@ -57,6 +57,22 @@ ORACLE: dict[str, str] = {
         SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
                coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
         FROM documents d LEFT JOIN joined j ON j.doc_id = d.doc_id""",
+    "op5_near_vectors": """
+        WITH RECURSIVE able AS (
+          SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+            AND len([x for x in embedding if x <> 0]) > 0),
+        pairs AS (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM able a JOIN able b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+        reach AS (
+          SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b),
+        links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a),
+        least AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+        SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(c, e.vec_id)) AS component_id,
+               e.vec_id = least(e.vec_id, coalesce(c, e.vec_id)) AS kept
+        FROM embeddings e LEFT JOIN links ON links.a = e.vec_id LEFT JOIN least ON least.a = e.vec_id""",
     "op6_chat_format": f"""
         WITH turns AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
