@@ -37,6 +37,7 @@ OF_KIND = (1, 2)           # those of them that are counted for each kind of tex
 TABLES = len(ORDERS) + 2   # two more for short word starts, of all texts and for each kind
 STARTS, STARTS_OF_KIND = TABLES - 2, TABLES - 1
 MARKERS, KINDS = 256, 8    # frequent words, and groups of them
+COUNTED_WORDS = 1 << 17    # distinct words that a task holds before it hands their counts on
 STRIDE, LOOK_BACK = 4, 16  # tokens that share a kind, and how many such groups before tell it
 SLOT_BITS = 20             # slots of a table, a fixed size of the model
 CHUNK = 1 << 14
@@ -87,12 +88,12 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
 
 
 def marker_kinds(texts: DataFrame) -> dict[bytes, int]:
-    """Kind, from 1, of each of the most frequent words of the training texts.
+    """Kind, from 1, of each of the most frequent words of the training texts, counted exactly.
 
     Words are grouped by which of them they share documents with. What reaches the driver is
     a list of :data:`MARKERS` words and a square table of their numbers.
     """
-    frequent = texts.mapInArrow(_frequent_words, "word binary, n long").groupBy("word").agg(
+    frequent = texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(
         F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(MARKERS).collect()
     markers = [bytes(r.word) for r in frequent]
     if len(markers) <= KINDS:
@@ -103,18 +104,20 @@ def marker_kinds(texts: DataFrame) -> dict[bytes, int]:
     return dict(zip(markers, _groups(together).tolist()))
 
 
-def _frequent_words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of a task that occur most, once they repeat within a text."""
-    counts: dict[bytes, int] = {}
+def _count_words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every word of a task with its occurrences, in parts: full counters are handed on, none is cut."""
+    counts: Counter[bytes] = Counter()
+
+    def flush() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
     for batch in source:
         for text in as_bytes(batch.column(2)):
-            for word, n in Counter(text.lower().split()).items():
-                if n > 1:
-                    counts[word] = counts.get(word, 0) + n
-        if len(counts) > 1 << 18:
-            counts = dict(heapq.nlargest(1 << 15, counts.items(), key=lambda x: x[1]))
-    top = heapq.nlargest(8 * MARKERS, counts.items(), key=lambda x: x[1])
-    yield pa.record_batch([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
+            counts.update(text.lower().split())
+            if len(counts) > COUNTED_WORDS:
+                yield flush()
+                counts.clear()
+    yield flush()
 
 
 def _count_together(markers: list[bytes]):

@@ -96,3 +96,22 @@ def test_kinds_follow_the_markers_before():
     groups = cm._groups(np.kron(np.eye(8), np.full((4, 4), 50.0)) + np.diag(np.full(32, 10.0)))
     assert len(set(groups[:4])) == 1 and len(set(groups)) == 8
     assert pd.Series(groups).groupby(np.arange(32) // 4).nunique().eq(1).all()
+
+
+def test_markers_are_the_most_frequent_words_however_texts_are_dealt(spark):
+    """Words that never repeat within a text, lie thinly over tasks, or follow a full counter count too."""
+    rng = random.Random(4)
+    often = [f"w{i:03}" for i in range(300)]
+    texts = [(i, False, often[j]) for j in range(300) for i in range(400 - j)]     # one word a text
+    rng.shuffle(texts)
+    want = {w.encode() for w in often[:cm.MARKERS]}
+    for parts in (1, 7):
+        assert set(cm.marker_kinds(spark.createDataFrame(texts, "doc_id long, held_out boolean, text string").repartition(parts))) == want
+
+    import pyarrow as pa
+    rare = [f"r{i}" for i in range(3 * cm.COUNTED_WORDS)]
+    batch = pa.record_batch([pa.nulls(4, pa.int64()), pa.nulls(4, pa.bool_()), pa.array(["late", " ".join(rare), "late", "late"])], names=["a", "b", "text"])
+    counts, parts = Counter(), list(cm._count_words(iter([batch])))
+    for part in parts:
+        counts.update(dict(zip(part["word"].to_pylist(), part["n"].to_pylist())))
+    assert len(parts) > 1 and counts[b"late"] == 3 and len(counts) == len(rare) + 1
