@@ -32,7 +32,7 @@ from clicktrail.sources.shared import stash
 END = b"\n"                # never part of a word
 BLOCK_BYTES = 32 << 20     # text whose tokens are numbered together
 ORDERS = (1, 2, 4)         # bytes of a hashed context
-HEAD = 4                   # shorter word starts are counted for all words, longer ones per batch
+HEAD = 4                   # shorter word starts are counted for all words, longer ones per batch or if heavy over all
 OF_KIND = (1, 2)           # those of them that are counted for each kind of text
 TABLES = len(ORDERS) + 2   # two more for short word starts, of all texts and for each kind
 STARTS, STARTS_OF_KIND = TABLES - 2, TABLES - 1
@@ -45,7 +45,8 @@ SEEN_SOME = 0.05           # added to counts before log odds
 GATES = 6 * 4 * 2
 BUCKETS = 33               # of a prediction, in the refining table
 WORDS_PER_TASK = 65_536
-BATCH_WORDS, MOST_WORDS, SLICE_WORDS = 12_288, 32_768, 4_096
+BATCH_WORDS, SLICE_WORDS = 12_288, 4_096
+MOST_WORDS = 32_768        # rows of a batch; starts that this many rows less a batch share are heavy
 BATCH_BITS = 21            # slots in which longer word starts of a batch are counted
 STEP_EVENTS, STEP = 8192, 0.15
 INPUTS = TABLES + 1
@@ -72,10 +73,10 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
         F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(total.n or 0), int(total.v or 0)
     # words that begin alike lie together, sorted, so that longer starts can be counted in a
-    # batch; where they lie depends on training words alone
-    words = stash(counted.repartition(1 + v // WORDS_PER_TASK, F.substring("word", 1, HEAD)).sortWithinPartitions(
-        "word", "kind"), "sorted-words")
-    scored = words.mapInArrow(_word_scores(_fit(words)), "word binary, kind int, c long, logp double")
+    # batch; starts that too many words share are counted over all batches
+    placed, heavy = place_words(counted)
+    words = stash(placed.repartition(1 + v // WORDS_PER_TASK, "place").sortWithinPartitions("word", "kind"), "sorted-words")
+    scored = words.mapInArrow(_word_scores(_fit(words, heavy)), "word binary, kind int, c long, logp double")
 
     values = places.select("block", "word", "kind", "rank").join(scored.hint("shuffle_hash"), ["word", "kind"]).select(F.col("block").alias("of_block"), "rank", "c", "logp")
     contents = blocks.where("content is not null").select("block", "doc_id", "held_out", "n_tokens", "content")
@@ -284,10 +285,135 @@ def _add_up(n: int, v: int):
     return one_block
 
 
+# Starts of words
+
+
+def place_words(counted: DataFrame, most: int = MOST_WORDS - BATCH_WORDS) -> tuple[DataFrame, np.ndarray]:
+    """Rows with their ``place``, and the sorted hashes of heavy starts.
+
+    A start of :data:`HEAD` bytes or more is heavy if over ``most`` rows share it. Rows of one
+    place share the shortest start that is not heavy, so they are at most ``most`` if they are
+    longer than :data:`HEAD`, and no other start that is not heavy lies in two places. Heavy
+    starts are at most as many as rows by ``most``, times the length of a word.
+    """
+    head = F.substring("word", 1, HEAD)
+    heads = [bytearray(r["head"]) for r in counted.groupBy(head.alias("head")).agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("n") > most).collect()]
+    by_head = counted.withColumn("place", F.xxhash64(head))
+    if not heads:
+        return by_head, np.zeros(0, np.uint64)
+    crowded = counted.where(head.isin(heads))
+    ranges = crowded.repartitionByRange("word").sortWithinPartitions("word")
+    starts = ranges.mapInArrow(_count_starts(most), "start long, n long").groupBy("start").agg(F.sum("n").alias("n")).where(
+        F.col("n") > most).select("start").collect()
+    heavy = np.sort(np.array([r.start for r in starts], np.int64).view(np.uint64))
+    placed = crowded.select("word", "kind", "c").mapInArrow(_place(heavy), "word binary, kind int, c long, place long")
+    return by_head.where(~head.isin(heads)).select("word", "kind", "c", "place").union(placed), heavy
+
+
+def _symbols_of(batch: pa.RecordBatch) -> _Symbols:
+    return _Symbols(_Batch(batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()))
+
+
+def _count_starts(most: int):
+    """Rows by start of :data:`HEAD` bytes or more, of sorted words.
+
+    Starts that end within a task are whole there and handed on only if over ``most`` rows
+    share them; those of the first and last word may go on in other tasks.
+    """
+    def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, open_, n_open = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def rows(starts: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(starts.view(np.int64)), pa.array(n.astype(np.int64))], names=["start", "n"])
+
+        for batch in source:
+            if not batch.num_rows:
+                continue
+            symbols = _symbols_of(batch)
+            deep = symbols.place >= HEAD
+            starts, n = np.unique(symbols.start[deep], return_counts=True)
+            every, at = np.unique(np.concatenate([open_, starts]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n_open, n]), len(every)).astype(np.int64)
+            if first is None:
+                first = np.sort(symbols.start[deep & (symbols.word == 0)])
+            last = np.sort(symbols.start[deep & (symbols.word == batch.num_rows - 1)])
+            going_on = _is_in(every, first) | _is_in(every, last)
+            whole = ~going_on & (n > most)
+            yield rows(every[whole], n[whole])
+            open_, n_open = every[going_on], n[going_on]
+        yield rows(open_, n_open)
+
+    return count
+
+
+def _is_in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(among):
+        return np.zeros(len(values), bool)
+    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
+
+
+def _place(heavy: np.ndarray):
+    def place(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            if batch.num_rows:
+                symbols = _symbols_of(batch)
+                crowded = _is_in(symbols.start, heavy) & (symbols.place >= HEAD)
+                length = np.bincount(symbols.word)
+                begin = np.cumsum(length) - length
+                # the first start that is not heavy, or all of a word whose starts are all heavy
+                at = np.minimum(HEAD + np.bincount(symbols.word, crowded, len(length)).astype(np.int64), length - 1)
+                yield pa.record_batch([*batch.columns[:3], pa.array(symbols.start[begin + at].view(np.int64))],
+                                      names=["word", "kind", "c", "place"])
+
+    return place
+
+
+class _HeavyCounts:
+    """Counts of both bits after heavy starts, of all training tokens."""
+
+    def __init__(self, starts: np.ndarray, rows: list):
+        self.starts, self.of = starts, {}
+        for table in (STARTS, STARTS_OF_KIND):
+            own = sorted((r.key, r.zeros, r.ones) for r in rows if r.table == table)
+            self.of[table] = (np.array([r[0] for r in own], np.int64), np.array([r[1:] for r in own], np.float32).reshape(-1, 2))
+
+    def look_up(self, table: int, keys: np.ndarray) -> np.ndarray:
+        """Both counts of each key, none for one that no training token has."""
+        known, counts = self.of[table]
+        found, there = np.zeros((2, len(keys)), np.float32), _is_in(keys, known)
+        found[:, there] = counts[np.searchsorted(known, keys[there])].T
+        return found
+
+
+def _count_heavy(code: dict, starts: np.ndarray):
+    schema = pa.schema([("table", pa.int32()), ("key", pa.int64()), ("zeros", pa.float64()), ("ones", pa.float64())])
+
+    def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _word_batches(source):
+            events = _Events(batch, code, starts)
+            heavy = np.flatnonzero(events.heavy)
+            ones = events.count[heavy] * events.bit[heavy]
+            for table in (STARTS, STARTS_OF_KIND):
+                keys, at = np.unique(events.keys(table, heavy), return_inverse=True)
+                yield pa.record_batch([
+                    pa.array(np.full(len(keys), table, np.int32)), pa.array(keys),
+                    pa.array(np.bincount(at, events.count[heavy] - ones, len(keys))), pa.array(np.bincount(at, ones, len(keys)))], schema=schema)
+
+    return count
+
+
+def heavy_counts(trained: DataFrame, code: dict, starts: np.ndarray) -> _HeavyCounts:
+    rows = trained.mapInArrow(_count_heavy(code, starts), "table int, key long, zeros double, ones double").groupBy(
+        "table", "key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).collect() if len(starts) else []
+    return _HeavyCounts(starts, rows)
+
+
 # The model
 
 
-def _fit(words: DataFrame) -> dict:
+def _fit(words: DataFrame, heavy: np.ndarray) -> dict:
     """Code, context counts, gated weights and refining table, each from all training tokens.
 
     What passes through the driver has the size of the model, whatever the size of the corpus.
@@ -306,7 +432,8 @@ def _fit(words: DataFrame) -> dict:
     tables = np.zeros(TABLES << SLOT_BITS, np.uint16)
     for row in chunks:
         tables[row.chunk * CHUNK:(row.chunk + 1) * CHUNK] = np.frombuffer(row.counts, np.uint16)
-    model = {"code": code, "tables": spark.sparkContext.broadcast(tables)}
+    model = {"code": code, "tables": spark.sparkContext.broadcast(tables),
+             "heavy": spark.sparkContext.broadcast(heavy_counts(trained, code, heavy))}
     learned = np.zeros(_LEARNED)
     for row in trained.mapInArrow(_learn(model), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
         learned[row.i] = row.x
@@ -366,18 +493,20 @@ class _Batch:
 
 
 def _word_batches(source: Iterator[pa.RecordBatch]) -> Iterator[_Batch]:
-    """Batches of rows sorted by word, cut where the first bytes change, or at a word if none do for long."""
+    """Batches of rows sorted by word, cut where the place changes: the first bytes, if there is none."""
     words: list[bytes] = []
+    places: list = []
     kinds, counts, looked = np.zeros(0, np.int64), np.zeros(0, np.int64), BATCH_WORDS
     for batch in source:
-        words += batch.column(0).to_pylist()
+        new = batch.column(0).to_pylist()
+        words += new
+        places += batch.column(3).to_pylist() if batch.num_columns > 3 else [w[:HEAD] for w in new]
         kinds = np.concatenate([kinds, batch.column(1).to_numpy()])
         counts = np.concatenate([counts, batch.column(2).to_numpy()])
         while looked < len(words):
-            word, before = words[looked], words[looked - 1]
-            if word[:HEAD] != before[:HEAD] or looked >= MOST_WORDS and word != before:
+            if places[looked] != places[looked - 1]:
                 yield _Batch(words[:looked], kinds[:looked], counts[:looked])
-                words, kinds, counts, looked = words[looked:], kinds[looked:], counts[looked:], BATCH_WORDS
+                words, places, kinds, counts, looked = words[looked:], places[looked:], kinds[looked:], counts[looked:], BATCH_WORDS
             else:
                 looked += 1
     if words:
@@ -417,13 +546,14 @@ class _Symbols:
             if back in ORDERS:
                 contexts.append((total + np.uint64(back)) ^ kind if back in OF_KIND else total + np.uint64(back))
         contexts += [start, start ^ kind]
+        self.start, self.start_of_kind = start, start ^ kind
         self.contexts = [(_avalanche(c + np.uint64(1)) >> np.uint64(32)).astype(np.uint32) for c in contexts]
 
 
 class _Events:
     """Coded bits of a batch of words: which bit, of which word, in which node and context."""
 
-    def __init__(self, batch: _Batch, code: dict):
+    def __init__(self, batch: _Batch, code: dict, heavy: np.ndarray = np.zeros(0, np.uint64)):
         symbols = _Symbols(batch)
         length = code["length"][symbols.flat]
         self.symbol = np.repeat(np.arange(len(length), dtype=np.int32), length)
@@ -432,6 +562,8 @@ class _Events:
         self.node, self.bit = code["node"][path], code["bit"][path]
         self.word = symbols.word[self.symbol]
         self.deep = (symbols.place >= HEAD)[self.symbol]
+        self.heavy = (_is_in(symbols.start, heavy) & (symbols.place >= HEAD))[self.symbol]
+        self._starts = {STARTS: symbols.start, STARTS_OF_KIND: symbols.start_of_kind}
         self.count = batch.counts[self.word]
         self._contexts = symbols.contexts
 
@@ -439,15 +571,23 @@ class _Events:
         key = (self._contexts[table][self.symbol[part]] + self.node[part]) * np.uint32(0x9E3779B1)
         return key >> np.uint32(32 - bits)
 
-    def deep_counts(self) -> dict[int, np.ndarray]:
+    def keys(self, table: int, part: np.ndarray) -> np.ndarray:
+        """Start of the word and node of some events, in 64 bits."""
+        start = _avalanche(self._starts[table][self.symbol[part]] + np.uint64(1))
+        return (start + self.node[part] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+    def deep_counts(self, heavy: _HeavyCounts | None = None) -> dict[int, np.ndarray]:
         """Counts of both bits after the same start of a word, for starts of :data:`HEAD` bytes or more."""
-        deep, found = np.flatnonzero(self.deep), {}
+        deep, found = np.flatnonzero(self.deep & ~self.heavy), {}
+        crowded = np.flatnonzero(self.heavy)
         ones = self.count[deep] * self.bit[deep]
         for table in (STARTS, STARTS_OF_KIND):
             slots = self.slots(table, deep, BATCH_BITS)
             found[table] = np.zeros((2, len(self.bit)), np.float32)
             for bit, weight in ((0, self.count[deep] - ones), (1, ones)):
                 found[table][bit, deep] = np.bincount(slots, weight, 1 << BATCH_BITS)[slots]
+            if len(crowded):
+                found[table][:, crowded] = heavy.look_up(table, self.keys(table, crowded))
         return found
 
 
@@ -554,12 +694,13 @@ def _learn(model: dict):
     """
     def learn(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odds, weights = _Odds(model["tables"].value, leave_one=True), _first_weights()
+        heavy = model["heavy"].value
         power = np.full((GATES, INPUTS), 1e-2)
         weight_sum = np.zeros(GATES)
         hits, trials = np.zeros(GATES * BUCKETS), np.zeros(GATES * BUCKETS)
         for batch in _word_batches(source):
-            events = _Events(batch, model["code"])
-            deep = events.deep_counts()
+            events = _Events(batch, model["code"], heavy.starts)
+            deep = events.deep_counts(heavy)
             for part in _slices(events, len(batch.words)):
                 x, gate = odds.inputs(events, deep, part)
                 bit, count = events.bit[part], events.count[part]
@@ -602,9 +743,10 @@ def _buckets(z: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 def _word_scores(model: dict):
     def rate(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odds, weights, refined = _Odds(model["tables"].value, leave_one=False), model["weights"], model["refined"]
+        heavy = model["heavy"].value if "heavy" in model else _HeavyCounts(np.zeros(0, np.uint64), [])
         for batch in _word_batches(source):
-            events = _Events(batch, model["code"])
-            deep, logp = events.deep_counts(), np.zeros(len(batch.words))
+            events = _Events(batch, model["code"], heavy.starts)
+            deep, logp = events.deep_counts(heavy), np.zeros(len(batch.words))
             for part in _slices(events, len(batch.words)):
                 x, gate = odds.inputs(events, deep, part)
                 z = _weighted(x, weights, gate)

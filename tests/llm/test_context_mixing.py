@@ -115,3 +115,44 @@ def test_markers_are_the_most_frequent_words_however_texts_are_dealt(spark):
     for part in parts:
         counts.update(dict(zip(part["word"].to_pylist(), part["n"].to_pylist())))
     assert len(parts) > 1 and counts[b"late"] == 3 and len(counts) == len(rare) + 1
+
+
+def test_starts_that_too_many_words_share_are_counted_whole(spark):
+    """Rows cut into small places have the counts that they have in a single batch."""
+    rng = random.Random(2)
+    words = {b"http" + bytes(rng.choice(b"abcd") for _ in range(rng.randint(0, 9))) for _ in range(3000)} | {b"http", b"htt", b"a", cm.END}
+    words |= {b"httpsame-long-start-" + bytes([a]) * n for a in b"xyz" for n in (1, 40)} | {b"other%d" % i for i in range(90)}
+    rows = sorted((w, kind, rng.randint(0, 5)) for w in words for kind in rng.sample(range(9), 2))
+    code, most = cm.binary_code(np.ones(256)), 50
+    counted = spark.createDataFrame([(bytearray(w), k, c) for w, k, c in rows], "word binary, kind int, c long").repartition(5)
+    placed, starts = cm.place_words(counted, most)
+    assert len(starts) > 50
+    own = {}
+    for r in placed.collect():
+        own.setdefault(r.place, []).append((bytes(r.word), r.kind, r.c))
+    assert sorted(x for part in own.values() for x in part) == rows and max(map(len, own.values())) <= most
+    assert len(cm.place_words(counted, 10**6)[1]) == 0
+
+    counts = cm.heavy_counts(placed.repartition(7, "place").sortWithinPartitions("word", "kind").where("c > 0"), code, starts)
+
+    def events_of(part, heavy):
+        batch = cm._Batch([w for w, _, _ in part], np.array([k for _, k, _ in part]), np.array([c for _, _, c in part]))
+        return cm._Events(batch, code, heavy)
+
+    one, whole = events_of(rows, np.zeros(0, np.uint64)), {}
+    for table in (cm.STARTS, cm.STARTS_OF_KIND):      # of a single batch, by keys without shared slots
+        deep = np.flatnonzero(one.deep)
+        for key, bit, n in zip(one.keys(table, deep).tolist(), one.bit[deep].tolist(), one.count[deep].tolist()):
+            whole.setdefault((table, key), [0, 0])[bit] += n
+    shared, all_same = 0, []
+    for part in own.values():
+        events = events_of(sorted(part), starts)
+        found = events.deep_counts(counts)
+        for table in found:
+            deep = np.flatnonzero(events.deep)
+            want = np.array([whole[table, key] for key in events.keys(table, deep).tolist()]).reshape(-1, 2).T
+            same = (found[table][:, deep] == want).all(axis=0)
+            assert same[events.heavy[deep]].all()
+            all_same += same.tolist()
+        shared += events.heavy.sum()
+    assert shared > 10_000 and np.mean(all_same) > 0.99     # a batch's own starts may share slots
