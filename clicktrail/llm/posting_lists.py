@@ -43,13 +43,14 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, probe_ratio: floa
     length = able.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not length:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    points = stash(able.where(F.size("v") == length[0].d), "vectors")
+    # a repeated row would take the place of another neighbour
+    points = stash(able.where(F.size("v") == length[0].d).dropDuplicates(["vec_id", "v"]), "vectors")
     graph = fit_graph(points)
     listed = stash(points.mapInArrow(_lists(graph), "vec_id long, v array<double>, list int, first boolean"), "lists")
     sizes = {r["list"]: (r.n, r.own) for r in listed.groupBy("list").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("first").cast("long")).alias("own")).collect()}
     own = np.array([sizes.get(i, (0, 0))[1] for i in range(len(graph["centroids"]))])
-    asked = stash(points.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).mapInArrow(
+    asked = stash(points.where(F.col("vec_id") % every == 0).mapInArrow(
         _probes(graph, own, probe_ratio, k), "query_id long, q array<double>, list int"), "probes")
     asks = {r["list"]: r.n for r in asked.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
 

@@ -104,3 +104,13 @@ def test_fewer_candidates_than_asked_for(spark, rows):
     few = rows[:7]
     got = posting_lists.nearest(frame(spark, few), every=5, k=10).collect()
     assert {(r.query_id, r.vec_id) for r in got} == {(q, v) for q in (0, 5) for v in range(7) if q != v}
+
+
+def test_repeated_rows_take_no_neighbours_place(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, np.float32(rng.normal(size=6)).tolist(), 0) for i in range(60)]
+    rows += [(61, np.float32(np.array(rows[0][1]) + 0.01).tolist(), 0)] * 10 + [rows[0]] * 10
+    want, got = plain_nearest(rows, 20, 10), {}
+    for r in posting_lists.nearest(frame(spark, rows), every=20, k=10).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    assert got == want
