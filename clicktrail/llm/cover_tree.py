@@ -8,7 +8,8 @@ whole; other pairs are followed down, and leaves compared exactly. So every pair
 the threshold is found, and groups of many near copies are counted without listing pairs.
 
 The upper levels are tables: nodes with more than :data:`LEAF` vectors are split until there
-are none. The traversal of these levels is a series of joins; within a pair of leaves it runs
+are none; a child that keeps nearly all of its node, as scaled copies of one direction do, is
+cut by hash, so that every level shrinks. The traversal of these levels is a series of joins; within a pair of leaves it runs
 in a task.
 """
 
@@ -27,6 +28,7 @@ from clicktrail.sources.shared import stash
 
 LEAF = 1024          # vectors that a task compares with as many others
 CHILDREN = 16        # centres a node is split by
+SHRUNK = 0.9         # share of a node that a child may keep uncut
 SAMPLE = 256         # members of a node among which centres are chosen
 BLOCK = 48           # vectors of the smallest nodes within a task
 SLACK = 1e-9         # rounding left to bounds; what they don't settle is compared exactly
@@ -70,7 +72,7 @@ def _links(points: DataFrame, threshold: float) -> DataFrame:
         big = stash(levels[-1].groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LEAF), "big-nodes")
         if not big.limit(1).count():
             break
-        levels.append(stash(_split(levels[-1], big), "level"))
+        levels.append(stash(_split(levels[-1], big, len(levels)), "level"))
     members = levels[-1]
     depth = len(levels)
 
@@ -118,13 +120,25 @@ def _full_path(depth: int):
     return F.array(*[_at(level) for level in range(depth)])
 
 
-def _split(points: DataFrame, big: DataFrame) -> DataFrame:
-    """Members of big nodes go to the nearest of their node's centres."""
+def _split(points: DataFrame, big: DataFrame, level: int) -> DataFrame:
+    """Members of big nodes go to the nearest of their node's centres.
+
+    Children that hardly shrink are cut by a hash of the vector, another one at each level.
+    Any cut is right: bounds are those of the members, and pairs are followed across it.
+    """
     sampled = points.join(big.select("node"), "node", "left_semi").select("node", "v", "rep", F.xxhash64("rep").alias("h"))
     # a bounded number of members per node, cut before the shuffle
     ranked = sampled.selectExpr("*", "row_number() over (partition by node order by h, rep) as k").where(F.col("k") <= SAMPLE)
     centres = ranked.groupBy("node").applyInArrow(_centres, "node string, centres binary")
-    split = points.join(centres, "node").mapInArrow(_nearest, "rep long, n long, v array<double>, node string, path array<string>")
+    split = stash(points.join(centres, "node").mapInArrow(
+        _nearest, "rep long, n long, v array<double>, node string, path array<string>"), "split")
+    sizes = split.groupBy("node").agg(F.count(F.lit(1)).alias("left"), F.first(F.element_at("path", -2)).alias("above"))
+    stuck = sizes.join(big.withColumnRenamed("node", "above"), "above").where(
+        (F.col("left") > LEAF) & (F.col("left") > SHRUNK * F.col("size"))).select("node", F.lit(True).alias("stuck"))
+    part = F.concat("node", F.lit("#"), F.pmod(F.xxhash64("v", F.lit(level)), F.lit(CHILDREN)).cast("string"))
+    split = split.join(stuck, "node", "left").withColumn(
+        "node", F.when(F.col("stuck"), part).otherwise(F.col("node"))).select(
+        "rep", "n", "v", "node", F.concat(F.slice("path", 1, F.size("path") - 1), F.array("node")).alias("path"))
     stay = points.join(big.select("node"), "node", "left_anti").select("rep", "n", "v", "node", "path")
     return split.union(stay)
 

@@ -114,3 +114,14 @@ def test_repeated_rows_take_no_neighbours_place(spark):
     for r in posting_lists.nearest(frame(spark, rows), every=20, k=10).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.score, r.vec_id))
     assert got == want
+
+
+def test_scaled_copies_of_one_direction_end(spark):
+    """3,000 vectors of one direction, which no choice of centres parts, with others about."""
+    rng = np.random.default_rng(9)
+    one, other = rng.normal(size=8), rng.normal(size=8)
+    rows = [(i, (one * f).tolist(), 1) for i, f in enumerate(rng.uniform(0.5, 2, 3000))]
+    rows += [(3000 + i, (other + 0.01 * rng.normal(size=8)).tolist(), 1) for i in range(5)] + [(4000, one.tolist(), 1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {(r.vec_id, r.n_links, r.component_id) for r in cover_tree.near_duplicates(vectors).collect()}
+    assert got == {(i, 3000, 0) for i in [*range(3000), 4000]} | {(3000 + i, 4, 3000) for i in range(5)}
