@@ -38,6 +38,11 @@ def _entropy(kind_no: int, cls) -> str:
         WHERE len(hot) > 0"""
 
 
+# checksum of a text of ASCII characters: xor each one in, then eight shifts
+_CRC32 = ("xor(list_reduce(list_concat([4294967295::BIGINT], flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] "
+          "for c in string_split({0}, '')])), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 "
+          "THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)")
+
 _ASSIGNED = ASSIGN.replace("'", "''")
 
 ORACLE: dict[str, str] = {
@@ -105,4 +110,53 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT keep) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (keep), '')) AS kept_sha256
         FROM kept GROUP BY doc_id""",
+    "op11_prefix_trie": f"""
+        WITH turns AS (
+          SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, ''))
+                 ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                          md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS own
+          FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        drawn AS (
+          SELECT *, ({_CRC32.format("conv_id::VARCHAR")} % 4)::INT AS h FROM turns),
+        rebuilt AS (
+          SELECT c.conv_id, coalesce(b.own[1:c.h], []) || c.own[c.h + 1:] AS seq
+          FROM drawn c LEFT JOIN turns b ON b.conv_id = c.conv_id - c.conv_id % 20),
+        prefixes AS (
+          SELECT conv_id, seq, unnest(range(len(seq) + 1)) AS depth FROM rebuilt),
+        nodes AS (
+          SELECT seq[1:depth] AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                 coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(seq) = depth), '') AS ends,
+                 bool_and(len(seq) = depth) AS leaf
+          FROM prefixes GROUP BY 1, 2),
+        above AS (
+          SELECT *, unnest(range(depth + 1)) AS up,
+                 CASE WHEN depth > 0 THEN (n_convs - 1) * len(regexp_extract_all(node[depth].text, '[^\\x20\\x09-\\x0D]+')) ELSE 0 END AS saved
+          FROM nodes),
+        sums AS (
+          SELECT node[1:up] AS node, count(*) FILTER (up = depth - 1) AS n_children, count(*) FILTER (leaf) AS n_leaves,
+                 sum(saved)::BIGINT AS saved_tokens
+          FROM above GROUP BY 1)
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, s.n_children, s.n_leaves, s.saved_tokens,
+               sha256(n.ends) AS ends_sha256
+        FROM nodes n JOIN sums s ON s.node = n.node LEFT JOIN nodes p ON n.depth > 0 AND p.node = n.node[1:n.depth - 1] AND p.depth = n.depth - 1""",
+    "op13_fill_in_middle": r"""
+        WITH units AS (
+          SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                 sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS drawn FROM documents),
+        h AS (
+          SELECT *, len(u) AS n, ('0x' || drawn[1:8])::BIGINT AS h1, ('0x' || drawn[9:16])::BIGINT AS h2,
+                 ('0x' || drawn[17:24])::BIGINT AS h3, ('0x' || drawn[25:32])::BIGINT AS h4 FROM units),
+        cut AS (
+          SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                 CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        parts AS (
+          SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix
+          FROM cut)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM parts""",
 }

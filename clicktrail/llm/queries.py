@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicktrail.llm import chat, context_mixing, cover_tree, lines, mixing, packing, posting_lists, secrets, simhash, toxicity
+from clicktrail.llm import (
+    chat, context_mixing, cover_tree, lines, main_text, middle, mixing, packing, posting_lists, prefix_trie, secrets, simhash, toxicity,
+)
 from clicktrail.sources.shared import stash
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,3 +124,23 @@ def op9_toxicity(spark, sf_dir):
 @query
 def op10_nearest_vectors(spark, sf_dir):
     return posting_lists.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_prefix_trie(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(turns))
+
+
+@query
+def op12_main_text(spark, sf_dir):
+    return main_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op13_fill_in_middle(spark, sf_dir):
+    made = middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = middle.restore(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(restored.cast("binary"), 256).alias("restored_sha256"))

@@ -16,6 +16,9 @@ COLUMNS = {
     "op8": {"doc_id", "size", "source_size", "target", "taken"},
     "op9": {"doc_id", "held_out", "score", "predicted"},
     "op10": {"query_id", "rank", "vec_id", "score"},
+    "op11": {"conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"},
+    "op12": {"page_id", "url", "text", "n_chars"},
+    "op13": {"doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"},
 }
 
 
@@ -37,7 +40,8 @@ def test_query_covers_its_table(spark, sf_dir, name):
     df = queries.REGISTRY[name](spark, sf_dir)
     assert set(df.columns) >= COLUMNS[name.split("_")[0]]
     rows = df.collect()
-    table = spark.read.parquet(f"{sf_dir}/{'embeddings' if name.startswith(('op5', 'op10')) else 'documents'}.parquet")
+    source = {"op5": "embeddings", "op10": "embeddings", "op12": "pages"}.get(name.split("_")[0], "documents")
+    table = spark.read.parquet(f"{sf_dir}/{source}.parquet")
     if name.startswith("op10"):
         assert len(rows) == 10 * table.where("vec_id % 100 = 0").count()
     elif name.startswith("op7"):
