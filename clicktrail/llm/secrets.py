@@ -40,11 +40,12 @@ CLASSES = (
     EntropyClass("entropy_base64", "[A-Za-z0-9+/=_-]", 20, 3.8),
 )
 
-# Candidates that are no secrets whatever their entropy.
+# Candidates that are no secrets whatever their entropy. A pattern must not repeat a group: Java's
+# matcher recurses once per repetition, and a long candidate would end the process.
 ALLOW = (
     r"^[A-Za-z]+$", r"^[0-9]+$",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^[A-Za-z]*([-_/=+][A-Za-z]*)+$",
+    r"^[A-Za-z_/=+-]+$",
     r"(?i)example|placeholder|0123456789|abcdefghij",
 )
 
@@ -57,7 +58,8 @@ def scan_secrets(docs: DataFrame, classes: Sequence[EntropyClass] = CLASSES, all
     classes follow. An entropy span reaches from the first to the last window of a candidate
     over the threshold; candidates matching a pattern of ``allow`` have none. A null text is
     empty and has no spans. Rows are independent of each other: repeats, ties and empty tables
-    need no rule. Other columns stay inside ``row``.
+    need no rule. Other columns stay inside ``row``. A very long text is one row's work, in time
+    and memory in proportion to its length; no pattern recurses along it.
     """
     text = F.coalesce("text", F.lit(""))
     base = [
@@ -121,45 +123,38 @@ def _any_match(text: Column, patterns: Sequence[str]) -> Column:
 
 
 def _hot(candidate: Column, cls: EntropyClass) -> Column:
-    """First and last bound of the windows over the threshold, -1 if there are none."""
+    """First and last bound of the windows over the threshold, -1 if there are none.
+
+    A step moves the window by one character. What it adds to the sum of ``n log n`` depends on
+    how often the characters that come and go stand among those that stay.
+    """
     w = cls.window
-    # n log2 n for every count a window can hold
-    terms = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(w + 1)])
-    codes = F.transform(F.split(candidate, ""), F.ascii)
-    leaving = F.concat(F.array_repeat(F.lit(-1), w), codes)
-    steps = F.zip_with(codes, F.slice(leaving, F.lit(1), F.size(codes)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    # by how much n log2 n grows when a count goes from n to n + 1
+    growth = F.array(*[F.lit((n + 1) * math.log2(n + 1) - (n * math.log2(n) if n else 0.0)) for n in range(w)])
 
-    def n_log_n(n: Column) -> Column:
-        return F.element_at(terms, n + 1)
+    def moves(codes: Column) -> Column:
+        def move(code: Column, i: Column) -> Column:
+            stay = F.slice(codes, F.greatest(i - w + 2, F.lit(1)), F.least(i, F.lit(w - 1)))
 
-    def change(counts: Column, code: Column, by: int) -> Column:
-        n = F.element_at(counts, code + 1)
-        return n_log_n(n + by) - n_log_n(n)
+            def change(c: Column) -> Column:
+                return F.element_at(growth, F.size(F.filter(stay, lambda x: x == c)) + 1)
 
-    def moved(counts: Column, code: Column, by: int) -> Column:
-        return F.transform(counts, lambda n, i: F.when(i == code, n + by).otherwise(n))
+            gone = F.when(i >= w, change(F.get(codes, i - w))).otherwise(0.0)
+            return F.struct(gone.alias("less"), change(code).alias("more"))
 
-    def take(state: Column, x: Column) -> Column:
-        leave = x["b"] >= 0
-        less = F.when(leave, moved(state["counts"], x["b"], -1)).otherwise(state["counts"])
-        fall = F.when(leave, change(state["counts"], x["b"], -1)).otherwise(0.0)
-        return F.struct(less.alias("counts"), (state["sum"] + fall).alias("sum"), state["seen"].alias("seen"),
-                        state["first"].alias("first"), state["last"].alias("last"))
+        return F.transform(codes, move)
 
-    def add(state: Column, x: Column) -> Column:
-        total = state["sum"] + change(state["counts"], x["a"], 1)
-        seen = state["seen"] + 1
+    def step(state: Column, x: Column) -> Column:
+        total, seen = state["sum"] - x["less"] + x["more"], state["seen"] + 1
         hot = (seen >= w) & (math.log2(w) - total / w >= cls.bits)
         return F.struct(
-            moved(state["counts"], x["a"], 1).alias("counts"), total.alias("sum"), seen.alias("seen"),
+            total.alias("sum"), seen.alias("seen"),
             F.when(hot & (state["first"] < 0), seen - w).otherwise(state["first"]).alias("first"),
             F.when(hot, seen).otherwise(state["last"]).alias("last"))
 
-    def step(state: Column, x: Column) -> Column:
-        # the leaving character goes first; a one-element transform names the state in between
-        between = F.transform(F.array(take(state, x)), lambda s: add(s, x))
-        return F.element_at(between, 1)
-
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("seen"),
-                     F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-    return F.aggregate(steps, start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("seen"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    codes = F.transform(F.split(candidate, ""), F.ascii)
+    # the one-element array names the codes, so that they are made once
+    scanned = F.transform(F.array(codes), lambda c: F.aggregate(
+        moves(c), start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"))))
+    return F.element_at(scanned, 1)

@@ -61,3 +61,20 @@ def test_allow_list_suppresses_only_entropy_spans(spark):
 
 def test_no_documents(no_docs):
     assert secrets.scan_secrets(no_docs).collect() == []
+
+
+def test_very_long_runs(spark):
+    rng = random.Random(4)
+    base64 = "".join(rng.choice("GHIJKLMNOPghijklmnop0123456789+/") for _ in range(1 << 20))
+    n = 10 ** 6
+    texts = ["-" * n, "=" * n, "a-" * (n // 2), "_a+" * (n // 3), "token" + " " * n, "password=" + "x" * n, "0" * n, "A" * n + "1",
+             "AKIA" * (n // 4), base64]
+    rows = secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    kinds = {r.row.doc_id: [s.kind for s in r.secrets] for r in rows}
+    assert kinds == {0: [], 1: [], 2: [], 3: [], 4: [], 5: ["assign"], 6: ["hex"], 7: [], 8: ["access"], 9: ["entropy_base64"]}
+
+
+def test_a_window_that_moves_counts_as_one_counted_afresh(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(chars) for _ in range(400)) for chars in ("0123456789abcdef", "01ab", "aB3+/x9ZkQ_zT=-") for _ in range(20)]
+    compare(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
