@@ -22,6 +22,7 @@ from clicktrail.sources.shared import stash
 CAPACITY = 2048
 PER_TASK = 200_000     # pieces that a task packs in the first round
 FAN_IN = 8             # partitions merged into one per round
+LONGEST_BLANK = 10_000  # white space in a row that tiktoken is given
 NEARLY_FULL = 8        # bins with no more room than this leave at once
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -56,9 +57,10 @@ def byte_bpe(vocabulary: str) -> Callable[[], Callable[[str], list[int]]]:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         fast = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         plain = re.compile("[\x00-ɏ‐-‧]*").fullmatch
+        long_blank = re.compile(r"\s{%d}" % (LONGEST_BLANK + 1)).search
 
         def encode(text: str) -> list[int]:
-            if plain(text) and not any(s in text for s in special):
+            if plain(text) and not long_blank(text) and not any(s in text for s in special):
                 return fast.encode_ordinary(text)
             return whole.encode(text, add_special_tokens=False).ids
 

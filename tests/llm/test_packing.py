@@ -73,3 +73,19 @@ def test_best_fit_takes_the_tightest_bin():
 
 def test_no_documents(no_docs):
     assert packing.pack(packing.token_pieces(no_docs, packing.byte_bpe(VOCABULARY))).collect() == []
+
+
+@pytest.fixture(scope="module")
+def encode():
+    return packing.byte_bpe(VOCABULARY)()
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\r\n", "\u00a0", " \n"])
+def test_long_white_space(whole, encode, blank):
+    for text in (blank * 10 ** 6 + "a", "a" + blank * (packing.LONGEST_BLANK - 1) + "a", "a" + blank * packing.LONGEST_BLANK, blank * packing.LONGEST_BLANK):
+        assert encode(text) == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_other_long_runs(whole, encode):
+    for text in ("-" * 10 ** 6, "a" * 10 ** 5, "1" * 10 ** 5, "'s" * 10 ** 5, "é" * 10 ** 5, "a " * 10 ** 5, "\x00" * 10 ** 5):
+        assert encode(text) == whole.encode(text, add_special_tokens=False).ids
