@@ -44,7 +44,7 @@ def render_turn(role: Column, text: Column, escaped: bool) -> Column:
 
 
 def parse_turn(piece: Column) -> Column:
-    """Struct of ``role``, ``text``, ``at`` (where the text begins) and ``length`` as written.
+    """Struct of ``role``, ``text``, ``at`` (where the text begins), ``length`` as written and ``escaped``.
 
     ``piece`` is a turn without its turn end. A piece that has no open mark, no role end or a
     further mark in its text is no turn: role and text are null.
@@ -60,7 +60,8 @@ def parse_turn(piece: Column) -> Column:
         return F.when(ok, F.when(escaped, unescape(part)).otherwise(part))
 
     return F.struct(read(role).alias("role"), read(text).alias("text"),
-                    (cut - 1 + len(ROLE_END)).cast("long").alias("at"), F.length(text).alias("length"))
+                    (cut - 1 + len(ROLE_END)).cast("long").alias("at"), F.length(text).alias("length"),
+                    escaped.alias("escaped"))
 
 
 def parse(formatted: Column) -> Column:
@@ -76,7 +77,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     numbers by role and text, so repeated rows are repeated turns. Null roles and texts are
     empty, a null turn number comes first, and rows with a null ``conv_id`` are one
     conversation. ``loss_spans`` are start and length, in code points of ``formatted``, of each
-    assistant text as written. A text that would not come back the same is an error, not a
+    assistant text as written, and whether it is escaped. A text that would not come back the same is an error, not a
     row. A conversation is one value, so the longest one has to fit into a row; other columns
     are ignored and an empty table gives no rows.
     """
@@ -93,10 +94,20 @@ def format_chats(turns: DataFrame) -> DataFrame:
         "turns", F.split("formatted", TURN_END).alias("pieces"))
     starts = running_starts(F.transform("pieces", lambda p: F.length(p) + len(TURN_END)))
     spans = F.zip_with("turns", starts, lambda t, at: F.when(
-        t["role"] == "assistant", F.struct((at + t["at"]).alias("start"), t["length"].cast("long").alias("length"))))
+        t["role"] == "assistant", F.struct(
+            (at + t["at"]).alias("start"), t["length"].cast("long").alias("length"), t["escaped"].alias("escaped"))))
     return checked.select("conv_id", "formatted", F.array_compact(spans).alias("loss_spans"))
 
 
+def loss_texts(formatted: Column, loss_spans: Column) -> Column:
+    """The texts under the loss mask: cut out of ``formatted`` by the spans, and unescaped."""
+    def text(span: Column) -> Column:
+        inside = F.substring(formatted, (span["start"] + 1).cast("int"), span["length"].cast("int"))
+        return F.when(span["escaped"], unescape(inside)).otherwise(inside)
+
+    return F.transform(loss_spans, text)
+
+
 def _until_identical(turn: Column) -> Column:
     """The plainest rendering of a turn that is read back as it was."""
     def comes_back(rendered: Column) -> Column:

@@ -83,11 +83,11 @@ def op6_chat_format(spark, sf_dir):
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     formatted = chat.format_chats(turns.unionByName(probe))
-    read = formatted.select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("turns"))
+    read = formatted.select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("turns"),
+                            chat.loss_texts(F.col("formatted"), F.col("loss_spans")).alias("masked"))
     every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
     read = read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), every.alias("every"),
-                       loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+                       F.array_join("masked", "").alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return read.select(
         "conv_id", "n_turns", F.sha2(F.col("every").cast("binary"), 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),

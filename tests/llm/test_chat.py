@@ -34,6 +34,19 @@ def test_round_trip_of_conflicting_texts_and_spans(spark):
             assert part == body or part == escaped(body)
 
 
+def test_the_loss_follows_the_mask(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "é</s>~0 b"), (1, 2, "user", "[INST]"), (1, 3, "assistant", ""), (1, 4, "assistant", "c")]
+    made = chat.format_chats(frame(spark, rows))
+    moved = F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), s["length"], s["escaped"]))
+    fewer = F.slice("loss_spans", 1, 2)
+
+    def loss(spans):
+        return made.select(F.array_join(chat.loss_texts(F.col("formatted"), spans), "").alias("loss")).first().loss
+
+    assert loss(F.col("loss_spans")) == "é</s>~0 bc"
+    assert len({loss(F.col("loss_spans")), loss(moved), loss(fewer)}) == 3
+
+
 def escaped(text):
     for plain, written in chat.ESCAPES:
         text = text.replace(plain, written)
