@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clicktrail.llm.arrow import as_bytes, batches
@@ -54,35 +54,39 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """``doc_id`` and signed ``fp`` of every document; null texts have no words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, shingle: int = 4, key: Column | None = None) -> DataFrame:
+    """``doc_id`` and signed ``fp`` of every row, with the long ``key`` if given; null texts have no words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64())])
 
     def rows(source: Iterator[pa.RecordBatch]):
         for batch in source:
-            for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+            for doc, own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
                 value = fingerprint(text, shingle)
-                yield (doc, value - (1 << BITS) if value >> (BITS - 1) else value), 16
+                yield (doc, own, value - (1 << BITS) if value >> (BITS - 1) else value), 24
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        lambda s: batches(rows(s), schema), "doc_id long, fp long")
+    given = F.lit(None).cast("long") if key is None else key
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), given.alias("key"), "text").mapInArrow(
+        lambda s: batches(rows(s), schema), "doc_id long, key long, fp long")
+    return made if key is not None else made.drop("key")
 
 
-def simhash_groups(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` of every document.
+def simhash_groups(docs: DataFrame, radius: int = 4, shingle: int = 4, key: Column | None = None) -> DataFrame:
+    """``doc_id``, ``fp``, ``component_id`` and ``group`` of every row, and its ``key`` if given.
 
-    Documents are linked if their fingerprints differ in at most ``radius`` (even) bits;
-    ``component_id`` is the smallest id reachable. Texts without words share fingerprint 0.
-    A null ``doc_id`` keeps its row and, unless its fingerprint is another document's, gets a
-    null component. Repeated rows stay; other columns are ignored; an empty table gives none.
+    Rows are linked if their fingerprints differ in at most ``radius`` (even) bits, by nothing
+    else: rows of one ``doc_id`` with unlike texts are apart. ``group`` is the smallest
+    fingerprint reachable, ``component_id`` the smallest id of a row of the group, null if
+    none has one. Texts without words share fingerprint 0. Rows with a null ``doc_id`` and
+    repeated rows stay; other columns are ignored; an empty table gives none. A very long
+    text costs its task its words and eight bytes per shingle.
     """
-    prints = stash(fingerprints(docs, shingle), "fingerprints")
-    nodes = stash(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    joined = components(ball_links(nodes, radius))
-    labels = stash(
-        nodes.join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("fp", F.coalesce("component", "rep").alias("component_id")), "labels")
-    return prints.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
+    prints = stash(fingerprints(docs, shingle, key), "fingerprints")
+    nodes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    joined = components(ball_links(nodes.select("fp", F.col("fp").alias("rep")), radius)).withColumnRenamed("node", "fp")
+    grouped = stash(nodes.join(joined, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("group")), "groups")
+    ids = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
+    labels = stash(grouped.join(ids, "group").select("fp", "group", "component_id"), "labels")
+    return prints.join(labels, "fp", "left")
 
 
 def ball_links(nodes: DataFrame, radius: int = 4) -> DataFrame:
