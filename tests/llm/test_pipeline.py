@@ -52,8 +52,22 @@ def test_line_stage(spark, docs, tables, odd_docs):
 def test_simhash_stage(spark, docs, tables, odd_docs):
     out = STAGES["simhash_dedup"](spark, docs, tables)
     assert out.columns == COLUMNS
-    smallest = plain_components([(i, plain_fingerprint(t)) for i, t, _ in odd_docs if i is not None])
-    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(i) for i, _, _ in odd_docs if i is None or smallest[i] == i)
+    group = plain_components([plain_fingerprint(t) for _, t, _ in odd_docs])
+    least = {}
+    for i, t, _ in odd_docs:
+        g = group[plain_fingerprint(t)]
+        least[g] = min((i is None, i or 0), least.get(g, (True, 0)))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == sorted(least.values())
+    assert {group[plain_fingerprint(r.text)] for r in out.collect()} == set(least)
+
+
+def test_simhash_stage_keeps_a_row_of_each_text(spark, tables):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, a, "en", "s", 1), (2, a, "en", "s", 1), (2, b, "en", "s", 1), (3, b, "en", "s", 1), *[(4, "four words alone here", "de", "t", None)] * 5,
+            (None, "nobody's words, six of them", "en", "s", 2), (None, b, "en", "s", 1), (5, None, None, None, None), (6, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = STAGES["simhash_dedup"](spark, docs, tables).collect()
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, [rows[0], rows[2], rows[4], rows[9], rows[11]]))
 
 
 def test_mixing_stage(spark, docs, tables):
