@@ -35,11 +35,11 @@ DIGEST = 16
 INNER, CHAIN, ENDS = 0, 1, 2
 NOTHING = hashlib.sha256(b"").hexdigest()
 _SCHEMA = pa.schema([
-    ("kind", pa.int32()), ("node", pa.binary()), ("parent", pa.binary()), ("depth", pa.int64()),
+    ("kind", pa.int32()), ("node", pa.binary()), ("depth", pa.int64()),
     ("conv_id", pa.int64()), ("parent_conv_id", pa.int64()), ("n_convs", pa.int64()),
     ("n_children", pa.int64()), ("n_leaves", pa.int64()), ("saved_tokens", pa.int64()),
     ("words", pa.int64()), ("longer", pa.bool_()), ("chain", pa.int64()), ("ends", pa.string())])
-_COLUMNS = ("kind int, node binary, parent binary, depth long, conv_id long, parent_conv_id long, n_convs long, "
+_COLUMNS = ("kind int, node binary, depth long, conv_id long, parent_conv_id long, n_convs long, "
             "n_children long, n_leaves long, saved_tokens long, words long, longer boolean, chain long, ends string")
 SUMS = ("n_convs", "n_children", "n_leaves", "saved_tokens")
 
@@ -91,14 +91,16 @@ def prefix_trie(conversations: DataFrame, block_rows: int = BLOCK_ROWS, block_tu
     found = stash(ordered.mapInArrow(_blocks(block_rows, block_turns), _COLUMNS), "trie")
     shared = _shared_nodes(found)
     inner = found.where(F.col("kind") == INNER).withColumn("ends_sha256", F.coalesce("ends", F.lit(NOTHING)))
-    columns = ["parent", "conv_id", "depth", "parent_conv_id", *SUMS, "ends_sha256"]
-    # parents inside a block are known; the others are looked up among the shared nodes
+    columns = ["conv_id", "depth", "parent_conv_id", *SUMS, "ends_sha256"]
+    # Parents inside a block are known. Others stand in a chain of the node's own block, and are
+    # asked for there: all children of a node that many blocks share would be one key.
     known = inner.where(F.col("parent_conv_id").isNotNull()).select(columns)
-    asking = inner.where(F.col("parent_conv_id").isNull()).select(columns).unionByName(
-        shared.withColumn("parent_conv_id", F.lit(None).cast("long")).select(columns))
-    parents = shared.select(F.col("node").alias("parent"), F.col("conv_id").alias("found"))
-    told = asking.join(parents, "parent", "left").withColumn("parent_conv_id", F.col("found")).select(columns)
-    return known.unionByName(told).drop("parent")
+    asking = inner.where(F.col("parent_conv_id").isNull()).select(columns[:2] + columns[3:] + ["chain"]).unionByName(
+        shared.select(columns[:2] + columns[3:] + ["chain"]))
+    ids = shared.select("node", F.col("conv_id").alias("parent_conv_id"))
+    above = found.where(F.col("kind") == CHAIN).select("chain", (F.col("depth") + 1).alias("depth"), "node").join(ids, "node")
+    told = asking.join(above.drop("node"), ["chain", "depth"], "left").select(columns)
+    return known.unionByName(told)
 
 
 def _shared_nodes(found: DataFrame) -> DataFrame:
@@ -115,12 +117,12 @@ def _shared_nodes(found: DataFrame) -> DataFrame:
     words = F.when(at_home, F.col("words")).otherwise(0)
     so_far = upward.rowsBetween(Window.unboundedPreceding, 0)
     counted = chains.join(facts, "node").select(
-        "node", "parent", "depth", "conv_id", "n_convs",
+        "node", "chain", "depth", "conv_id", "n_convs",
         (F.col("n_children") + F.coalesce(F.lag(at_home.cast("int")).over(upward), F.lit(0))).alias("n_children"),
         (F.col("n_leaves") + F.sum(leaf).over(so_far)).alias("n_leaves"),
         (F.col("saved_tokens") - F.sum(words).over(so_far)).alias("saved_tokens"))
     nodes = counted.groupBy("node").agg(
-        F.first("parent").alias("parent"), F.first("depth").alias("depth"), F.min("conv_id").alias("conv_id"),
+        F.min("chain").alias("chain"), F.first("depth").alias("depth"), F.min("conv_id").alias("conv_id"),
         *[F.sum(c).alias(c) for c in SUMS])
     pieces = found.where(F.col("kind") == ENDS).select("node", "conv_id", "ends")
     lists = pieces.repartition("node").sortWithinPartitions("node", "conv_id").mapInArrow(_hash_lists, "node binary, ends_sha256 string")
@@ -284,30 +286,28 @@ def _block_rows(conv: np.ndarray, keys: list[bytes], words: list[np.ndarray], ch
             continue
         key, at = keys[i], int(known[i])
         digest = hashlib.md5(key[:at * DIGEST])
-        name = digest.digest()
         for p in range(starts[i] + at, starts[i + 1]):
-            above, d = name, int(depth[p])
+            d = int(depth[p])
             digest.update(key[(d - 1) * DIGEST:d * DIGEST])
             name = digest.digest()
             if not inner[p]:
                 continue
             up = int(parent[p])
             listed = hashlib.sha256(",".join(ending(i)).encode()).hexdigest() if lens[i] == d else None
-            yield (INNER, name, above, d, int(least[p]), int(least[up]) if up >= 0 and inner[up] else None,
-                   *stats(p, i, int(right[p])), None, None, None, listed), 200
+            yield (INNER, name, d, int(least[p]), int(least[up]) if up >= 0 and inner[up] else None,
+                   *stats(p, i, int(right[p])), None, None, chain + int(up >= 0 and left[up] > 0), listed), 200
 
     # the first and the last row, whose nodes may reach beyond the block
     for side, i in enumerate([0, n - 1] if n > 1 else [0]):
         digest = hashlib.md5()
-        name, above = digest.digest(), None
         for d in range(lens[i] + 1):
             p = int(starts[i]) + d - 1 if d else -1
             if d:
                 digest.update(keys[i][(d - 1) * DIGEST:d * DIGEST])
-                above, name = name, digest.digest()
+            name = digest.digest()
             word = int(each[p]) if d else 0
             if side and (not d or left[p] == 0):       # a node of the first row, counted there
-                yield (CHAIN, name, above, d, None, None, 0, 0, 0, 0, word, False, chain + 1, None), 150
+                yield (CHAIN, name, d, None, None, 0, 0, 0, 0, word, False, chain + 1, None), 150
                 continue
             last = int(right[p]) if d else n - 1
             first = int(left[p]) if d else 0
@@ -315,10 +315,10 @@ def _block_rows(conv: np.ndarray, keys: list[bytes], words: list[np.ndarray], ch
             at = int(starts[first]) + d - 1 if d else -1
             last = int(right[at]) if d else last
             smallest = int(least[at]) if d else int(conv.min())
-            yield (CHAIN, name, above, d, smallest, None, *stats(at, first, last), word,
+            yield (CHAIN, name, d, smallest, None, *stats(at, first, last), word,
                    bool(lens[last] > d), chain + side, None), 150
             if lens[first] == d:
                 ids_here = ending(first)
                 for a in range(0, len(ids_here), IDS):
-                    yield (ENDS, name, None, None, int(ids_here[a]), None, None, None, None, None, None, None, None,
+                    yield (ENDS, name, None, int(ids_here[a]), None, None, None, None, None, None, None, None,
                            ",".join(ids_here[a:a + IDS])), 12 * IDS
