@@ -208,6 +208,9 @@ LOG = ("date, user_id, session_id, page_id, action_time, search_keyword, click_c
 GUARD = {"threshold": THRESHOLD}
 ADS = (VISITS, CITIES, CLICKS.format(bucket=f"ms // 1000 // {BUCKET_SECONDS}", **GUARD))
 DELIVERED = (VISITS, CITIES, CLICKS.format(bucket=f"hour(ts) * {ARRIVALS} // 24", **GUARD))
+# Users of another seventh are listed by others at each delivery.
+LISTED = (VISITS, CITIES, DELIVERED[2].replace(
+    "FROM clicks)", f"FROM clicks WHERE NOT (CAST(user_id AS BIGINT) % 7 = hour(ts) * {ARRIVALS} // 24 AND CAST(user_id AS BIGINT) IN (SELECT c_custkey FROM customer)))"))
 # The filtered log under the name ``visits``, for the reports.
 KEPT = (
     VISITS.replace("visits AS (", "all_visits AS ("),
@@ -312,8 +315,15 @@ ORACLE: dict[str, str] = {
     "table_sink_and_scan": _with(VISITS, select=f"SELECT {LOG} FROM visits"),
     "stream_ads_blacklist": _with(*DELIVERED, select="SELECT user_id, flag_bucket AS flag_batch FROM flags"),
     "stream_ads_clean_clicks": _with(*DELIVERED, select=f"SELECT {CLICK_TEXT} FROM clean"),
+    "stream_ads_external_list": _with(*LISTED, select=f"SELECT {CLICK_TEXT} FROM clean"),
     "stream_ads_user_day_count": _with(*DELIVERED, select=USER_DAY),
     "stream_area_city_ads_day_count": _with(*DELIVERED, select="SELECT * FROM city_counts"),
     "stream_area_ads_top3": _with(*DELIVERED, select=TOP_ADS),
     "stream_last_hour_ads_minutes": _minutes(*DELIVERED),
 }
+ORACLE["session_summary_by_range"] = ORACLE["session_summary"]
+ORACLE["page_conversion_by_range"] = ORACLE["page_conversion"]
+ORACLE["visit_filter_bucketed"] = ORACLE["visit_filter"]
+ORACLE["report_page_convert_rate_tried_again"] = f"""
+    SELECT t.task AS "taskId", r."pageFlow", r.ratio
+    FROM ({ORACLE["report_page_convert_rate"]}) r, (VALUES ('{TASK}'), ('task-2')) t(task)"""

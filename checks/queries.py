@@ -17,7 +17,7 @@ from clicktrail.operators.sessions import hour_quotas
 from clicktrail.params import VisitCondition
 from clicktrail.plans import OfflineReports, RealtimeAds
 from clicktrail.session import configure
-from clicktrail.sources import append_sink, file_lines, overwrite_table, read_table
+from clicktrail.sources import append_sink, file_lines, overwrite_table, read_table, replace_parts
 from clicktrail.sources.shared import shared_root, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,7 @@ FLOW = CONDITION.target_page_flow
 TASK = "task-1"
 SAMPLE, SEED = 1000, 42
 BUCKET_SECONDS, THRESHOLD = 3600, 1
+BUCKETS = 16
 
 REGISTRY: dict[str, Query] = {}
 
@@ -127,6 +128,16 @@ def page_conversion(spark, sf_dir):
     return op.page_conversion(views.user_visit_action(spark, sf_dir), FLOW)
 
 
+@query
+def session_summary_by_range(spark, sf_dir):
+    return op.session_summary(views.user_visit_action(spark, sf_dir), by_range=True)
+
+
+@query
+def page_conversion_by_range(spark, sf_dir):
+    return op.page_conversion(views.user_visit_action(spark, sf_dir), FLOW, by_range=True)
+
+
 @query
 def area_product_clicks(spark, sf_dir):
     return (
@@ -291,13 +302,41 @@ def report_page_convert_rate(spark, sf_dir):
     return _report(spark, sf_dir, "page_convert_rate")
 
 
+@query
+def report_page_convert_rate_tried_again(spark, sf_dir):
+    """Two tasks write the report, the first one twice."""
+    rates = op.page_conversion(op.filter_visits(
+        views.user_visit_action(spark, sf_dir), views.user_info(spark, sf_dir), CONDITION), FLOW).select(
+        F.col("page_flow").alias("pageFlow"), "ratio")
+    folder = work_folder(spark, "report")
+    for task in (TASK, "task-2", TASK):
+        replace_parts(rates.withColumn("taskId", F.lit(task)), folder, "taskId")
+    return spark.read.parquet(folder)
+
+
+def _database(spark) -> str:
+    """One database per application, so that no folder of an earlier one is in the way."""
+    name = re.sub(r"\W", "_", f"clicktrail_{spark.sparkContext.applicationId}")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{shared_root(spark)}/{name}'")
+    return name
+
+
+@query
+def visit_filter_bucketed(spark, sf_dir):
+    """The filter over a log and users that are both stored in buckets by user."""
+    database = _database(spark)
+    visits = views.log_columns(views.user_visit_action(spark, sf_dir))
+    overwrite_table(visits, "visits_by_user", database, buckets=BUCKETS, by="user_id")
+    overwrite_table(views.user_info(spark, sf_dir), "users_by_id", database, buckets=BUCKETS, by="user_id")
+    return op.filter_visits(
+        read_table(spark, "visits_by_user", database), read_table(spark, "users_by_id", database), CONDITION)
+
+
 @query
 def table_sink_and_scan(spark, sf_dir):
     """The visit log replaced in the catalog twice, then read by name."""
-    # one database per application, so that no folder of an earlier one is in the way
-    database = re.sub(r"\W", "_", f"clicktrail_{spark.sparkContext.applicationId}")
+    database = _database(spark)
     visits = views.log_columns(views.user_visit_action(spark, sf_dir))
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{shared_root(spark)}/{database}'")
     for _ in range(2):
         overwrite_table(visits, "user_visit_action", database)
     return read_table(spark, "user_visit_action", database)
@@ -310,19 +349,23 @@ NOW = {"availableNow": True}
 ARRIVALS = 4  # log deliveries, by quarter of the day
 
 
-def _guarded(spark, sf_dir, counted: bool = False) -> RealtimeAds:
-    """The guard over the log delivered in parts, one batch each, restarted in between; if
-    ``counted``, the kept clicks go into the running counts after each."""
+def _guarded(spark, sf_dir, *counted: str, external: bool = False) -> RealtimeAds:
+    """The guard over the log delivered in parts, one batch each, restarted in between; the
+    kept clicks go into the queries of the reports ``counted`` after each. If ``external``,
+    users of another seventh are listed at each delivery."""
     root = work_folder(spark, "stream")
-    app = RealtimeAds(spark, root, THRESHOLD)
     lines = views.ads_lines(spark, sf_dir)
     hour = F.hour(F.timestamp_millis(F.split("value", " ")[0].cast("bigint")))
+    users = views.user_info(spark, sf_dir).select(F.col("user_id").cast("string").alias("user_id"))
+    listed = (lambda: spark.read.parquet(f"{root}/listed")) if external else None
     for part in range(ARRIVALS):
         delivered = lines.where(F.floor(hour * ARRIVALS / 24) == part)
         delivered.write.mode("append").text(f"{root}/ads_log")
-        app = RealtimeAds(spark, root, THRESHOLD)
+        if external:
+            users.where(F.col("user_id").cast("bigint") % 7 == part).write.mode("overwrite").parquet(f"{root}/listed")
+        app = RealtimeAds(spark, root, THRESHOLD, listed=listed)
         app.start_guard(file_lines(spark, f"{root}/ads_log"), NOW).awaitTermination()
-        for running in app.start_counts(trigger=NOW) if counted else ():
+        for running in app.start_counts(trigger=NOW, only=counted):
             running.awaitTermination()
     return app
 
@@ -337,24 +380,29 @@ def stream_ads_clean_clicks(spark, sf_dir):
     return _click_text(_guarded(spark, sf_dir).guard.clean_clicks())
 
 
+@query
+def stream_ads_external_list(spark, sf_dir):
+    return _click_text(_guarded(spark, sf_dir, external=True).guard.clean_clicks())
+
+
 @query
 def stream_ads_user_day_count(spark, sf_dir):
-    return _guarded(spark, sf_dir).user_ads_day_count()
+    return _guarded(spark, sf_dir, "user_ads_day_count").user_ads_day_count()
 
 
 @query
 def stream_area_city_ads_day_count(spark, sf_dir):
-    return _guarded(spark, sf_dir, counted=True).area_city_ads_day_count()
+    return _guarded(spark, sf_dir, "area_city_ads_day_count").area_city_ads_day_count()
 
 
 @query
 def stream_area_ads_top3(spark, sf_dir):
-    return _guarded(spark, sf_dir, counted=True).area_ads_top()
+    return _guarded(spark, sf_dir, "area_ads_top").area_ads_top()
 
 
 @query
 def stream_last_hour_ads_minutes(spark, sf_dir):
     """Clicks by arrival: all were delivered within the hour, hours to weeks after their time."""
-    app = _guarded(spark, sf_dir, counted=True)
-    last = app.buckets.latest().agg(F.max("bucket_ts") + F.expr(f"INTERVAL {SLIDE} SECONDS")).scalar()
+    app = _guarded(spark, sf_dir, "last_hour")
+    last = app.buckets.rows().agg(F.max("bucket_ts") + F.expr(f"INTERVAL {SLIDE} SECONDS")).scalar()
     return app.last_hour(last, 60)

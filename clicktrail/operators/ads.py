@@ -177,6 +177,11 @@ def area_ads_top(counts: DataFrame, k: int = 3) -> DataFrame:
         .withColumn("rk", F.row_number().over(by_clicks))
         .where(F.col("rk") <= k)
     )
+    return top_ads_lists(ranked)
+
+
+def top_ads_lists(ranked: DataFrame) -> DataFrame:
+    """Ranked ads (``rk``) of each day and area to one JSON text."""
     entries = F.array_sort(F.collect_list(F.struct("rk", "ads_id", "click_count")))
     return ranked.groupBy("day", "area").agg(
         count_pairs_json(entries, "ads_id", "click_count").alias("top_ads")
@@ -190,14 +195,20 @@ def minute_lists(per_minute: DataFrame) -> DataFrame:
         count_pairs_json(entries, "minute", "click_count").alias("minute_counts"))
 
 
-def in_window(arrival: str, as_of: datetime | Column, minutes: int, slide: int = SLIDE) -> Column:
-    """Whether ``arrival`` lies in the window that was last complete at ``as_of``.
+def window_bounds(as_of: datetime | Column, minutes: int, slide: int = SLIDE) -> tuple[Column, Column]:
+    """Start and end of the window that was last complete at ``as_of``.
 
     Windows of ``minutes`` move every ``slide`` seconds; they hold their start, not their end.
     """
     given = as_of if isinstance(as_of, Column) else F.lit(as_of)
     end = F.timestamp_seconds(F.floor(F.unix_seconds(given) / F.lit(slide)) * F.lit(slide))
-    return (F.col(arrival) >= end - F.expr(f"INTERVAL {int(minutes)} MINUTES")) & (F.col(arrival) < end)
+    return end - F.expr(f"INTERVAL {int(minutes)} MINUTES"), end
+
+
+def in_window(arrival: str, as_of: datetime | Column, minutes: int, slide: int = SLIDE) -> Column:
+    """Whether ``arrival`` lies in the window of :func:`window_bounds`."""
+    start, end = window_bounds(as_of, minutes, slide)
+    return (F.col(arrival) >= start) & (F.col(arrival) < end)
 
 
 def last_hour_minutes(

@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clicktrail.functions import share, time_slice
+from clicktrail.functions import share
 from clicktrail.operators.sessions import SLICE_SECONDS
-from clicktrail.operators.visits import with_order
+from clicktrail.operators.visits import in_slices, with_order
 
 
 def page_conversion(
-    visits: DataFrame, flow: Sequence[int], slice_seconds: int = SLICE_SECONDS
+    visits: DataFrame, flow: Sequence[int], slice_seconds: int = SLICE_SECONDS, by_range: bool = False
 ) -> DataFrame:
     """Jumps between neighbours of ``flow`` as a share of all visits to the first page.
 
@@ -23,7 +23,8 @@ def page_conversion(
     A session is cut into slices of time, so that a session holding most of the log is
     paired by many tasks. Each slice is reduced in place to its jump and visit counts and
     its first and last page. One more window, over these short rows, adds the jump from a
-    slice to the session's next one.
+    slice to the session's next one. Where a session can have most of its visits within one
+    slice of time, ``by_range`` cuts it by rows instead, at the price of a shuffle.
     """
     flow = [int(p) for p in flow]
     jumps = list(dict.fromkeys(zip(flow[:-1], flow[1:])))
@@ -33,11 +34,7 @@ def page_conversion(
 
     in_slice = Window.partitionBy("session_id", "slice").orderBy("action_ts", "row_id")
     steps = (
-        with_order(visits)
-        .select(
-            "session_id", "page_id", "action_ts", "row_id",
-            time_slice(F.col("action_ts"), slice_seconds).alias("slice"),
-        )
+        in_slices(with_order(visits).select("session_id", "page_id", "action_ts", "row_id"), slice_seconds, by_range)
         .withColumn("nxt", F.lead("page_id").over(in_slice))
         .withColumn("is_first", F.lag(F.lit(1)).over(in_slice).isNull())
         .withColumn("is_last", F.lead(F.lit(1)).over(in_slice).isNull())

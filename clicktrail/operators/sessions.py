@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clicktrail.functions import DATETIME, half_up, hour_label, span_millis, time_slice
-from clicktrail.operators.visits import is_click, with_order
+from clicktrail.functions import DATETIME, half_up, hour_label, span_millis
+from clicktrail.operators.visits import in_slices, is_click, with_order
 
 # A session's actions are put in order slice by slice, so that no task holds all actions
 # of a very long session at once. With minutes, a session that is a third of one day's log
@@ -91,20 +91,18 @@ def _joined(entries: Column, position: int) -> Column:
     return F.when(F.size(mine) > 0, F.array_join(F.transform(mine, lambda e: e["item"]), ","))
 
 
-def session_summary(visits: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def session_summary(visits: DataFrame, slice_seconds: int = SLICE_SECONDS, by_range: bool = False) -> DataFrame:
     """Per session: start, steps, length in ms, and its searches, clicks, orders and pays.
 
     The lists are in time order and joined by commas. They are built in two steps: the
     actions of a session within one slice of time are sorted and joined, then the pieces
     are put in slice order. The second step holds only text that ends up in the row, so a
-    session can be as long as one row can: its lists must fit Spark's 2 GB per text.
+    session can be as long as one row can: its lists must fit Spark's 2 GB per text. Where a
+    session can have most of its actions within one slice of time, ``by_range`` cuts it by
+    rows instead, at the price of a shuffle.
     """
-    rows = with_order(visits).select(
-        "session_id",
-        "action_ts",
-        time_slice(F.col("action_ts"), slice_seconds).alias("slice"),
-        _listed_action().alias("entry"),
-    )
+    entries = with_order(visits).select("session_id", "action_ts", "row_id", _listed_action().alias("entry"))
+    rows = in_slices(entries, slice_seconds, by_range)
     pieces = (
         rows.groupBy("session_id", "slice")
         .agg(

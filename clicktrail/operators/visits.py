@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clicktrail.functions import action_timestamp
+from clicktrail.functions import action_timestamp, time_slice
 from clicktrail.params import VisitCondition
 
 NO_CLICK = -1  # fixed value: click ids hold it on rows that are no click
@@ -57,6 +57,19 @@ def with_order(visits: DataFrame) -> DataFrame:
     return out
 
 
+def in_slices(rows: DataFrame, seconds: int, by_range: bool) -> DataFrame:
+    """Add ``slice``, by which the rows of a session are cut into pieces in their order.
+
+    Either a slice is ``seconds`` of time, or, ``by_range``, a session's share of one range
+    partition over session, time and row. The latter takes a shuffle more, and no piece is
+    larger than a partition however many rows of a session fall into one second.
+    """
+    if not by_range:
+        return rows.withColumn("slice", time_slice(F.col("action_ts"), seconds))
+    dealt = rows.repartitionByRange("session_id", "action_ts", "row_id")
+    return dealt.withColumn("slice", F.spark_partition_id())
+
+
 def is_click(id_column: str) -> Column:
     return F.coalesce(F.col(id_column) != NO_CLICK, F.lit(False))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from clicktrail import operators as op
 from clicktrail.params import VisitCondition
 from clicktrail.schemas import REPORT_COLUMNS
-from clicktrail.sources import append_sink
+from clicktrail.sources import append_sink, replace_parts
 from clicktrail.sources.shared import work_folder
 
 Sink = Callable[[str, DataFrame], None]
@@ -101,3 +101,7 @@ class OfflineReports:
     def write_jdbc(self, url: str, **options) -> None:
         """Append every report to the database table of its name."""
         self.write(lambda name, df: append_sink(df, "jdbc", url=url, dbtable=name, **options))
+
+    def write_files(self, folder: str) -> None:
+        """Write every report under ``folder`` by task id: a write tried again leaves one copy."""
+        self.write(lambda name, df: replace_parts(df.withColumn("taskId", F.lit(self.task_id)), f"{folder}/{name}", "taskId"))

@@ -2,97 +2,86 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from clicktrail.operators.ads import area_ads_top, observe_lines, parse_ads_log
+from clicktrail.operators.ads import observe_lines, parse_ads_log
 from clicktrail.session import configure
-from clicktrail.streaming.counts import (
-    AREA_COUNTS, AREA_KEYS, BUCKET_COUNTS, BUCKET_KEYS, bucket_counts, last_minutes_of_buckets,
-    running_day_counts, start_upsert,
-)
-from clicktrail.streaming.guard import GuardState
-from clicktrail.streaming.versions import VersionedTable
+from clicktrail.streaming.buckets import ArrivalBuckets
+from clicktrail.streaming.counts import RunningCounts
+from clicktrail.streaming.guard import ClickGuard
+from clicktrail.streaming.ranks import AreaRanks
+
+REPORTS = ("user_ads_day_count", "area_city_ads_day_count", "area_ads_top", "last_hour")
 
 
 class RealtimeAds:
     """Guard, running counts and reports under one root folder seen by all nodes.
 
-    Three queries with a checkpoint each: the guard reads the log and publishes the kept
-    clicks; counts per area and counts per ten seconds read those. The reports are batch
-    frames over the tables, taken when called.
+    The guard reads the log and publishes the kept clicks; a query per report reads those,
+    each with its own checkpoint. The reports are batch frames, taken when called.
     """
 
     def __init__(
-        self, spark: SparkSession, root: str, threshold: int = 100, full_every: int = 100,
-        delay: str | None = None, time_zone: str | None = None,
+        self, spark: SparkSession, root: str, threshold: int = 100, delay: str | None = None,
+        time_zone: str | None = None, listed: Callable[[], DataFrame] | None = None, k: int = 3,
     ):
-        """``time_zone`` labels days and minutes; the session's own unless given."""
+        """``time_zone`` labels days and minutes; the session's own unless given. ``listed``
+        gives the users that others want dropped, anew for every batch. ``delay`` closes the
+        days of the two counts that are kept for good otherwise."""
         zone = time_zone or spark.conf.get("spark.sql.session.timeZone")
         self.spark, self.root = configure(spark, zone, streaming=True), root.rstrip("/")
-        self.delay = delay
-        self.guard = GuardState(spark, f"{self.root}/guard", threshold, full_every)
-        self.area_counts = VersionedTable(
-            spark, f"{self.root}/area_city_ads_day", AREA_COUNTS, AREA_KEYS, full_every
-        )
-        self.buckets = VersionedTable(
-            spark, f"{self.root}/ads_buckets", BUCKET_COUNTS, BUCKET_KEYS, full_every,
-            expire=("bucket_ts", "25 hours"),
-        )
-
-    def _checkpoint(self, name: str) -> str:
-        return f"{self.root}/checkpoints/{name}"
+        self.guard = ClickGuard(spark, f"{self.root}/guard", threshold, listed)
+        self.users = RunningCounts(spark, self.root, "user_ads_day", ["user_id", "ads_id"], delay)
+        self.cities = RunningCounts(spark, self.root, "area_city_ads_day", ["area", "city", "ads_id"], delay)
+        self.ranks = AreaRanks(spark, self.root, k)
+        self.buckets = ArrivalBuckets(spark, self.root)
 
     def start_guard(self, lines: DataFrame, trigger: dict | None = None) -> StreamingQuery:
         """Guard over log lines; each trigger is one batch of the flagging rule."""
         clicks = parse_ads_log(observe_lines(lines))
-        return self.guard.start(clicks, self._checkpoint("guard"), trigger)
+        return self.guard.start(clicks, f"{self.root}/checkpoints/guard", trigger)
 
     def start_counts(
         self, clicks: DataFrame | None = None, trigger: dict | None = None,
         publish: Callable[[str, DataFrame], None] | None = None, arrival: Column | None = None,
+        only: Iterable[str] = REPORTS,
     ) -> list[StreamingQuery]:
-        """Both running counts over the kept clicks, or over another stream of clicks.
+        """The queries behind the reports in ``only``, over the kept clicks or another stream.
 
-        ``publish`` gets the name and frame of a report after each batch of its counts:
-        ``area_ads_top`` and ``last_hour``, the latter as of that moment. ``arrival`` stands
-        in for the time of the batch.
+        ``publish`` gets the name and frame of a report after each batch of its query:
+        ``area_ads_top``, the lists of the days and areas that the batch changed, and
+        ``last_hour`` as of that moment. ``arrival`` stands in for the time of the batch.
         """
-        def source():
+        def source() -> DataFrame:
             return clicks if clicks is not None else self.guard.clean_stream()
 
-        def report(name: str, frame: Callable[[], DataFrame]):
-            return None if publish is None else lambda _: publish(name, frame())
-
-        per_area = running_day_counts(source(), AREA_KEYS[:-1], self.delay)
-        per_bucket = bucket_counts(source(), arrival=arrival)
-        return [
-            start_upsert(
-                per_area, self.area_counts, self._checkpoint("area"), trigger,
-                report("area_ads_top", self.area_ads_top),
-            ),
-            start_upsert(
-                per_bucket, self.buckets, self._checkpoint("buckets"),
-                trigger or {"processingTime": "10 seconds"},
-                report("last_hour", lambda: self.last_hour(F.current_timestamp())),
-            ),
-        ]
+        def out(name: str):
+            return None if publish is None else lambda frame: publish(name, frame)
+
+        starts = {
+            "user_ads_day_count": lambda: self.users.start(source(), trigger),
+            "area_city_ads_day_count": lambda: self.cities.start(source(), trigger),
+            "area_ads_top": lambda: self.ranks.start(source(), trigger, out("area_ads_top")),
+            "last_hour": lambda: self.buckets.start(source(), trigger, arrival, out("last_hour")),
+        }
+        return [starts[name]() for name in only]
 
     def user_blacklist(self) -> DataFrame:
-        return self.guard.blacklist.latest()
+        return self.guard.users()
 
     def user_ads_day_count(self) -> DataFrame:
-        return self.guard.totals.latest().select("user_id", "ads_id", "day", "click_count")
+        return self.users.read()
 
     def area_city_ads_day_count(self) -> DataFrame:
-        return self.area_counts.latest()
+        return self.cities.read()
 
-    def area_ads_top(self, k: int = 3) -> DataFrame:
-        return area_ads_top(self.area_counts.latest(), k)
+    def area_ads_top(self) -> DataFrame:
+        return self.ranks.lists()
 
     def last_hour(self, as_of: datetime | Column, minutes: int = 60) -> DataFrame:
-        return last_minutes_of_buckets(self.buckets.latest(), as_of, minutes)
+        return self.buckets.last_minutes(as_of, minutes)

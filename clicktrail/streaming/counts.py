@@ -1,32 +1,16 @@
-"""Running counts on a stream of clicks, kept as versioned tables."""
+"""Running counts on a stream of clicks, kept in Spark's state store."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from datetime import datetime
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from clicktrail.functions import day_label, minute_label
-from clicktrail.operators.ads import SLIDE, in_window, minute_lists
-from clicktrail.streaming.versions import VersionedTable
+from clicktrail.functions import day_label
+from clicktrail.streaming.batches import Storage
 
-BUCKET_KEYS = ["ads_id", "minute", "bucket_ts"]
-AREA_KEYS = ["area", "city", "ads_id", "day"]
-AREA_COUNTS = T.StructType(
-    [T.StructField(k, T.StringType()) for k in AREA_KEYS] + [T.StructField("click_count", T.LongType())]
-)
-BUCKET_COUNTS = T.StructType(
-    [
-        T.StructField("ads_id", T.StringType()),
-        T.StructField("minute", T.StringType()),
-        T.StructField("bucket_ts", T.TimestampType()),
-        T.StructField("click_count", T.LongType()),
-    ]
-)
+EVERY_FIVE = {"processingTime": "5 seconds"}
 
 
 def running_day_counts(clicks: DataFrame, keys: list[str], delay: str | None = None) -> DataFrame:
@@ -46,55 +30,41 @@ def running_day_counts(clicks: DataFrame, keys: list[str], delay: str | None = N
     return counts.select(*keys, day_label(F.col("w.start")).alias("day"), "click_count")
 
 
-def bucket_counts(clicks: DataFrame, seconds: int = SLIDE, arrival: Column | None = None) -> DataFrame:
-    """Clicks per ad, minute label and ``seconds``-wide bucket of arrival.
-
-    Sliding windows over the last hour would copy each click into every window that holds
-    it. Buckets as wide as the slide hold it once and are added up on reading. Arrival is
-    the time of the batch unless given: a replayed batch keeps its time, so nothing is ever
-    late, whatever the clicks' own times are, and the state holds the newest buckets only.
-    """
-    counts = (
-        clicks.withColumn("arrival", F.current_timestamp() if arrival is None else arrival)
-        .withWatermark("arrival", "1 minute")
-        .groupBy("ads_id", minute_label(F.col("ts")).alias("minute"), F.window("arrival", f"{int(seconds)} seconds").alias("w"))
-        .agg(F.count(F.lit(1)).alias("click_count"))
-    )
-    return counts.select("ads_id", "minute", F.col("w.start").alias("bucket_ts"), "click_count")
-
-
-def last_minutes_of_buckets(
-    buckets: DataFrame, as_of: datetime | Column, minutes: int = 60
-) -> DataFrame:
-    """Clicks of each ad by minute label, over the window of arrivals at ``as_of``.
+class RunningCounts:
+    """Clicks per key and day of a stream, as one query and a reader.
 
-    The same window as :func:`clicktrail.operators.ads.last_hour_minutes` takes. It is
-    evaluated on reading, so it moves on when no clicks arrive.
+    The counts are the query's own state, read by Spark's state store source: nothing else is
+    written while days are open. With a ``delay``, days that are closed leave the state for good
+    and go to files once, by Spark's file sink; a read takes both.
     """
-    per_minute = (
-        buckets.where(in_window("bucket_ts", as_of, minutes))
-        .groupBy("ads_id", "minute")
-        .agg(F.sum("click_count").alias("click_count"))
-    )
-    return minute_lists(per_minute)
-
-
-def start_upsert(
-    counts: DataFrame, table: VersionedTable, checkpoint: str, trigger: dict | None = None,
-    after: Callable[[int], None] | None = None,
-) -> StreamingQuery:
-    """Run a streaming aggregate in update mode and write each batch's changed keys.
 
-    ``after`` is called with the batch's number once its keys are written.
-    """
-    def step(changed: DataFrame, batch_id: int) -> None:
-        table.write(changed, batch_id)
-        if after is not None:
-            after(batch_id)
-
-    return (
-        counts.writeStream.outputMode("update").foreachBatch(step)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": "5 seconds"}))
-        .start()
-    )
+    def __init__(self, spark: SparkSession, root: str, name: str, keys: list[str], delay: str | None = None):
+        self.spark, self.keys, self.delay = spark, keys, delay
+        self.checkpoint, self.closed = f"{root}/checkpoints/{name}", f"{root}/{name}"
+        self.schema = T.StructType(
+            [*[T.StructField(k, T.StringType()) for k in (*keys, "day")], T.StructField("click_count", T.LongType())])
+
+    def start(self, clicks: DataFrame, trigger: dict | None = None) -> StreamingQuery:
+        writer = running_day_counts(clicks, self.keys, self.delay).writeStream.option("checkpointLocation", self.checkpoint)
+        if self.delay is None:
+            writer = writer.outputMode("update").format("noop")
+        else:
+            writer = writer.outputMode("append").format("parquet").option("path", self.closed)
+        return writer.trigger(**(trigger or EVERY_FIVE)).start()
+
+    def read(self) -> DataFrame:
+        """Counts as of the last finished batch."""
+        storage = Storage(self.spark)
+        if not any(name.isdigit() for name in storage.names(f"{self.checkpoint}/commits")):
+            return self.spark.createDataFrame([], self.schema)
+        state = self.spark.read.format("statestore").load(self.checkpoint)
+        inner = {f.name: f.dataType for f in state.schema["key"].dataType.fields}
+        parts = list(inner)         # the keys, then the day or its window
+        day = F.col(f"key.`{parts[-1]}`")
+        if isinstance(inner[parts[-1]], T.StructType):
+            day = day_label(day["start"])
+        counts = state.select(
+            *[F.col(f"key.`{p}`").alias(k) for p, k in zip(parts, self.keys)], day.alias("day"), F.col("value.count").alias("click_count"))
+        if self.delay is not None and storage.exists(f"{self.closed}/_spark_metadata"):
+            counts = counts.unionByName(self.spark.read.schema(self.schema).parquet(self.closed))
+        return counts

@@ -1,7 +1,9 @@
-"""Click guard on a stream: drop clicks of flagged users, count the rest, flag more users."""
+"""Click guard on a stream: drop clicks of flagged users, keep the others, flag more users."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,85 +12,93 @@ from pyspark.sql.streaming import StreamingQuery
 from clicktrail.functions import day_label
 from clicktrail.operators.ads import CLICK_COLUMNS, drop_users
 from clicktrail.schemas import ADS_CLICK
-from clicktrail.streaming.versions import BatchFolders, VersionedTable
+from clicktrail.streaming.batches import BatchFolders
+from clicktrail.streaming.counts import running_day_counts
 
 KEYS = ["user_id", "ads_id", "day"]
-MOST_DAYS = 1000   # listed to pick folders; a batch of more days is matched by key alone
-TOTALS = T.StructType(
-    [T.StructField(k, T.StringType()) for k in KEYS]
-    + [T.StructField("prior", T.LongType()), T.StructField("click_count", T.LongType())]
-)
-BLACKLIST = T.StructType(
-    [T.StructField("user_id", T.StringType()), T.StructField("flag_batch", T.LongType())]
-)
-
-
-class GuardState:
-    """The guard's tables under one root folder.
-
-    A batch is handled in the order of the reference rules: users on the list when the
-    batch starts lose their clicks; the remaining clicks are counted per user, ad and day;
-    a user clicking an ad whose total before this batch is over the threshold is listed,
-    from the next batch on.
-
-    Nothing is grouped by user before it is counted: the list is an anti-join, which Spark
-    broadcasts while the list is small and else splits where a user is hot, and counts are
-    combined before the shuffle. A user sending most of the clicks loads no single task.
-    Every table version depends on earlier versions only: a replayed batch finds its output
-    complete or writes the same rows.
-    """
+_TEXT = [T.StructField(k, T.StringType()) for k in KEYS]
+DROPPED = T.StructType([*_TEXT, T.StructField("n", T.LongType())])
+BLACKLIST = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("flag_batch", T.LongType())])
 
-    def __init__(self, spark: SparkSession, root: str, threshold: int = 100, full_every: int = 100):
-        self.threshold = threshold
-        self.clean = BatchFolders(spark, f"{root}/clean")
-        self.totals = VersionedTable(
-            spark, f"{root}/user_ads_day", TOTALS, KEYS, full_every, partition="day"
-        )
-        self.blacklist = VersionedTable(
-            spark, f"{root}/blacklist", BLACKLIST, ["user_id"], full_every
-        )
-        self.spark = spark
 
-    def step(self, clicks: DataFrame, batch_id: int) -> None:
-        listed = self.blacklist.latest(before=batch_id)
-        self.clean.publish(drop_users(clicks.select(*CLICK_COLUMNS), listed), batch_id)
+class ClickGuard:
+    """The guard's folders under one root.
 
-        counts = (
-            self.clean_clicks([batch_id])
-            .groupBy("user_id", "ads_id", day_label(F.col("ts")).alias("day"))
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        # folders of the batch's days only, and of those the batch's keys only
-        days = [r.day for r in counts.select("day").distinct().limit(MOST_DAYS + 1).collect()]
-        before = self.totals.latest(
-            before=batch_id, where=F.col("day").isin(days) if len(days) <= MOST_DAYS else None, keys=counts
-        ).select(*KEYS, F.col("click_count").alias("known"))
-        prior = F.coalesce(F.col("known"), F.lit(0))
-        changed = counts.join(before, KEYS, "left").select(
-            *KEYS, prior.alias("prior"), (prior + F.col("n")).alias("click_count")
-        )
-        self.totals.write(changed, batch_id)
+    A batch is handled in the order of the reference rules: users listed when the batch starts
+    lose their clicks; the remaining clicks are counted per user, ad and day; a user clicking
+    an ad whose total before this batch is over the threshold is flagged, from the next batch
+    on. ``listed`` is called once per batch and gives the ``user_id`` of users that others list;
+    they are dropped next to the flagged ones for as long as they stand there.
 
-        flagged = (
-            self.totals.batch(batch_id)
-            .where(F.col("prior") > self.threshold)
-            .select("user_id", F.lit(batch_id).cast("bigint").alias("flag_batch"))
-            .distinct()
-        )
-        self.blacklist.write(flagged, batch_id)
+    The totals live in Spark's state store: the query's plan is the batch's clicks and, as
+    further rows, the running totals of their keys. So a batch costs what its own keys cost,
+    and a user who sends most of the clicks is combined per task before the shuffle. Totals
+    count all clicks. Those dropped by a list of others are taken off again (``dropped``);
+    those of flagged users do not matter, since a flag stays.
+
+    What a batch writes depends on its rows, on earlier batches and on what it has published
+    itself, so a driver may be lost at any step: the replay writes what is missing.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, threshold: int = 100,
+                 listed: Callable[[], DataFrame] | None = None):
+        self.spark, self.threshold, self.listed = spark, threshold, listed
+        self.clean = BatchFolders(spark, f"{root}/clean", ADS_CLICK)
+        self.dropped = BatchFolders(spark, f"{root}/dropped", DROPPED)
+        self.blacklist = BatchFolders(spark, f"{root}/blacklist", BLACKLIST)
+
+    def with_totals(self, clicks: DataFrame) -> DataFrame:
+        """The clicks, with ``total`` null, and the totals of their keys so far."""
+        clicks = clicks.select(*CLICK_COLUMNS)
+        totals = running_day_counts(clicks, KEYS[:-1]).withColumnRenamed("click_count", "total")
+        return clicks.unionByName(totals, allowMissingColumns=True)
+
+    def step(self, rows: DataFrame, batch_id: int) -> None:
+        """Handle one batch of :meth:`with_totals`."""
+        rows = rows.persist()
+        try:
+            rows.count()        # a replay that finds all published has to compute the totals, too
+            flagged = self.blacklist.read(before=batch_id).select("user_id").distinct()
+            out = flagged if self.listed is None else flagged.union(self.listed().select("user_id")).distinct()
+            self.clean.publish(drop_users(rows.where("total is null").select(*CLICK_COLUMNS), out), batch_id)
+            over = self._prior(rows, flagged, batch_id).where(F.col("prior") > self.threshold)
+            users = over.select("user_id").distinct().join(flagged, "user_id", "left_anti").persist()
+            self.blacklist.publish_rows(users.select("user_id", F.lit(batch_id).cast("bigint").alias("flag_batch")), batch_id)
+            users.unpersist()
+        finally:
+            rows.unpersist()
+
+    def _prior(self, rows: DataFrame, flagged: DataFrame, batch_id: int) -> DataFrame:
+        """Kept clicks before this batch, of the keys with clicks kept in it."""
+        keyed = rows.select("user_id", "ads_id", F.coalesce("day", day_label(F.col("ts"))).alias("day"), "total")
+        counts = keyed.groupBy(*KEYS).agg(F.max("total").alias("total"), F.count_if(F.col("total").isNull()).alias("n"))
+        if self.listed is not None:
+            counts = self._heard(counts, flagged, batch_id)
+        prior = F.col("total") - F.col("n")
+        if self.dropped.complete():
+            before = self.dropped.read(before=batch_id).groupBy(*KEYS).agg(F.sum("n").alias("gone"))
+            counts, prior = counts.join(before, KEYS, "left"), prior - F.coalesce("gone", F.lit(0))
+        return counts.select("user_id", prior.alias("prior"))
+
+    def _heard(self, counts: DataFrame, flagged: DataFrame, batch_id: int) -> DataFrame:
+        """The counts of users whose clicks were kept. Those of others are published as dropped,
+        unless a flag dropped them; which they are is read off the clicks published."""
+        kept = self.clean.batch(batch_id).select("user_id").distinct()
+        gone = counts.join(kept, "user_id", "left_anti").join(flagged, "user_id", "left_anti")
+        self.dropped.publish_rows(gone.select(*KEYS, "n"), batch_id)
+        return counts.join(kept, "user_id", "left_semi")
 
     def start(self, clicks: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
         return (
-            clicks.writeStream.foreachBatch(self.step)
+            self.with_totals(clicks).writeStream.outputMode("update").foreachBatch(self.step)
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "5 seconds"}))
             .start()
         )
 
-    def clean_clicks(self, batch_ids: list[int] | None = None) -> DataFrame:
-        """Kept clicks, of all batches or of the given ones."""
-        ids = self.clean.complete() if batch_ids is None else batch_ids
-        return self.clean.read(ids, ADS_CLICK).drop("batch_id")
+    def clean_clicks(self) -> DataFrame:
+        """Kept clicks of all batches."""
+        return self.clean.read().select(*CLICK_COLUMNS)
 
     def clean_stream(self, **options) -> DataFrame:
         """Kept clicks as a stream, fed as batches are published."""
@@ -97,6 +107,10 @@ class GuardState:
             .parquet(f"{self.clean.root}/batch_id=*").select(*CLICK_COLUMNS)
         )
 
+    def users(self) -> DataFrame:
+        """Flagged users with the batch that flagged them."""
+        return self.blacklist.read().groupBy("user_id").agg(F.min("flag_batch").alias("flag_batch"))
+
     def drop_clean(self, before: int) -> None:
         """Remove the kept clicks of batches below ``before``, once all their readers are
         past them. A stream lists the folders that are left on every trigger."""

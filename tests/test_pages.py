@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 
 from clicktrail import operators as op
+from clicktrail.operators.visits import in_slices, with_order
 from tests.rows import visits
 
 
@@ -44,6 +45,34 @@ def test_slices_do_not_change_the_result(spark, seconds):
     assert run(spark, rows, flow, slice_seconds=seconds) == brute(rows, flow)
 
 
+@pytest.fixture
+def many_parts(spark):
+    """Small partitions are left apart, as large ones would be."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, "true")
+
+
+def hot_minute(seed):
+    rng = random.Random(seed)
+    return [
+        # one session's minute, and in it one second, hold most of the log
+        {"session_id": rng.choice(["hot"] * 6 + ["a", "b"]), "at": rng.choice([30] * 4 + [*range(60)]), "page_id": rng.randint(1, 4)}
+        for _ in range(3000)
+    ]
+
+
+def test_a_hot_minute_is_many_pieces_by_range(spark, many_parts):
+    rows, flow = hot_minute(6), [1, 2, 3, 4, 1, 2]
+    pieces = in_slices(with_order(visits(spark, rows)), 60, by_range=True).groupBy("session_id", "slice").count()
+    most = max(r["count"] for r in pieces.collect())
+    assert most < len(rows) * 0.4 and pieces.where("session_id = 'hot'").count() >= 3
+    assert run(spark, rows, flow, by_range=True) == brute(rows, flow)
+    every = in_slices(with_order(visits(spark, rows)), 60, by_range=False).groupBy("session_id", "slice").count()
+    assert max(r["count"] for r in every.collect()) > len(rows) * 0.7
+
+
 def test_prefix_visits_are_never_fewer_than_jumps(spark):
     rows = [{"at": i, "page_id": i % 3 + 1} for i in range(20)]
     assert all(visited >= jumped for jumped, visited, _ in run(spark, rows, [1, 2, 3]).values())

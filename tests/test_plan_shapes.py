@@ -8,9 +8,11 @@ import pytest
 from checks.queries import REGISTRY
 from clicktrail import operators as op
 from clicktrail.params import VisitCondition
+from clicktrail.schemas import USER_INFO, USER_VISIT_ACTION
+from clicktrail.sources import overwrite_table
 from tests.rows import visits
 
-LAZY = [n for n in REGISTRY if not n.startswith(("stream_", "report_", "table_sink"))]
+LAZY = [n for n in REGISTRY if not n.startswith(("stream_", "report_", "table_sink", "visit_filter_bucketed"))]
 
 
 def plan(df) -> str:
@@ -83,3 +85,24 @@ def test_city_remark_shuffles_once(spark, sf_dir):
     text = plan(REGISTRY["city_remark_lines"](spark, sf_dir))
     keyed = re.findall(r"Exchange hashpartitioning\(area#\d+, product_id#\d+L?, product_name#\d+(?:, city_name#\d+)?, \d+\)", text)
     assert len(keyed) == 1 and "city_name" not in keyed[0]
+
+
+def test_tables_in_buckets_are_joined_without_an_exchange(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS shop")
+    users = spark.createDataFrame([(i, "n", "n", 20, "a", "F") for i in range(50)], USER_INFO)
+    log = visits(spark, [{"at": i, "user_id": i % 60} for i in range(200)]).select(*USER_VISIT_ACTION.fieldNames())
+    overwrite_table(log, "visits_by_user", "shop", buckets=4, by="user_id")
+    overwrite_table(users, "users_by_id", "shop", buckets=4, by="user_id")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = op.filter_visits(
+            spark.table("shop.visits_by_user"), spark.table("shop.users_by_id"), VisitCondition(start_age=18, start_date="2024-01-01"))
+        text = plan(kept)
+        assert "SortMergeJoin" in text and "Exchange" not in text
+        assert kept.count() == sum(i % 60 < 50 for i in range(200))
+        # a log that is dealt otherwise is moved
+        text = plan(op.filter_visits(log, spark.table("shop.users_by_id"), VisitCondition(start_age=18)))
+        assert "Exchange" in text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)

@@ -36,6 +36,20 @@ def test_reports_have_the_table_columns_and_append(spark, reports):
             assert [r.taskId for r in written.select("taskId").distinct().collect()] == ["t1"]
 
 
+def test_reports_written_twice_are_there_once(spark, reports):
+    base = f"{spark.conf.get('spark.checkpoint.dir')}/{uuid.uuid4().hex}"
+    reports.write_files(base)
+    other, reports.task_id = reports.task_id, "t2"
+    reports.write_files(base)
+    reports.task_id = other
+    reports.write_files(base)
+    for name, columns in REPORT_COLUMNS.items():
+        written = spark.read.parquet(f"{base}/{name}")
+        assert set(written.columns) == {*columns, "taskId"}
+        assert written.count() == 2 * getattr(reports, name)().count() > 0
+        assert {r.taskId for r in written.select("taskId").distinct().collect()} == {"t1", "t2"}
+
+
 def test_condition_applies_to_all_but_the_area_report(spark, reports):
     stat = reports.session_stat_info().first()
     assert '"endAge": 60' in stat.condition and stat.sessionCount == 5

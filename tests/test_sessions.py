@@ -99,3 +99,16 @@ def test_filter_bounds_are_inclusive_and_optional(spark):
     assert kept(start_age=30) == 9
     assert kept(professionals=("a", "c")) == 6
     assert op.filter_visits(log, users, VisitCondition()).columns == log.columns
+
+
+def test_summaries_by_range_are_those_by_time(spark):
+    from tests.test_pages import hot_minute
+
+    rows = [{**r, "click_product_id": i} for i, r in enumerate(hot_minute(7))]
+    log = visits(spark, rows)
+    by_time = sorted(map(str, op.session_summary(log).collect()))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sorted(map(str, op.session_summary(log, by_range=True).collect())) == by_time
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
