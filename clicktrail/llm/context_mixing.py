@@ -51,17 +51,22 @@ BATCH_BITS = 21            # slots in which longer word starts of a batch are co
 STEP_EVENTS, STEP = 8192, 0.15
 INPUTS = TABLES + 1
 
+GROUP_TOKENS = 1 << 18     # tokens of documents that are numbered and written in one go
+
 BLOCK_SCHEMA = ("block long, word binary, kind int, rank int, train long, "
-                "doc_id long, held_out boolean, n_tokens long, content binary")
+                "docs array<struct<doc_id: long, held_out: boolean, n_tokens: long, n_bytes: long>>, content binary")
 
 
 def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
-    """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
+    """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``,
+    ``n_bytes``, ``bits_per_byte``.
 
-    Learns from all documents that are not ``held_out``. ``base_score`` is an add-one unigram
-    score of the same tokens. A null text is empty: its only token is the end. Repeated rows
+    Learns from all documents that are not ``held_out``; what is held out changes the score of no
+    other text. ``base_score`` is an add-one unigram score of the same tokens. ``bits_per_byte``
+    is the score in bits by the bytes of the text (``n_bytes``, in UTF-8), null for an empty one. A null text is empty: its only token is the end. Repeated rows
     are scored each, null ids stay null, other columns are ignored. Without training tokens
-    every bit is even. An empty table gives no rows.
+    every bit is even. An empty table gives no rows. A very long text is taken whole: its task
+    holds its words and a few numbers for each.
     """
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
@@ -79,9 +84,9 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     scored = words.mapInArrow(_word_scores(_fit(words, heavy)), "word binary, kind int, c long, logp double")
 
     values = places.select("block", "word", "kind", "rank").join(scored.hint("shuffle_hash"), ["word", "kind"]).select(F.col("block").alias("of_block"), "rank", "c", "logp")
-    contents = blocks.where("content is not null").select("block", "doc_id", "held_out", "n_tokens", "content")
+    contents = blocks.where("content is not null").select("block", "docs", "content")
     out = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-           "base_score double, score double")
+           "base_score double, score double, n_bytes long, bits_per_byte double")
     return contents.groupBy("block").cogroup(values.groupBy("of_block")).applyInArrow(_add_up(n, v), out)
 
 
@@ -170,99 +175,137 @@ class _Numbers(dict):
         return number
 
 
-def _kinds_before(points: np.ndarray) -> np.ndarray:
-    """The kind that most markers before a group of tokens point to; 0 if there are none."""
-    groups = -(-len(points) // STRIDE)
+def _kinds_before(points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The kind that most markers before a group of tokens point to, 0 if there are none.
+
+    ``points`` are those of texts of the given lengths, one after the other; groups of
+    :data:`STRIDE` tokens begin anew with each text.
+    """
+    groups = -(-lengths // STRIDE)
+    first = np.cumsum(groups) - groups
+    begin = np.cumsum(lengths) - lengths
+    group = np.repeat(first, lengths) + (np.arange(len(points)) - np.repeat(begin, lengths)) // STRIDE
     at = np.flatnonzero(points)
-    votes = np.bincount(at // STRIDE * KINDS + points[at] - 1, minlength=groups * KINDS).reshape(groups, KINDS)
-    votes = np.vstack([np.zeros((1, KINDS), np.int64), np.cumsum(votes, axis=0)])
-    recent = votes[:-1].copy()
-    recent[LOOK_BACK:] -= votes[:-1 - LOOK_BACK]
-    kinds = np.where(recent.max(axis=1) > 0, recent.argmax(axis=1) + 1, 0)
-    return np.repeat(kinds, STRIDE)[:len(points)]
+    votes = np.bincount(group[at] * KINDS + points[at] - 1, minlength=int(groups.sum()) * KINDS).reshape(-1, KINDS)
+    so_far = np.vstack([np.zeros((1, KINDS), np.int64), np.cumsum(votes, axis=0)])
+    every = np.arange(len(votes))
+    recent = so_far[every] - so_far[np.maximum(every - LOOK_BACK, np.repeat(first, groups))]
+    return np.where(recent.max(axis=1, initial=0) > 0, recent.argmax(axis=1) + 1, 0)[group]
+
+
+class _Group:
+    """Documents of a block: how often each holds each pair of word and kind."""
+
+    def __init__(self, docs: list[tuple], tokens: list[np.ndarray], points: np.ndarray):
+        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        flat = np.concatenate(tokens).astype(np.int64)
+        pairs = flat * (KINDS + 1) + _kinds_before(points[flat], lengths)
+        key, self.times = np.unique(np.repeat(np.arange(len(docs)), lengths) << 40 | pairs, return_counts=True)
+        self.docs, self.doc, self.pair = docs, key >> 40, key & (1 << 40) - 1
 
 
 def _number_tokens(kinds: dict[bytes, int]):
-    """Blocks: a row per distinct token and kind, and one per document with the pairs' numbers."""
+    """Blocks: a row per distinct token and kind, and one per group of documents with the pairs' numbers."""
+    doc = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
     schema = pa.schema([("block", pa.int64()), ("word", pa.binary()), ("kind", pa.int32()), ("rank", pa.int32()),
-                        ("train", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()),
-                        ("n_tokens", pa.int64()), ("content", pa.binary())])
+                        ("train", pa.int64()), ("docs", pa.list_(doc)), ("content", pa.binary())])
 
     def batch_of(n: int, **columns) -> pa.RecordBatch:
         return pa.record_batch([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-    def finish(block: int, words: list[bytes], docs: list[tuple]) -> Iterator[pa.RecordBatch]:
-        pairs = np.unique(np.concatenate([d[3] for d in docs]))
+    def finish(block: int, words: list[bytes], groups: list[_Group]) -> Iterator[pa.RecordBatch]:
+        pairs = np.unique(np.concatenate([g.pair for g in groups]))
         every, train = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
-        places = [np.searchsorted(pairs, d[3]) for d in docs]
-        for (_, held, _, _, times), own in zip(docs, places):
-            every[own] += times
-            if not held:
-                train[own] += times
+        places = [np.searchsorted(pairs, g.pair) for g in groups]
+        for g, own in zip(groups, places):
+            learnt = ~np.array([held for _, held, *_ in g.docs])[g.doc]
+            every += np.bincount(own, g.times, len(pairs)).astype(np.int64)
+            train += np.bincount(own[learnt], g.times[learnt], len(pairs)).astype(np.int64)
         order = np.argsort(-every, kind="stable")   # frequent pairs get small numbers
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
+        spelled = pa.array(words, pa.binary())
         for at in range(0, len(pairs), 1 << 16):
             part = slice(at, at + (1 << 16))
             word, kind = np.divmod(pairs[part], KINDS + 1)
-            yield batch_of(len(word), block=pa.array(np.full(len(word), block)), word=pa.array([words[i] for i in word], pa.binary()),
+            yield batch_of(len(word), block=pa.array(np.full(len(word), block)), word=spelled.take(pa.array(word)),
                            kind=pa.array(kind.astype(np.int32)), rank=pa.array(rank[part]), train=pa.array(train[part]))
-        for at in range(0, len(docs), 1 << 11):
-            some = docs[at:at + (1 << 11)]
-            yield batch_of(
-                len(some), block=pa.array(np.full(len(some), block)), doc_id=pa.array([d[0] for d in some], pa.int64()),
-                held_out=pa.array([d[1] for d in some], pa.bool_()), n_tokens=pa.array([d[2] for d in some], pa.int64()),
-                content=pa.array([_write_content(rank[own], d[4]) for d, own in zip(some, places[at:at + (1 << 11)])], pa.binary()))
+        for g, own in zip(groups, places):
+            docs = [dict(zip(("doc_id", "held_out", "n_tokens", "n_bytes"), d)) for d in g.docs]
+            yield batch_of(1, block=pa.array([block]), docs=pa.array([docs], pa.list_(doc)),
+                           content=pa.array([_write_content(g.doc, rank[own], g.times)], pa.binary()))
 
     def number(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, blocks = TaskContext.get().partitionId(), 0
-        numbers, docs, size = _Numbers(kinds), [], 0
+        numbers, groups, size = _Numbers(kinds), [], 0
+        docs, tokens, held_tokens = [], [], 0
+
+        def close() -> None:
+            nonlocal docs, tokens, held_tokens
+            if docs:
+                # a copy of the kinds, so that the array may grow on
+                groups.append(_Group(docs, tokens, np.frombuffer(bytes(numbers.kinds), "u1")))
+                docs, tokens, held_tokens = [], [], 0
+
         for batch in source:
-            for doc, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
-                tokens = text.lower().split()
-                tokens.append(END)
-                own = np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens))
-                points = np.frombuffer(numbers.kinds, "u1")[own]   # a copy, so that the array may grow on
-                pairs = own * np.int32(KINDS + 1) + _kinds_before(points).astype(np.int32)
-                pairs, times = np.unique(pairs, return_counts=True)
-                docs.append((doc, held, len(tokens), pairs, times.astype(np.int32)))
+            for doc_id, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
+                split = text.lower().split()
+                split.append(END)
+                tokens.append(np.fromiter(map(numbers.__getitem__, split), np.int32, len(split)))
+                docs.append((doc_id, held, len(split), len(text)))
+                held_tokens += len(split)
                 size += len(text) + 64
+                if held_tokens >= GROUP_TOKENS:
+                    close()
                 if size >= BLOCK_BYTES:
-                    yield from finish((part << 24) + blocks, list(numbers), docs)
-                    numbers, docs, size, blocks = _Numbers(kinds), [], 0, blocks + 1
-        if docs:
-            yield from finish((part << 24) + blocks, list(numbers), docs)
+                    close()
+                    yield from finish((part << 24) + blocks, list(numbers), groups)
+                    numbers, groups, size, blocks = _Numbers(kinds), [], 0, blocks + 1
+        close()
+        if groups:
+            yield from finish((part << 24) + blocks, list(numbers), groups)
 
     return number
 
 
-def _write_content(ranks: np.ndarray, times: np.ndarray) -> bytes:
-    """Gaps of the sorted numbers in 16 bits, those too large in 32, and how often each occurs."""
-    order = np.argsort(ranks)
-    gaps, times = np.diff(ranks[order], prepend=0).astype(np.uint32), times[order]
-    large = gaps >= 0xFFFF
+def _write_content(doc: np.ndarray, ranks: np.ndarray, times: np.ndarray) -> bytes:
+    """Numbers of documents, one after the other, and how often each occurs.
+
+    Numbers are sorted per document and written as gaps in 16 bits, those too large in 32.
+    """
+    order = np.lexsort((ranks, doc))
+    doc, ranks, times = doc[order], ranks[order].astype(np.int64), times[order]
+    n_own = np.bincount(doc)
+    gaps = np.diff(ranks, prepend=0)
+    starts = np.cumsum(n_own) - n_own
+    gaps[starts] = ranks[starts]
+    large, many = gaps >= 0xFFFF, times >= 0xFF
     short = np.where(large, 0xFFFF, gaps).astype("<u2")
-    many = times >= 0xFF
     few = np.where(many, 0xFF, times).astype("u1")
-    head = np.array([len(gaps), large.sum(), many.sum()], "<u4")
-    parts = (head, short, gaps[large].astype("<u4"), few, times[many].astype("<u4"))
+    head = np.array([len(n_own), len(gaps), large.sum(), many.sum()], "<u4")
+    parts = (head, n_own.astype("<u4"), short, gaps[large].astype("<u4"), few, times[many].astype("<u4"))
     return zlib.compress(b"".join(p.tobytes() for p in parts), 1)
 
 
-def _read_content(content: bytes) -> tuple[np.ndarray, np.ndarray]:
-    data = zlib.decompress(content)
-    n, n_large, n_many = np.frombuffer(data, "<u4", 3)
-    at = 12
-    gaps = np.frombuffer(data, "<u2", n, at).astype(np.int64)
-    at += 2 * int(n)
-    gaps[gaps == 0xFFFF] = np.frombuffer(data, "<u4", n_large, at)
-    at += 4 * int(n_large)
-    times = np.frombuffer(data, "u1", n, at).astype(np.int64)
-    at += int(n)
-    times[times == 0xFF] = np.frombuffer(data, "<u4", n_many, at)
-    return np.cumsum(gaps), times
+def _read_content(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each document starts, the numbers and how often each occurs."""
+    data, at = zlib.decompress(content), 16
+    n_docs, n, n_large, n_many = np.frombuffer(data, "<u4", 4).tolist()
+
+    def take(kind: str, count: int) -> np.ndarray:
+        nonlocal at
+        at += np.dtype(kind).itemsize * count
+        return np.frombuffer(data, kind, count, at - np.dtype(kind).itemsize * count).astype(np.int64)
+
+    n_own, gaps = take("<u4", n_docs), take("<u2", n)
+    gaps[gaps == 0xFFFF] = take("<u4", n_large)
+    times = take("u1", n)
+    times[times == 0xFF] = take("<u4", n_many)
+    starts = np.cumsum(n_own) - n_own
+    ranks = np.cumsum(gaps)
+    return starts, ranks - np.repeat(ranks[starts] - gaps[starts], n_own), times
 
 
 def _add_up(n: int, v: int):
@@ -271,16 +314,20 @@ def _add_up(n: int, v: int):
         count, logp = np.zeros(size, np.int64), np.zeros(size)
         rank = values["rank"].to_numpy()
         count[rank], logp[rank] = values["c"].to_numpy(), values["logp"].to_numpy()
-        base, known = np.log10((count + 1) / (n + 1 * (v + 1))), count > 0
-        sums = []
+        base, known = np.log10((count + 1) / (n + 1 * (v + 1))), (count > 0).astype(np.int64)
+        sums = [np.zeros((3, 0))]
         for content in texts["content"]:
-            own, times = _read_content(content.as_py())
-            sums.append((int(times[known[own]].sum()), float(times @ base[own]), float(times @ logp[own])))
+            starts, own, times = _read_content(content.as_py())
+            sums.append(np.stack([np.add.reduceat(x[own] * times, starts) for x in (known, base, logp)]))
+        n_known, base_score, score = np.concatenate(sums, axis=1)
+        docs = texts["docs"].combine_chunks().flatten()
+        n_bytes = docs.field("n_bytes").to_numpy()
+        bits = np.divide(score * -np.log2(10), n_bytes, where=n_bytes > 0, out=np.zeros(len(score)))
         return pa.table({
-            "doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": texts["n_tokens"],
-            "n_known": pa.array([s[0] for s in sums], pa.int64()),
-            "train_tokens": pa.array(np.full(len(sums), n, np.int64)),
-            "base_score": pa.array([s[1] for s in sums], pa.float64()), "score": pa.array([s[2] for s in sums], pa.float64())})
+            "doc_id": docs.field("doc_id"), "held_out": docs.field("held_out"), "n_tokens": docs.field("n_tokens"),
+            "n_known": pa.array(n_known.astype(np.int64)), "train_tokens": pa.array(np.full(len(score), n, np.int64)),
+            "base_score": pa.array(base_score), "score": pa.array(score),
+            "n_bytes": pa.array(n_bytes), "bits_per_byte": pa.array(bits, mask=n_bytes == 0)})
 
     return one_block
 
@@ -291,19 +338,20 @@ def _add_up(n: int, v: int):
 def place_words(counted: DataFrame, most: int = MOST_WORDS - BATCH_WORDS) -> tuple[DataFrame, np.ndarray]:
     """Rows with their ``place``, and the sorted hashes of heavy starts.
 
-    A start of :data:`HEAD` bytes or more is heavy if over ``most`` rows share it. Rows of one
-    place share the shortest start that is not heavy, so they are at most ``most`` if they are
-    longer than :data:`HEAD`, and no other start that is not heavy lies in two places. Heavy
-    starts are at most as many as rows by ``most``, times the length of a word.
+    A start of :data:`HEAD` bytes or more is heavy if over ``most`` rows of training tokens share
+    it. Rows of one place share the shortest start that is not heavy, so those of training
+    tokens are at most ``most`` if they are longer than :data:`HEAD`, and no other start that is
+    not heavy lies in two places. Heavy starts are at most as many as rows by ``most``, times the
+    length of a word. Rows of other tokens go where their start belongs and decide nothing.
     """
     head = F.substring("word", 1, HEAD)
-    heads = [bytearray(r["head"]) for r in counted.groupBy(head.alias("head")).agg(F.count(F.lit(1)).alias("n")).where(
+    heads = [bytearray(r["head"]) for r in counted.where("c > 0").groupBy(head.alias("head")).agg(F.count(F.lit(1)).alias("n")).where(
         F.col("n") > most).collect()]
     by_head = counted.withColumn("place", F.xxhash64(head))
     if not heads:
         return by_head, np.zeros(0, np.uint64)
     crowded = counted.where(head.isin(heads))
-    ranges = crowded.repartitionByRange("word").sortWithinPartitions("word")
+    ranges = crowded.where("c > 0").repartitionByRange("word").sortWithinPartitions("word")
     starts = ranges.mapInArrow(_count_starts(most), "start long, n long").groupBy("start").agg(F.sum("n").alias("n")).where(
         F.col("n") > most).select("start").collect()
     heavy = np.sort(np.array([r.start for r in starts], np.int64).view(np.uint64))
@@ -491,23 +539,34 @@ class _Batch:
         group = np.cumsum(new) - 1
         self.of_word = np.bincount(group, self.counts)[group]
 
+    def rows(self, at: np.ndarray) -> _Batch:
+        """Some rows; their counts over all kinds are those of these rows only."""
+        return _Batch([self.words[i] for i in at.tolist()], self.kinds[at], self.counts[at])
+
 
 def _word_batches(source: Iterator[pa.RecordBatch]) -> Iterator[_Batch]:
-    """Batches of rows sorted by word, cut where the place changes: the first bytes, if there is none."""
+    """Batches of rows sorted by word, cut where the place changes: the first bytes, if there is none.
+
+    A batch is full once it has :data:`BATCH_WORDS` rows of training tokens; other rows do not count.
+    """
     words: list[bytes] = []
     places: list = []
-    kinds, counts, looked = np.zeros(0, np.int64), np.zeros(0, np.int64), BATCH_WORDS
+    kinds, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    looked = seen = 0       # rows looked at, and training rows among them
     for batch in source:
         new = batch.column(0).to_pylist()
         words += new
         places += batch.column(3).to_pylist() if batch.num_columns > 3 else [w[:HEAD] for w in new]
         kinds = np.concatenate([kinds, batch.column(1).to_numpy()])
         counts = np.concatenate([counts, batch.column(2).to_numpy()])
+        trained = (counts > 0).tolist()
         while looked < len(words):
-            if places[looked] != places[looked - 1]:
+            if seen >= BATCH_WORDS and places[looked] != places[looked - 1]:
                 yield _Batch(words[:looked], kinds[:looked], counts[:looked])
-                words, places, kinds, counts, looked = words[looked:], places[looked:], kinds[looked:], counts[looked:], BATCH_WORDS
+                words, places, kinds, counts = words[looked:], places[looked:], kinds[looked:], counts[looked:]
+                trained, looked, seen = trained[looked:], 0, 0
             else:
+                seen += trained[looked]
                 looked += 1
     if words:
         yield _Batch(words, kinds, counts)
@@ -576,16 +635,22 @@ class _Events:
         start = _avalanche(self._starts[table][self.symbol[part]] + np.uint64(1))
         return (start + self.node[part] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
-    def deep_counts(self, heavy: _HeavyCounts | None = None) -> dict[int, np.ndarray]:
+    def deep_tables(self) -> dict[int, list[np.ndarray]]:
+        """For starts of :data:`HEAD` bytes or more that are not heavy, both bits' counts by slot."""
+        deep = np.flatnonzero(self.deep & ~self.heavy)
+        ones = self.count[deep] * self.bit[deep]
+        return {table: [np.bincount(self.slots(table, deep, BATCH_BITS), weight, 1 << BATCH_BITS) for weight in (self.count[deep] - ones, ones)]
+                for table in (STARTS, STARTS_OF_KIND)}
+
+    def deep_counts(self, heavy: _HeavyCounts | None = None, tables: dict | None = None) -> dict[int, np.ndarray]:
         """Counts of both bits after the same start of a word, for starts of :data:`HEAD` bytes or more."""
         deep, found = np.flatnonzero(self.deep & ~self.heavy), {}
         crowded = np.flatnonzero(self.heavy)
-        ones = self.count[deep] * self.bit[deep]
-        for table in (STARTS, STARTS_OF_KIND):
+        for table, counts in (tables or self.deep_tables()).items():
             slots = self.slots(table, deep, BATCH_BITS)
             found[table] = np.zeros((2, len(self.bit)), np.float32)
-            for bit, weight in ((0, self.count[deep] - ones), (1, ones)):
-                found[table][bit, deep] = np.bincount(slots, weight, 1 << BATCH_BITS)[slots]
+            for bit in (0, 1):
+                found[table][bit, deep] = counts[bit][slots]
             if len(crowded):
                 found[table][:, crowded] = heavy.look_up(table, self.keys(table, crowded))
         return found
@@ -745,16 +810,22 @@ def _word_scores(model: dict):
         odds, weights, refined = _Odds(model["tables"].value, leave_one=False), model["weights"], model["refined"]
         heavy = model["heavy"].value if "heavy" in model else _HeavyCounts(np.zeros(0, np.uint64), [])
         for batch in _word_batches(source):
-            events = _Events(batch, model["code"], heavy.starts)
-            deep, logp = events.deep_counts(heavy), np.zeros(len(batch.words))
-            for part in _slices(events, len(batch.words)):
-                x, gate = odds.inputs(events, deep, part)
-                z = _weighted(x, weights, gate)
-                share = (_odds_to_share(z) + sum(refined[gate, place] * near for place, near in _buckets(z))) / 2
-                share = np.clip(share, 1e-7, 1 - 1e-7)
-                logp += np.bincount(events.word[part], np.log10(np.where(events.bit[part] == 1, share, 1 - share)), len(batch.words))
-            yield pa.record_batch([
-                pa.array(batch.words, pa.binary()), pa.array(batch.kinds.astype(np.int32)),
-                pa.array(batch.of_word.astype(np.int64)), pa.array(logp)], names=["word", "kind", "c", "logp"])
+            tables, n = None, len(batch.words)
+            if n > MOST_WORDS:          # rows of held-out words, whatever their number, are taken in turn
+                tables = _Events(batch.rows(np.flatnonzero(batch.counts > 0)), model["code"], heavy.starts).deep_tables()
+            for first in range(0, n, MOST_WORDS):
+                rows = np.arange(first, min(n, first + MOST_WORDS))
+                some = batch if n <= MOST_WORDS else batch.rows(rows)
+                events = _Events(some, model["code"], heavy.starts)
+                deep, logp = events.deep_counts(heavy, tables), np.zeros(len(rows))
+                for part in _slices(events, len(rows)):
+                    x, gate = odds.inputs(events, deep, part)
+                    z = _weighted(x, weights, gate)
+                    share = (_odds_to_share(z) + sum(refined[gate, place] * near for place, near in _buckets(z))) / 2
+                    share = np.clip(share, 1e-7, 1 - 1e-7)
+                    logp += np.bincount(events.word[part], np.log10(np.where(events.bit[part] == 1, share, 1 - share)), len(rows))
+                yield pa.record_batch([
+                    pa.array(some.words, pa.binary()), pa.array(some.kinds.astype(np.int32)),
+                    pa.array(batch.of_word[rows].astype(np.int64)), pa.array(logp)], names=["word", "kind", "c", "logp"])
 
     return rate
