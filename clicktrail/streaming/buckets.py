@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from clicktrail.functions import minute_label
 from clicktrail.operators.ads import SLIDE, in_window, minute_lists, window_bounds
 from clicktrail.sources import replace_parts
-from clicktrail.streaming.batches import Storage
+from clicktrail.sources.storage import Storage
 
 BUCKETS = T.StructType([
     T.StructField("ads_id", T.StringType()), T.StructField("minute", T.StringType()), T.StructField("bucket_ts", T.TimestampType()),

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from clicktrail.functions import day_label
-from clicktrail.streaming.batches import Storage
+from clicktrail.sources.storage import Storage
 
 EVERY_FIVE = {"processingTime": "5 seconds"}
 

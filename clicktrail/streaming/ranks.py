@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from clicktrail.operators.ads import top_ads_lists
 from clicktrail.sources import replace_parts
-from clicktrail.streaming.batches import Storage
+from clicktrail.sources.storage import Storage
 from clicktrail.streaming.counts import EVERY_FIVE, running_day_counts
 
 GROUP = ["day", "area"]
