@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from clicktrail.sources.shared import stash
 
+LEAST = -(1 << 63)     # no hash lies below
 MAX_PATTERNS = 4096   # flow network and its broadcast are at most so large; beyond, an error
 SLICES = 4096         # slices of the hash range in which a pattern's words are summed
 FITTED = 64           # documents of them whose best sum is searched
@@ -159,13 +160,13 @@ def mix_sources(docs: DataFrame, size: Column, sources: Column,
     drawn = (
         rows.join(F.broadcast(zones), "pattern").where("slice between low and high")
         .groupBy("pattern", "rest", "spread").agg(F.sum("size").alias("size"))
-        .groupBy("pattern").applyInPandas(_fit, "pattern string, chosen array<long>")
+        .groupBy("pattern").applyInPandas(_fit, "pattern string, below long, chosen array<long>")
     )
-    # one row per pattern with at most the zone's documents: bounded by MAX_PATTERNS
+    # one row per pattern with at most FITTED documents: bounded by MAX_PATTERNS
     shares = plan_df.drop("rest").join(zones.drop("rest"), "pattern", "left").join(drawn, "pattern", "left")
     shares = spark.createDataFrame(shares.collect(), shares.schema)
     again = F.when(F.col("slice") < F.col("low"), 1).when(
-        (F.col("slice") <= F.col("high")) & F.array_contains("chosen", F.col("spread")), 1).otherwise(0)
+        (F.col("slice") <= F.col("high")) & ((F.col("spread") < F.col("below")) | F.array_contains("chosen", F.col("spread"))), 1).otherwise(0)
     return rows.join(F.broadcast(shares), "pattern", "left").select(
         "row", "size", "pattern", "source_size", "target",
         F.coalesce(F.col("size") * (F.col("whole") + again), F.lit(0)).cast("long").alias("taken"))
@@ -198,7 +199,10 @@ def _zone(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Documents in order of their hash up to what is left, the last ones fitted to it."""
+    """Documents in order of their hash up to what is left, the last ones fitted to it.
+
+    Those before are told by the hash that they lie ``below``, only fitted ones are listed.
+    """
     pattern, rest = pdf["pattern"].iloc[0], int(pdf["rest"].iloc[0])
     pdf = pdf[pdf["size"] > 0].sort_values("spread")
     sizes = pdf["size"].tolist()
@@ -210,8 +214,8 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     pool = sizes[begin:begin + FITTED]
     picked = _closest(pool, rest - sum(sizes[:begin]))
     spreads = pdf["spread"].tolist()
-    chosen = spreads[:begin] + [spreads[begin + i] for i in picked]
-    return pd.DataFrame({"pattern": [pattern], "chosen": [chosen]})
+    below = spreads[begin] if begin < len(spreads) else spreads[-1] + 1 if spreads else LEAST
+    return pd.DataFrame({"pattern": [pattern], "below": [below], "chosen": [[spreads[begin + i] for i in picked]]})
 
 
 def _closest(sizes: list[int], room: int) -> list[int]:
