@@ -23,6 +23,7 @@ SAMPLE = 20_000         # vectors the centroids are fitted on at most
 PER_CENTROID = 256      # vectors per centroid aimed at
 MOST_CENTROIDS = 2048   # bound of the graph that tasks keep in memory
 DEGREE = 16             # neighbours of a centroid in the graph
+LEAST_SHARE, MOST_SHARE = 0.25, 2.0     # of an even list, beyond which the fit moves a centroid
 COPIES, COPY_RATIO = 4, 1.15    # lists of a vector at most, and how much further they may be
 PROBE_RATIO = 1.15              # how much further than the nearest a list may be that is read
 PART, QUERY_PART = 4096, 1024   # vectors and queries that meet in a task
@@ -66,9 +67,12 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, probe_ratio: floa
         F.pmod(F.xxhash64("query_id"), "query_parts").cast("int").alias("of_query_part"), "query_id", "q")
     found = held.groupBy("list", "part", "query_part").cogroup(
         wanted.groupBy("of_list", "of_part", "of_query_part")
-    ).applyInArrow(_scan(k), "query_id long, found array<struct<score: double, vec_id: long>>")
-    best = found.groupBy("query_id").agg(F.slice(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("found"))
+    ).applyInArrow(_scan(k), "query_id long, list int, found array<struct<score: double, vec_id: long>>")
+    # by list first: what meets in a row is k of each part of one list, then k of each list
+    for keys in (["query_id", "list"], ["query_id"]):
+        found = found.groupBy(*keys).agg(F.slice(
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("found"))
+    best = found
     return best.select("query_id", F.posexplode("found").alias("rank", "f")).select(
         "query_id", (F.col("rank") + 1).alias("rank"), "f.vec_id", "f.score")
 
@@ -87,9 +91,13 @@ def fit_graph(points: DataFrame) -> dict:
         np.add.at(sums, near, x)
         full = count > 0
         centroids[full] = sums[full] / count[full][:, None]
-        # balance: centroids without vectors restart in the largest groups
-        for i, big in zip(np.flatnonzero(~full), np.argsort(-count)):
-            centroids[i] = x[np.flatnonzero(near == big)[0]]
+        # balance: centroids of few vectors move into groups of too many, to the member furthest out
+        even = len(x) / m
+        few = np.flatnonzero(count < LEAST_SHARE * even)
+        many = np.argsort(-count, kind="stable")[:np.count_nonzero(count > MOST_SHARE * even)]
+        for i, big in zip(few, many):
+            members = np.flatnonzero(near == big)
+            centroids[i] = x[members[np.argmax(((x[members] - centroids[big]) ** 2).sum(axis=1))]]
     apart = (centroids ** 2).sum(axis=1)[None, :] - 2 * centroids @ centroids.T
     np.fill_diagonal(apart, np.inf)
     links = [set(row) for row in np.argsort(apart, axis=1)[:, :min(DEGREE, m - 1)].tolist()]
@@ -189,7 +197,7 @@ def _probes(graph: dict, own: np.ndarray, ratio: float, k: int):
 def _scan(k: int):
     """Best ``k`` of a part of a list for each of a part of its queries."""
     item = pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())]))
-    schema = pa.schema([("query_id", pa.int64()), ("found", item)])
+    schema = pa.schema([("query_id", pa.int64()), ("list", pa.int32()), ("found", item)])
 
     def scan(held: pa.Table, wanted: pa.Table) -> pa.Table:
         if not held.num_rows or not wanted.num_rows:
@@ -206,6 +214,6 @@ def _scan(k: int):
                 exact = np.sqrt(((x[some] - mine) ** 2).sum(axis=1))
                 order = np.lexsort((ids[some], exact))[:k]
                 out.append([{"score": float(exact[o]), "vec_id": int(ids[some[o]])} for o in order])
-        return pa.table([pa.array(asked), pa.array(out, item)], schema=schema)
+        return pa.table([pa.array(asked), wanted["of_list"].combine_chunks(), pa.array(out, item)], schema=schema)
 
     return scan
