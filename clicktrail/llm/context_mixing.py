@@ -7,10 +7,13 @@ words that occur together, such as the small words of a language. Every context
 both bits over the training tokens. The predictions, as log odds, are
 added with weights that a gate picks by how much the contexts have seen; the weights are
 learned online, by a gradient step per small batch. A table of what came true for which
-prediction refines the sum. Bits of a token add up to its probability, in base 10 logarithms.
+prediction refines the sum. Bits of a token add up to its probability, in base 10 logarithms. The bits of a
+word's first byte are mixed once more with two contexts that reach into the word before, by
+its hash, alone and with the kind.
 
-A token's probability depends on the token and the kind alone, so it is computed once per
-distinct pair of them, whatever the corpus repeats. Pairs of a block of documents are numbered
+But for the first byte, a token's probability depends on the token and the kind alone, so it is
+computed once per distinct pair of them, whatever the corpus repeats. What the word before adds
+is a table over its hash, the first byte and the kind. Pairs of a block of documents are numbered
 there; only (block, pair) rows are shuffled, never one row per word of a text.
 """
 
@@ -38,6 +41,10 @@ TABLES = len(ORDERS) + 2   # two more for short word starts, of all texts and fo
 STARTS, STARTS_OF_KIND = TABLES - 2, TABLES - 1
 MARKERS, KINDS = 256, 8    # frequent words, and groups of them
 COUNTED_WORDS = 1 << 17    # distinct words that a task holds before it hands their counts on
+BEFORE = 256               # hashes of the word before
+CELLS = BEFORE * 256 * (KINDS + 1)
+BEFORE_GATES = np.array([0.5, 2, 8, 32, 128, 512])    # bounds of what the word before has seen
+BEFORE_ROUNDS = 4
 STRIDE, LOOK_BACK = 4, 16  # tokens that share a kind, and how many such groups before tell it
 SLOT_BITS = 20             # slots of a table, a fixed size of the model
 CHUNK = 1 << 14
@@ -54,7 +61,7 @@ INPUTS = TABLES + 1
 GROUP_TOKENS = 1 << 18     # tokens of documents that are numbered and written in one go
 
 BLOCK_SCHEMA = ("block long, word binary, kind int, rank int, train long, "
-                "docs array<struct<doc_id: long, held_out: boolean, n_tokens: long, n_bytes: long>>, content binary")
+                "docs array<struct<doc_id: long, held_out: boolean, n_tokens: long, n_bytes: long>>, content binary, before binary")
 
 
 def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -81,13 +88,19 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     # batch; starts that too many words share are counted over all batches
     placed, heavy = place_words(counted)
     words = stash(placed.repartition(1 + v // WORDS_PER_TASK, "place").sortWithinPartitions("word", "kind"), "sorted-words")
-    scored = words.mapInArrow(_word_scores(_fit(words, heavy)), "word binary, kind int, c long, logp double")
+    model = _fit(words, heavy)
+    scored = words.mapInArrow(_word_scores(model), "word binary, kind int, c long, logp double")
+    # as many rows as the table has cells, at most
+    cells = blocks.where("word is null and content is null").groupBy("rank").agg(F.sum("train").alias("n")).toArrow()
+    seen = np.zeros(CELLS)
+    seen[cells["rank"].to_numpy()] = cells["n"].to_numpy()
+    gain = docs.sparkSession.sparkContext.broadcast(_first_byte_gains(model, seen))
 
     values = places.select("block", "word", "kind", "rank").join(scored.hint("shuffle_hash"), ["word", "kind"]).select(F.col("block").alias("of_block"), "rank", "c", "logp")
-    contents = blocks.where("content is not null").select("block", "docs", "content")
+    contents = blocks.where("content is not null").select("block", "docs", "content", "before")
     out = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
            "base_score double, score double, n_bytes long, bits_per_byte double")
-    return contents.groupBy("block").cogroup(values.groupBy("of_block")).applyInArrow(_add_up(n, v), out)
+    return contents.groupBy("block").cogroup(values.groupBy("of_block")).applyInArrow(_add_up(n, v, gain), out)
 
 
 # Kinds of text
@@ -163,15 +176,17 @@ def _groups(together: np.ndarray) -> np.ndarray:
 
 
 class _Numbers(dict):
-    """Numbers words in order of appearance and keeps the kind that each points to."""
+    """Numbers words in order of appearance and keeps the kind that each points to, its hash and first byte."""
 
     def __init__(self, kinds: dict[bytes, int]):
         super().__init__()
-        self.of, self.kinds = kinds, bytearray()
+        self.of, self.kinds, self.hashes, self.first = kinds, bytearray(), bytearray(), bytearray()
 
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self.kinds)
         self.kinds.append(self.of.get(word, 0))
+        self.hashes.append(zlib.crc32(word) % BEFORE)
+        self.first.append(word[0])
         return number
 
 
@@ -194,21 +209,35 @@ def _kinds_before(points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class _Group:
-    """Documents of a block: how often each holds each pair of word and kind."""
+    """Documents of a block: how often each holds each pair of word and kind, and each cell of
+    the hash of the word before, first byte and kind. Before the first word stands an end."""
 
-    def __init__(self, docs: list[tuple], tokens: list[np.ndarray], points: np.ndarray):
+    def __init__(self, docs: list[tuple], tokens: list[np.ndarray], numbers: _Numbers):
+        # copies, so that the arrays may grow on
+        points, hashes, first = (np.frombuffer(bytes(x), "u1") for x in (numbers.kinds, numbers.hashes, numbers.first))
         lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
         flat = np.concatenate(tokens).astype(np.int64)
-        pairs = flat * (KINDS + 1) + _kinds_before(points[flat], lengths)
-        key, self.times = np.unique(np.repeat(np.arange(len(docs)), lengths) << 40 | pairs, return_counts=True)
-        self.docs, self.doc, self.pair = docs, key >> 40, key & (1 << 40) - 1
+        kind = _kinds_before(points[flat], lengths)
+        before = np.roll(hashes[flat], 1).astype(np.int64)
+        before[np.cumsum(lengths) - lengths] = zlib.crc32(END) % BEFORE
+        cell = (before * 256 + first[flat]) * (KINDS + 1) + kind
+        own = np.repeat(np.arange(len(docs)), lengths) << 40
+        self.docs = docs
+        (self.doc, self.pair, self.times), (self.cell_doc, self.cell, self.cell_times) = (
+            self._counted(own | x) for x in (flat * (KINDS + 1) + kind, cell))
+        self.held = np.array([held for _, held, *_ in docs])
+
+    @staticmethod
+    def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, times = np.unique(keys, return_counts=True)
+        return keys >> 40, keys & (1 << 40) - 1, times
 
 
 def _number_tokens(kinds: dict[bytes, int]):
     """Blocks: a row per distinct token and kind, and one per group of documents with the pairs' numbers."""
     doc = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
     schema = pa.schema([("block", pa.int64()), ("word", pa.binary()), ("kind", pa.int32()), ("rank", pa.int32()),
-                        ("train", pa.int64()), ("docs", pa.list_(doc)), ("content", pa.binary())])
+                        ("train", pa.int64()), ("docs", pa.list_(doc)), ("content", pa.binary()), ("before", pa.binary())])
 
     def batch_of(n: int, **columns) -> pa.RecordBatch:
         return pa.record_batch([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
@@ -218,7 +247,7 @@ def _number_tokens(kinds: dict[bytes, int]):
         every, train = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
         places = [np.searchsorted(pairs, g.pair) for g in groups]
         for g, own in zip(groups, places):
-            learnt = ~np.array([held for _, held, *_ in g.docs])[g.doc]
+            learnt = ~g.held[g.doc]
             every += np.bincount(own, g.times, len(pairs)).astype(np.int64)
             train += np.bincount(own[learnt], g.times[learnt], len(pairs)).astype(np.int64)
         order = np.argsort(-every, kind="stable")   # frequent pairs get small numbers
@@ -230,10 +259,15 @@ def _number_tokens(kinds: dict[bytes, int]):
             word, kind = np.divmod(pairs[part], KINDS + 1)
             yield batch_of(len(word), block=pa.array(np.full(len(word), block)), word=spelled.take(pa.array(word)),
                            kind=pa.array(kind.astype(np.int32)), rank=pa.array(rank[part]), train=pa.array(train[part]))
+        cells = sum(np.bincount(g.cell, g.cell_times * ~g.held[g.cell_doc], CELLS) for g in groups)
+        seen = np.flatnonzero(cells)
+        yield batch_of(len(seen), block=pa.array(np.full(len(seen), block)), rank=pa.array(seen.astype(np.int32)),
+                       train=pa.array(cells[seen].astype(np.int64)))
         for g, own in zip(groups, places):
             docs = [dict(zip(("doc_id", "held_out", "n_tokens", "n_bytes"), d)) for d in g.docs]
             yield batch_of(1, block=pa.array([block]), docs=pa.array([docs], pa.list_(doc)),
-                           content=pa.array([_write_content(g.doc, rank[own], g.times)], pa.binary()))
+                           content=pa.array([_write_content(g.doc, rank[own], g.times)], pa.binary()),
+                           before=pa.array([_write_content(g.cell_doc, g.cell, g.cell_times)], pa.binary()))
 
     def number(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -245,8 +279,7 @@ def _number_tokens(kinds: dict[bytes, int]):
         def close() -> None:
             nonlocal docs, tokens, held_tokens
             if docs:
-                # a copy of the kinds, so that the array may grow on
-                groups.append(_Group(docs, tokens, np.frombuffer(bytes(numbers.kinds), "u1")))
+                groups.append(_Group(docs, tokens, numbers))
                 docs, tokens, held_tokens = [], [], 0
 
         for batch in source:
@@ -308,7 +341,7 @@ def _read_content(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ranks - np.repeat(ranks[starts] - gaps[starts], n_own), times
 
 
-def _add_up(n: int, v: int):
+def _add_up(n: int, v: int, gain):
     def one_block(texts: pa.Table, values: pa.Table) -> pa.Table:
         size = values.num_rows
         count, logp = np.zeros(size, np.int64), np.zeros(size)
@@ -316,9 +349,11 @@ def _add_up(n: int, v: int):
         count[rank], logp[rank] = values["c"].to_numpy(), values["logp"].to_numpy()
         base, known = np.log10((count + 1) / (n + 1 * (v + 1))), (count > 0).astype(np.int64)
         sums = [np.zeros((3, 0))]
-        for content in texts["content"]:
+        for content, before in zip(texts["content"], texts["before"]):
             starts, own, times = _read_content(content.as_py())
             sums.append(np.stack([np.add.reduceat(x[own] * times, starts) for x in (known, base, logp)]))
+            starts, own, times = _read_content(before.as_py())
+            sums[-1][2] += np.add.reduceat(gain.value[own] * times, starts)
         n_known, base_score, score = np.concatenate(sums, axis=1)
         docs = texts["docs"].combine_chunks().flatten()
         n_bytes = docs.field("n_bytes").to_numpy()
@@ -620,6 +655,7 @@ class _Events:
         path = np.arange(len(self.symbol), dtype=np.int32) + (code["begin"][symbols.flat] - first)[self.symbol]
         self.node, self.bit = code["node"][path], code["bit"][path]
         self.word = symbols.word[self.symbol]
+        self.first = (symbols.place == 0)[self.symbol]
         self.deep = (symbols.place >= HEAD)[self.symbol]
         self.heavy = (_is_in(symbols.start, heavy) & (symbols.place >= HEAD))[self.symbol]
         self._starts = {STARTS: symbols.start, STARTS_OF_KIND: symbols.start_of_kind}
@@ -805,6 +841,80 @@ def _buckets(z: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(low, 1 - (at - low)), (low + 1, at - low)]
 
 
+def _refined_share(z: np.ndarray, gate: np.ndarray, refined: np.ndarray) -> np.ndarray:
+    """Share of ones for a sum: the mean of the sum's own and of what came true for such sums."""
+    share = (_odds_to_share(z) + sum(refined[gate, place] * near for place, near in _buckets(z))) / 2
+    return np.clip(share, 1e-7, 1 - 1e-7)
+
+
+def _first_byte_shares(model: dict, nodes: np.ndarray) -> np.ndarray:
+    """Share of ones at each node of a word's first byte, by kind, without the word before."""
+    words = [bytes([b]) for b in range(256) for _ in range(KINDS + 1)]
+    batch = _Batch(words, np.tile(np.arange(KINDS + 1), 256), np.zeros(len(words)))
+    events = _Events(batch, model["code"])
+    none = {t: np.zeros((2, len(events.bit)), np.float32) for t in (STARTS, STARTS_OF_KIND)}
+    x, gate = _Odds(model["tables"].value, leave_one=False).inputs(events, none, slice(0, len(events.bit)))
+    share = _refined_share(_weighted(x, model["weights"], gate), gate, model["refined"])
+    out = np.full((KINDS + 1, len(nodes)), 0.5)
+    first = np.flatnonzero(events.first)
+    out[batch.kinds[events.word[first]], np.searchsorted(nodes, events.node[first])] = share[first]
+    return out
+
+
+def _first_byte_gains(model: dict, seen: np.ndarray) -> np.ndarray:
+    """What the word before adds to the base 10 logarithm of a token's probability, per cell.
+
+    Two more predictors, the counts of both bits after the same hash, and after the same hash
+    and kind, are added to the log odds that the contexts within the word give. A gate picks the
+    weights by how much the hash has seen with the kind; they are learned online, by gradient
+    steps over the training tokens, each as if it were new.
+    """
+    code = model["code"]
+    nodes = np.unique(code["node"])
+    at = np.searchsorted(nodes, code["node"])
+    symbol = np.repeat(np.arange(256), code["length"])
+    taken = np.zeros((256, len(nodes), 2))
+    taken[symbol, at, code["bit"]] = 1
+    # counts of both bits by hash, kind and node
+    bits = np.einsum("hbk,bnc->hknc", seen.reshape(BEFORE, 256, KINDS + 1), taken, optimize=True)
+    share = _first_byte_shares(model, nodes)
+    plain = np.broadcast_to(np.log(share / (1 - share)), bits.shape[:3])
+
+    def inputs(lost: int | None, some=slice(None)) -> np.ndarray:
+        """Predictors of cells; ``lost`` is a bit of which one occurrence is left out."""
+        own, every = bits.reshape(-1, 2)[some], np.broadcast_to(bits.sum(axis=1, keepdims=True), bits.shape).reshape(-1, 2)[some]
+        out = [plain.ravel()[some]]
+        for counts in (own, every):
+            counts = counts.copy()
+            if lost is not None:
+                counts[:, lost] = np.maximum(counts[:, lost] - 1, 0)
+            out.append(np.log((counts[:, 1] + 0.4) / (counts[:, 0] + 0.4)))
+        return np.stack(out)
+
+    total = bits.sum(axis=3).ravel()
+    gate = np.searchsorted(BEFORE_GATES, total)
+    weights = np.tile([1.0, 0.0, 0.0], (len(BEFORE_GATES) + 1, 1))
+    power = np.full_like(weights, 1e-2)
+    order = np.argsort(_avalanche(np.arange(len(total), dtype=np.uint64) + np.uint64(1)), kind="stable")
+    order = order[total[order] > 0]
+    flat = bits.reshape(-1, 2)
+    for _ in range(BEFORE_ROUNDS):
+        for first in range(0, len(order), STEP_EVENTS):
+            some = order[first:first + STEP_EVENTS]
+            pull, held = np.zeros_like(weights), np.zeros(len(weights))
+            for bit in (0, 1):
+                x, g, count = inputs(bit, some), gate[some], flat[some, bit]
+                error = (bit - _odds_to_share(_weighted(x, weights, g))) * count
+                pull += np.stack([np.bincount(g, error * row, len(weights)) for row in x], axis=1)
+                held += np.bincount(g, count, len(weights))
+            pull /= np.maximum(held, 1)[:, None]
+            power += pull ** 2
+            weights += STEP * pull / np.sqrt(power)
+    mixed = np.clip(_odds_to_share(_weighted(inputs(None), weights, gate)), 1e-7, 1 - 1e-7).reshape(bits.shape[:3])
+    gain = np.stack([np.log10((1 - mixed) / (1 - share)), np.log10(mixed / share)], axis=-1)
+    return np.einsum("hknc,bnc->hbk", gain, taken, optimize=True).ravel()
+
+
 def _word_scores(model: dict):
     def rate(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odds, weights, refined = _Odds(model["tables"].value, leave_one=False), model["weights"], model["refined"]
@@ -821,8 +931,7 @@ def _word_scores(model: dict):
                 for part in _slices(events, len(rows)):
                     x, gate = odds.inputs(events, deep, part)
                     z = _weighted(x, weights, gate)
-                    share = (_odds_to_share(z) + sum(refined[gate, place] * near for place, near in _buckets(z))) / 2
-                    share = np.clip(share, 1e-7, 1 - 1e-7)
+                    share = _refined_share(z, gate, refined)
                     logp += np.bincount(events.word[part], np.log10(np.where(events.bit[part] == 1, share, 1 - share)), len(rows))
                 yield pa.record_batch([
                     pa.array(some.words, pa.binary()), pa.array(some.kinds.astype(np.int32)),

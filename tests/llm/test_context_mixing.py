@@ -186,3 +186,51 @@ def test_starts_that_too_many_words_share_are_counted_whole(spark):
             all_same += same.tolist()
         shared += events.heavy.sum()
     assert shared > 10_000 and np.mean(all_same) > 0.99     # a batch's own starts may share slots
+
+
+def _model_of(words, counts):
+    code = cm.binary_code(np.ones(256) + np.bincount(np.frombuffer(b" ".join(words), "u1"), minlength=256))
+
+    class Held:
+        value = np.zeros(cm.TABLES << cm.SLOT_BITS, np.uint16)
+
+    return {"code": code, "tables": Held, "weights": cm._first_weights(), "refined": np.full((cm.GATES, cm.BUCKETS), 0.5)}
+
+
+def test_the_word_before_moves_probability_between_first_bytes_and_adds_none():
+    rng = np.random.default_rng(3)
+    model = _model_of([b"abc", b"xyz"], [1, 1])
+    seen = np.zeros((cm.BEFORE, 256, cm.KINDS + 1))
+    for h in range(cm.BEFORE):          # after each hash a few letters come
+        for b in rng.choice(np.arange(97, 123), 3):
+            seen[h, b, rng.integers(0, 9)] += rng.integers(1, 200)
+    gains = cm._first_byte_gains(model, seen.ravel()).reshape(seen.shape)
+    nodes = np.unique(model["code"]["node"])
+    shares = cm._first_byte_shares(model, nodes)
+    plain = np.zeros((256, cm.KINDS + 1))
+    at = np.searchsorted(nodes, model["code"]["node"])
+    for b in range(256):
+        for p in range(model["code"]["begin"][b], model["code"]["begin"][b] + model["code"]["length"][b]):
+            plain[b] += np.log10(np.where(model["code"]["bit"][p], shares[:, at[p]], 1 - shares[:, at[p]]))
+    mixed = 10 ** (plain[None] + gains)
+    assert np.allclose(mixed.sum(axis=1), 1) and np.allclose((10 ** plain).sum(axis=0), 1)
+    assert (gains * seen).sum() > 0                         # what was seen is surer
+    nothing = cm._first_byte_gains(model, np.zeros(cm.CELLS))
+    assert np.allclose(nothing, 0)
+
+
+def test_words_in_another_order_score_lower(spark):
+    rng = random.Random(6)
+    verbs = {"sun": "aches", "moon": "binds", "star": "calls", "sky": "dives", "sea": "earns", "tree": "flows"}
+
+    def text(reverse=False):
+        words = [w for n in rng.choices(list(verbs), k=20) for w in (n, verbs[n])]
+        return " ".join(words[::-1] if reverse else words)
+
+    rows = [(i, text()) for i in range(400)]
+    rows += [(1000 + i, t) for i, t in enumerate(text() for _ in range(20))]
+    rows += [(2000 + i, " ".join(t.split()[::-1])) for i, (_, t) in enumerate(rows[400:420])]
+    got = {r.doc_id: r for r in cm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 1000).collect()}
+    forth, back = (np.array([got[first + i].score for i in range(20)]) for first in (1000, 2000))
+    assert (forth > back + 5).all()
+    assert all(got[1000 + i].base_score == pytest.approx(got[2000 + i].base_score) for i in range(20))
