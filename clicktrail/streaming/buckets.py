@@ -65,21 +65,32 @@ class ArrivalBuckets:
         self.storage = Storage(spark)
         self.storage.make(self.path)
 
-    def rows(self) -> DataFrame:
-        return self.spark.read.schema(BUCKETS).parquet(self.path)
+    def hours(self) -> list[int]:
+        return sorted(int(name[5:]) for name in self.storage.names(self.path) if name.startswith("hour="))
+
+    def rows(self, since: int | None = None) -> DataFrame:
+        """Rows of all hours, or of those from ``since`` on, whose folders alone are looked at."""
+        if since is None:
+            return self.spark.read.schema(BUCKETS).parquet(self.path)
+        paths = [f"{self.path}/hour={hour}" for hour in self.hours() if hour >= since]
+        if not paths:
+            return self.spark.createDataFrame([], BUCKETS)
+        return self.spark.read.schema(BUCKETS).option("basePath", self.path).parquet(*paths)
 
     def add(self, clicks: DataFrame, batch_id: int) -> None:
         """Count a batch of clicks with their ``arrival``; hours older than kept ones go."""
         counts = bucket_counts(clicks).withColumn("hour", hour_number(F.col("bucket_ts")))
         replace_parts(counts.withColumn("batch_id", F.lit(batch_id).cast("bigint")), self.path, "hour", "batch_id")
-        hours = sorted(int(name[5:]) for name in self.storage.names(self.path) if name.startswith("hour="))
+        hours = self.hours()
         for hour in hours:
             if hour < hours[-1] - self.keep_hours:
                 self.storage.remove(f"{self.path}/hour={hour}")
 
     def last_minutes(self, as_of: datetime | Column, minutes: int = 60) -> DataFrame:
         start, end = window_bounds(as_of, minutes)
-        return last_minutes_of_buckets(self.rows().where(F.col("hour").between(hour_number(start), hour_number(end))), as_of, minutes)
+        since = self.spark.range(1).select(hour_number(start)).first()[0]
+        rows = self.rows(since).where(F.col("hour").between(hour_number(start), hour_number(end)))
+        return last_minutes_of_buckets(rows, as_of, minutes)
 
     def start(self, clicks: DataFrame, trigger: dict | None = None, arrival: Column | None = None,
               publish: Callable[[DataFrame], None] | None = None) -> StreamingQuery:

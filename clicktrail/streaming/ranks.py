@@ -36,13 +36,19 @@ class AreaRanks:
         self.storage = Storage(spark)
         self.storage.make(self.path)
 
-    def _rows(self) -> DataFrame:
-        return self.spark.read.schema(RANKED).parquet(self.path)
+    def _rows(self, days: list[str] | None = None) -> DataFrame:
+        """Rows of all days, or of the given ones, whose folders alone are looked at."""
+        if days is None:
+            return self.spark.read.schema(RANKED).parquet(self.path)
+        there = set(self.storage.names(self.path))
+        paths = [f"{self.path}/day={day}" for day in days if f"day={day}" in there]
+        if not paths:
+            return self.spark.createDataFrame([], RANKED)
+        return self.spark.read.schema(RANKED).option("basePath", self.path).parquet(*paths)
 
     def before(self, days: list[str] | None, batch_id: int) -> DataFrame:
         """The lists as of before a batch, of the given days."""
-        rows = self._rows().where(F.col("batch_id") < batch_id)
-        return _newest(rows if days is None else rows.where(F.col("day").isin(days)))
+        return _newest(self._rows(days).where(F.col("batch_id") < batch_id))
 
     def update(self, changed: DataFrame, batch_id: int) -> list[str] | None:
         """Take in the totals (``day``, ``area``, ``ads_id``, ``click_count``) that a batch changed;
@@ -77,7 +83,7 @@ class AreaRanks:
                 if publish is not None:
                     # the lists of the batch's days, less those of areas that it left alone
                     touched = changed.select(*GROUP).distinct()
-                    publish(self.lists(self._rows().where(F.col("batch_id") == batch_id).join(touched, GROUP, "left_semi")))
+                    publish(self.lists(self._rows(days).where(F.col("batch_id") == batch_id).join(touched, GROUP, "left_semi")))
             finally:
                 changed.unpersist()
 
