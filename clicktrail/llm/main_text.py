@@ -38,12 +38,13 @@ ENDS = {
 }
 # words of classes and ids of what surrounds an article, and of the article itself
 _SURROUNDINGS = re.compile(
-    r"^(?!(?:has|with|without|no|is)[_-])(?:.*[_-])?(?:ads?|advert\w*|adsense|banner\w*|billboard|breadcrumbs?|byline-share|combx|comments?|commentlist|community|"
-    r"consent|cookies?|disclaimer|discussion|disqus|feedback|footer|foot|gdpr|header|hidden|legal|login|masthead|"
-    r"menu|menubar|modal|nav|navbar|navigation|newsletter|notices?|notification|overlay|pager|pagination|paywall|"
-    r"popup|pop-up|privacy|promo\w*|rail|reactions?|recommend\w*|related|replies|reply|respond|responses|search|share|sharing|"
-    r"shoutbox|sidebar|side-bar|signup|skyscraper|social|sponsor\w*|subscribe|tags|teaser|toolbar|tooltip|topbar|"
-    r"widget|alert|toast)(?:[_-]|$|\d)", re.I)
+    r"^(?!(?:has|with|without|no|is)[_-])(?!(?:article|post|entry|story|content)[_-]header)(?:.*[_-])?"
+    r"(?:ads?|ad(?:box|slot|unit|container|sbygoogle|sense)|advert\w*|alert|banner\w*|billboard|breadcrumb\w*|"
+    r"comment(?:s|list|box|area|form|thread)?|community|consent|cookie\w*|disclaimer|discussion|disqus\w*|feedback|"
+    r"foot|footer\w*|gdpr\w*|header|hidden|legal|login|masthead|menu\w*|modal|nav(?:bar|igation|list|menu|links?)?|"
+    r"newsletter\w*|notices?|notification|overlay|pager|pagination|paywall|popup|pop-up|privacy|promo\w*|rail|"
+    r"reactions?|recommend\w*|related|repl(?:y|ies)|respond|responses|search\w*|share|sharing|shoutbox|sidebar\w*|"
+    r"side-bar|signup|skyscraper|social|sponsor\w*|subscribe|tags|teaser|toast|toolbar|tooltip|topbar|widget)(?:[_-]|$|\d)", re.I)
 _ARTICLE = re.compile(r"(?:(?:article|main|page|post|entry|story|blog|body)[_-])?(?:article|main|content|body|entry|story|post|text|copy)", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _ROLES = frozenset("navigation banner contentinfo complementary dialog alertdialog alert search form menu menubar status".split())

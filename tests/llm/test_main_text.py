@@ -31,6 +31,11 @@ PAGES = {
     "capitals": f"<DIV CLASS='Article'>{ARTICLE}</DIV><DIV CLASS='SideBar'><P>{LONG}</P></DIV>",
     "hidden": f"<article>{ARTICLE}<p hidden>{LONG}</p><div style='display: none'>{LONG}</div><div aria-hidden=true>{LONG}</div></article>",
     "layout class": f"<div class='page has-sidebar no-footer'><article>{ARTICLE}</article></div>",
+    "article header": f"<div class=wrap><div class='siteHeader'>{LONG}</div><div class=post><div class='entry-header'><h1>Title</h1></div>"
+                      f"{ARTICLE[len('<h1>Title</h1>'):]}<div class='entry-footer'>{LONG}</div></div></div>",
+    "joined names": f"<div class=cookieBar>{LONG}</div><div class=adsbygoogle>{LONG}</div><article>{ARTICLE}<div class=commentsArea>{LONG}</div></article>"
+                    f"<div id=sidebarRight><p>{LONG}</p></div>",
+    "words alike": f"<div class='navy commentary adobe headers-none'>{ARTICLE}</div>",
     "table": f"<table><tr><td class=nav>{MENU}</td><td>{ARTICLE}</td></tr></table>",
 }
 
