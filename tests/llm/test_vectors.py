@@ -125,3 +125,39 @@ def test_scaled_copies_of_one_direction_end(spark):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {(r.vec_id, r.n_links, r.component_id) for r in cover_tree.near_duplicates(vectors).collect()}
     assert got == {(i, 3000, 0) for i in [*range(3000), 4000]} | {(3000 + i, 4, 3000) for i in range(5)}
+
+
+def test_centres_are_nested_apart_and_cover():
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(400, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    chosen, near = cover_tree._net(x, 400)
+    gaps = np.linalg.norm(x[:, None] - x[chosen][None], axis=2)
+    level = 1.0     # the next power of two below the furthest row
+    assert chosen[0] == 0 and 1 < gaps[:, 0].max() <= 2
+    assert gaps.min(axis=1).max() <= level
+    between = gaps[chosen] + 9 * np.eye(len(chosen))
+    assert between.min() > level
+    assert (gaps[np.arange(len(x)), near] <= gaps.min(axis=1) + 1e-12).all()
+    search = cover_tree._DualTraversal(x, np.ones(400, np.int64), 0.93, 0.37)
+    waiting = [search.tree(np.arange(400))]
+    while waiting:
+        node = waiting.pop()
+        assert np.linalg.norm(search.unit[node["rows"]] - node["center"], axis=1).max() <= node["radius"]
+        if node["below"]:
+            assert sorted(np.concatenate([c["rows"] for c in node["below"]])) == sorted(node["rows"])
+            assert node["below"][0]["rows"][0] == node["rows"][0]
+            waiting += node["below"]
+
+
+def test_vectors_of_several_lengths_split_together(spark, monkeypatch):
+    """Two lengths and a large group of near copies, in one label, all split in tables."""
+    monkeypatch.setattr(cover_tree, "LEAF", 20)
+    rng = np.random.default_rng(11)
+    near = rng.normal(size=5)
+    rows = [(i, (near + 0.01 * rng.normal(size=5)).tolist(), 1) for i in range(150)]
+    rows += [(200 + i, rng.normal(size=5).tolist(), 1) for i in range(60)]
+    rows += [(300 + i, rng.normal(size=3).tolist(), 1) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in cover_tree.near_duplicates(vectors).collect())
+    assert got == plain_links(rows)
