@@ -9,6 +9,7 @@ regression learns their weights. Scoring reads whole texts and shuffles nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ BUCKET_BITS = 22
 ORDERS = (3, 4, 5)
 LEAST_DOCS = 3         # documents of the sample an n-gram must occur in
 SMOOTHING = 1.0
+BLOCK = 1 << 20        # feature numbers of sampled rows that the fit unpacks at once
+HELD = 8               # such blocks that stay unpacked
 
 
 def ngrams(text: bytes) -> np.ndarray:
@@ -78,9 +81,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column
     best = rated.orderBy(F.desc("score"), "gram").limit(FEATURES)
     features = best.select("gram", "ratio").toPandas().sort_values("gram")
     grams, ratios = features["gram"].to_numpy(np.uint32), features["ratio"].to_numpy(np.float64)
+    # a kilobyte per row at most
     data = rows.mapInArrow(_feature_numbers(grams), "doc_id long, y int, features binary").collect()
     data.sort(key=lambda r: (r.doc_id, r.features))     # whatever the order in which rows came
-    weights, bias = _calibrated([np.frombuffer(r.features, "<i4") for r in data], np.array([r.y for r in data]), ratios)
+    weights, bias = _calibrated([bytes(r.features) for r in data], np.array([r.y for r in data]), ratios)
     return {"grams": grams, "weights": (weights * ratios).astype(np.float32), "bias": float(bias)}
 
 
@@ -125,13 +129,38 @@ def _feature_numbers(grams: np.ndarray):
     def rows(source):
         for batch in source:
             for doc, y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
-                numbers = np.flatnonzero(np.isin(grams, ngrams(text)))
-                yield (doc, y, numbers.astype("<i4").tobytes()), 4 * len(numbers)
+                packed = pack(np.isin(grams, ngrams(text)))
+                yield (doc, y, packed), len(packed)
 
     return lambda source: batches(rows(source), schema)
 
 
-def _calibrated(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, float]:
+def pack(has: np.ndarray) -> bytes:
+    """The features a row has: as 16-bit numbers, or as a bitmap where that is no longer."""
+    numbers = np.flatnonzero(has).astype("<u2").tobytes()
+    return numbers if len(numbers) < -(-len(has) // 8) else np.packbits(has).tobytes()
+
+
+def unpack(packed: bytes, features: int) -> np.ndarray:
+    """Numbers of a row's features; only a bitmap is an eighth of ``features`` long."""
+    if len(packed) < -(-features // 8):
+        return np.frombuffer(packed, "<u2")
+    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8), count=features)).astype("<u2")
+
+
+def _blocks(rows: list[bytes], features: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Rows from and to, feature numbers, and each number's row, about :data:`BLOCK` numbers at a time."""
+    begin, found, size = 0, [], 0
+    for at, row in enumerate(rows):
+        found.append(unpack(row, features))
+        size += len(found[-1])
+        if size >= BLOCK or at == len(rows) - 1:
+            owner = np.repeat(np.arange(at + 1 - begin), [len(f) for f in found])
+            yield slice(begin, at + 1), np.concatenate(found), owner
+            begin, found, size = at + 1, [], 0
+
+
+def _calibrated(rows: list[bytes], y: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, float]:
     """Fit on all rows, with slope and bias set by rows that the fit had not seen.
 
     On few rows a fit is surer of its own rows than of others. Four fits on three quarters
@@ -146,7 +175,7 @@ def _calibrated(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray) -> tu
         if len(np.unique(y[seen])) == 2:
             w, b = _logistic([rows[i] for i in seen], y[seen], ratios, np.ones(len(seen)))
             for i in np.flatnonzero(quarter == q):
-                z[i] = b + (w * ratios)[rows[i]].sum()
+                z[i] = b + (w * ratios)[unpack(rows[i], len(ratios))].sum()
     weights, bias = _logistic(rows, y, ratios, np.ones(len(y)))
     if np.ptp(z) == 0:
         return weights, bias
@@ -162,19 +191,31 @@ def _calibrated(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray) -> tu
     return weights * slope, bias * slope + shift
 
 
-def _logistic(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, importance: np.ndarray,
+def _logistic(rows: list[bytes], y: np.ndarray, ratios: np.ndarray, importance: np.ndarray,
               rounds: int = 200, ridge: float = 1e-4, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Weights on ratio-scaled features and bias, by full gradients with adaptive steps."""
-    columns = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    """Weights on ratio-scaled features and bias, by full gradients with adaptive steps.
+
+    Up to :data:`HELD` blocks of rows stay unpacked; further ones are unpacked anew for every gradient.
+    """
+    held = list(islice(_blocks(rows, len(ratios)), HELD))
+    done = held[-1][0].stop if held else 0
+
+    def blocks():
+        yield from held
+        for part, columns, owner in _blocks(rows[done:], len(ratios)):
+            yield slice(part.start + done, part.stop + done), columns, owner
+
     scale = ratios / max(np.abs(ratios).max(initial=0), 1e-9)
-    values = scale[columns]
     weights, bias = np.zeros(len(ratios)), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     first, second = np.zeros(len(ratios) + 1), np.zeros(len(ratios) + 1)
     for t in range(1, rounds + 1):
-        z = bias + np.bincount(owner, values * weights[columns], len(rows))
-        error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * importance
-        gradient = np.append(np.bincount(columns, values * error[owner], len(ratios)) / len(rows) + ridge * weights, error.mean())
+        total, missed = np.zeros(len(ratios)), 0.0
+        for part, columns, owner in blocks():
+            z = bias + np.bincount(owner, (scale * weights)[columns], part.stop - part.start)
+            error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[part]) * importance[part]
+            total += np.bincount(columns, error[owner], len(ratios))
+            missed += error.sum()
+        gradient = np.append(scale * total / len(rows) + ridge * weights, missed / len(rows))
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient ** 2
         move = rate * (first / (1 - 0.9 ** t)) / (np.sqrt(second / (1 - 0.99 ** t)) + 1e-8)
