@@ -20,6 +20,7 @@ there; only (block, pair) rows are shuffled, never one row per word of a text.
 from __future__ import annotations
 
 import heapq
+import operator
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -308,8 +309,11 @@ def _write_content(doc: np.ndarray, ranks: np.ndarray, times: np.ndarray) -> byt
 
     Numbers are sorted per document and written as gaps in 16 bits, those too large in 32.
     """
-    order = np.lexsort((ranks, doc))
-    doc, ranks, times = doc[order], ranks[order].astype(np.int64), times[order]
+    keys = doc.astype(np.int64) << 32 | ranks       # each occurs once
+    if (keys[1:] < keys[:-1]).any():
+        order = np.argsort(keys)
+        doc, ranks, times = doc[order], ranks[order], times[order]
+    ranks = ranks.astype(np.int64)
     n_own = np.bincount(doc)
     gaps = np.diff(ranks, prepend=0)
     starts = np.cumsum(n_own) - n_own
@@ -570,7 +574,7 @@ class _Batch:
 
     def __init__(self, words: list[bytes], kinds: np.ndarray, counts: np.ndarray):
         self.words, self.kinds, self.counts = words, kinds, counts.astype(np.float64)
-        new = np.fromiter((a != b for a, b in zip(words, [None, *words])), bool, len(words))
+        new = np.fromiter(map(operator.ne, words, [None, *words]), bool, len(words))
         group = np.cumsum(new) - 1
         self.of_word = np.bincount(group, self.counts)[group]
 
@@ -585,24 +589,25 @@ def _word_batches(source: Iterator[pa.RecordBatch]) -> Iterator[_Batch]:
     A batch is full once it has :data:`BATCH_WORDS` rows of training tokens; other rows do not count.
     """
     words: list[bytes] = []
-    places: list = []
-    kinds, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    looked = seen = 0       # rows looked at, and training rows among them
+    kinds, counts, places = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in source:
         new = batch.column(0).to_pylist()
         words += new
-        places += batch.column(3).to_pylist() if batch.num_columns > 3 else [w[:HEAD] for w in new]
+        places = np.concatenate([places, batch.column(3).to_numpy() if batch.num_columns > 3 else np.array([w[:HEAD] for w in new], object)])
         kinds = np.concatenate([kinds, batch.column(1).to_numpy()])
         counts = np.concatenate([counts, batch.column(2).to_numpy()])
-        trained = (counts > 0).tolist()
-        while looked < len(words):
-            if seen >= BATCH_WORDS and places[looked] != places[looked - 1]:
-                yield _Batch(words[:looked], kinds[:looked], counts[:looked])
-                words, places, kinds, counts = words[looked:], places[looked:], kinds[looked:], counts[looked:]
-                trained, looked, seen = trained[looked:], 0, 0
-            else:
-                seen += trained[looked]
-                looked += 1
+        trained = np.concatenate([[0], np.cumsum(counts > 0)])      # rows of training tokens before each row
+        begins = np.flatnonzero(places[1:] != places[:-1]) + 1      # of places, after the first
+        done = 0
+        while True:
+            full = np.searchsorted(trained, trained[done] + BATCH_WORDS)
+            at = np.searchsorted(begins, max(full, done + 1))
+            if at == len(begins):
+                break
+            end = int(begins[at])
+            yield _Batch(words[done:end], kinds[done:end], counts[done:end])
+            done = end
+        words, places, kinds, counts = words[done:], places[done:], kinds[done:], counts[done:]
     if words:
         yield _Batch(words, kinds, counts)
 
@@ -671,22 +676,24 @@ class _Events:
         start = _avalanche(self._starts[table][self.symbol[part]] + np.uint64(1))
         return (start + self.node[part] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
-    def deep_tables(self) -> dict[int, list[np.ndarray]]:
-        """For starts of :data:`HEAD` bytes or more that are not heavy, both bits' counts by slot."""
+    def deep_slots(self) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+        """Events after starts of :data:`HEAD` bytes or more that are not heavy, and their slots."""
         deep = np.flatnonzero(self.deep & ~self.heavy)
-        ones = self.count[deep] * self.bit[deep]
-        return {table: [np.bincount(self.slots(table, deep, BATCH_BITS), weight, 1 << BATCH_BITS) for weight in (self.count[deep] - ones, ones)]
-                for table in (STARTS, STARTS_OF_KIND)}
+        return deep, {table: self.slots(table, deep, BATCH_BITS) for table in (STARTS, STARTS_OF_KIND)}
+
+    def deep_tables(self, deep: np.ndarray, slots: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        """Both bits' counts by slot, as the parts of a complex number, so that they are looked up at once."""
+        count, bit = self.count[deep], self.bit[deep].astype(np.int64)
+        return {table: np.bincount((own.astype(np.int64) << 1) | bit, count, 2 << BATCH_BITS).view(np.complex128) for table, own in slots.items()}
 
     def deep_counts(self, heavy: _HeavyCounts | None = None, tables: dict | None = None) -> dict[int, np.ndarray]:
         """Counts of both bits after the same start of a word, for starts of :data:`HEAD` bytes or more."""
-        deep, found = np.flatnonzero(self.deep & ~self.heavy), {}
+        (deep, slots), found = self.deep_slots(), {}
         crowded = np.flatnonzero(self.heavy)
-        for table, counts in (tables or self.deep_tables()).items():
-            slots = self.slots(table, deep, BATCH_BITS)
+        for table, counts in (tables or self.deep_tables(deep, slots)).items():
             found[table] = np.zeros((2, len(self.bit)), np.float32)
-            for bit in (0, 1):
-                found[table][bit, deep] = counts[bit][slots]
+            both = counts[slots[table]]
+            found[table][0, deep], found[table][1, deep] = both.real, both.imag
             if len(crowded):
                 found[table][:, crowded] = heavy.look_up(table, self.keys(table, crowded))
         return found
@@ -771,12 +778,17 @@ class _Odds:
                 x[t] = np.where(is_deep, _log_odds(zeros, ones), x[t])
                 total = np.where(is_deep, zeros + ones, self.total[pair])
                 if t == STARTS:
-                    of_all = np.searchsorted([0.5, 8, 100], total)
-        of_kind = np.searchsorted([0.5, 2.5, 10, 50, 500], total)
+                    of_all = _over(total, (0.5, 8, 100))
+        of_kind = _over(total, (0.5, 2.5, 10, 50, 500))
         sure = np.where(is_deep, (zeros < 0.5) | (ones < 0.5), self.sure[pair])
         return x, (of_kind * 4 + of_all) * 2 + sure
 
 
+def _over(values: np.ndarray, bounds: tuple[float, ...]) -> np.ndarray:
+    """How many of a few bounds each value is over."""
+    return sum((values > bound).astype(np.int64) for bound in bounds)
+
+
 def _log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.log((ones + SEEN_SOME) / (zeros + SEEN_SOME))
 
@@ -827,7 +839,7 @@ def _learn(model: dict):
 
 
 def _weighted(x: np.ndarray, weights: np.ndarray, gate: np.ndarray) -> np.ndarray:
-    return sum(row * weights[gate, k] for k, row in enumerate(x))
+    return sum(row * own[gate] for row, own in zip(x, np.ascontiguousarray(weights.T)))
 
 
 def _odds_to_share(z: np.ndarray) -> np.ndarray:
@@ -922,7 +934,8 @@ def _word_scores(model: dict):
         for batch in _word_batches(source):
             tables, n = None, len(batch.words)
             if n > MOST_WORDS:          # rows of held-out words, whatever their number, are taken in turn
-                tables = _Events(batch.rows(np.flatnonzero(batch.counts > 0)), model["code"], heavy.starts).deep_tables()
+                learnt = _Events(batch.rows(np.flatnonzero(batch.counts > 0)), model["code"], heavy.starts)
+                tables = learnt.deep_tables(*learnt.deep_slots())
             for first in range(0, n, MOST_WORDS):
                 rows = np.arange(first, min(n, first + MOST_WORDS))
                 some = batch if n <= MOST_WORDS else batch.rows(rows)
