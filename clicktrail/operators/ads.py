@@ -64,6 +64,15 @@ def observe_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def parse_observed_ads_log(lines: DataFrame) -> DataFrame:
+    """The clicks of :func:`parse_ads_log`, with the metrics of :func:`observe_lines`, from one
+    look at each line."""
+    parsed = lines.select(F.inline(_parsed())).observe(
+        "ads_log", F.count(F.lit(1)).alias("lines"), F.count_if(F.col("epoch").isNull()).alias("rejected")
+    )
+    return parsed.where(F.col("epoch").isNotNull()).select(F.timestamp_millis("epoch").alias("ts"), *CLICK_COLUMNS[1:])
+
+
 def click_buckets(clicks: DataFrame, seconds: int = 5) -> DataFrame:
     """Add ``bucket``, the number of the batch interval a click falls into."""
     return clicks.withColumn("bucket", F.floor(F.unix_seconds("ts") / F.lit(seconds)))

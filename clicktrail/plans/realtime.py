@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from clicktrail.operators.ads import observe_lines, parse_ads_log
+from clicktrail.operators.ads import parse_observed_ads_log
 from clicktrail.session import configure
 from clicktrail.streaming.buckets import ArrivalBuckets
 from clicktrail.streaming.counts import RunningCounts
@@ -43,8 +43,7 @@ class RealtimeAds:
 
     def start_guard(self, lines: DataFrame, trigger: dict | None = None) -> StreamingQuery:
         """Guard over log lines; each trigger is one batch of the flagging rule."""
-        clicks = parse_ads_log(observe_lines(lines))
-        return self.guard.start(clicks, f"{self.root}/checkpoints/guard", trigger)
+        return self.guard.start(parse_observed_ads_log(lines), f"{self.root}/checkpoints/guard", trigger)
 
     def start_counts(
         self, clicks: DataFrame | None = None, trigger: dict | None = None,

@@ -49,8 +49,15 @@ class BatchFolders:
 
     def publish_rows(self, df: DataFrame, batch_id: int) -> None:
         """As :meth:`publish`, but without rows there is no folder either."""
-        if not self.has(batch_id) and not df.isEmpty():
-            self.publish(df, batch_id)
+        if self.has(batch_id):
+            return
+        df = df.persist()       # looked at and written, computed once
+        try:
+            if not df.isEmpty():
+                # few rows are few files under adaptive execution
+                self.publish(df.hint("rebalance"), batch_id)
+        finally:
+            df.unpersist()
 
     def read(self, before: int | None = None) -> DataFrame:
         """Rows of all batches, or of those below ``before``, with their ``batch_id``."""

@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from clicktrail.functions import day_label
-from clicktrail.operators.ads import CLICK_COLUMNS, drop_users
+from clicktrail.operators.ads import CLICK_COLUMNS
 from clicktrail.schemas import ADS_CLICK
+from clicktrail.session import adaptive
 from clicktrail.streaming.batches import BatchFolders
 from clicktrail.streaming.counts import running_day_counts
 
@@ -56,25 +57,38 @@ class ClickGuard:
     def step(self, rows: DataFrame, batch_id: int) -> None:
         """Handle one batch of :meth:`with_totals`."""
         rows = rows.persist()
+        counts = self._counts(rows)
         try:
-            rows.count()        # a replay that finds all published has to compute the totals, too
-            flagged = self.blacklist.read(before=batch_id).select("user_id").distinct()
-            out = flagged if self.listed is None else flagged.union(self.listed().select("user_id")).distinct()
-            self.clean.publish(drop_users(rows.where("total is null").select(*CLICK_COLUMNS), out), batch_id)
-            over = self._prior(rows, flagged, batch_id).where(F.col("prior") > self.threshold)
-            users = over.select("user_id").distinct().join(flagged, "user_id", "left_anti").persist()
-            self.blacklist.publish_rows(users.select("user_id", F.lit(batch_id).cast("bigint").alias("flag_batch")), batch_id)
-            users.unpersist()
+            with adaptive(rows.sparkSession):
+                rows.count()        # a replay that finds all published has to compute the totals, too
+                flagged = self.blacklist.read(before=batch_id).select("user_id")
+                self.clean.publish(self._kept(rows, flagged), batch_id)
+                if self.listed is not None:
+                    counts = counts.persist()       # what is dropped and who is flagged
+                over = self._prior(counts, flagged, batch_id).where(F.col("prior") > self.threshold)
+                users = over.select("user_id").distinct().join(flagged, "user_id", "left_anti")
+                self.blacklist.publish_rows(users.select("user_id", F.lit(batch_id).cast("bigint").alias("flag_batch")), batch_id)
         finally:
+            counts.unpersist()
             rows.unpersist()
 
-    def _prior(self, rows: DataFrame, flagged: DataFrame, batch_id: int) -> DataFrame:
-        """Kept clicks before this batch, of the keys with clicks kept in it."""
+    def _kept(self, rows: DataFrame, flagged: DataFrame) -> DataFrame:
+        """The clicks of users that are not listed. The lists, which may be long, are not repeated:
+        adaptive execution splits the clicks of a frequent user."""
+        out = flagged if self.listed is None else flagged.union(self.listed().select("user_id"))
+        return rows.where("total is null").select(*CLICK_COLUMNS).join(out, "user_id", "left_anti").select(*CLICK_COLUMNS)
+
+    def _counts(self, rows: DataFrame) -> DataFrame:
+        """The keys of the batch, with their clicks in it (``n``) and up to its end (``total``)."""
         keyed = rows.select("user_id", "ads_id", F.coalesce("day", day_label(F.col("ts"))).alias("day"), "total")
-        counts = keyed.groupBy(*KEYS).agg(F.max("total").alias("total"), F.count_if(F.col("total").isNull()).alias("n"))
+        return keyed.groupBy(*KEYS).agg(F.max("total").alias("total"), F.count_if(F.col("total").isNull()).alias("n"))
+
+    def _prior(self, counts: DataFrame, flagged: DataFrame, batch_id: int) -> DataFrame:
+        """Kept clicks before this batch, of the keys with clicks kept in it."""
         if self.listed is not None:
             counts = self._heard(counts, flagged, batch_id)
         prior = F.col("total") - F.col("n")
+        counts = counts.where(prior > self.threshold)       # clicks taken off only lower it
         if self.dropped.complete():
             before = self.dropped.read(before=batch_id).groupBy(*KEYS).agg(F.sum("n").alias("gone"))
             counts, prior = counts.join(before, KEYS, "left"), prior - F.coalesce("gone", F.lit(0))

@@ -328,3 +328,44 @@ def test_delay_closes_old_days_only(spark, root):
             running.awaitTermination()
     got = {(r.day, r.ads_id): r.click_count for r in app.area_city_ads_day_count().collect()}
     assert got == {("2024-01-01", "1"): 1, ("2024-01-06", "1"): 2, ("2024-01-06", "2"): 1}
+
+
+def test_a_long_list_is_joined_as_it_is_under_adaptive_execution(spark, root, monkeypatch):
+    """A list of others is as long as it is, not once per part of the clicks, and steps are not
+    held to the number of state partitions."""
+    deliver(spark, clicks(spark, [(i, f"u{i}", "x") for i in range(20)]), root)
+    app = RealtimeAds(spark, root, listed=lambda: spark.createDataFrame([("u1",)], "user_id string"))
+    seen, publish = [], app.guard.clean.publish
+
+    def look(df, batch_id):
+        seen.append((df._jdf.queryExecution().analyzed().toString(), df.sparkSession.conf.get("spark.sql.adaptive.enabled")))
+        publish(df, batch_id)
+
+    monkeypatch.setattr(app.guard.clean, "publish", look)
+    app.start_guard(file_lines(spark, f"{root}/log"), NOW).awaitTermination()
+    ((text, adaptive),) = seen
+    assert "explode" not in text and adaptive == "true"
+    assert len(kept(app)) == 19
+
+
+def test_few_published_rows_are_few_files(spark, root):
+    folders = BatchFolders(spark, root, PAIR)
+    folders.publish_rows(pairs(spark, a=1, b=2, c=3, d=4).repartition(4), 0)
+    assert folders.batch(0).count() == 4
+    assert len(list(Path(folders.path(0)).glob("*.parquet"))) == 1
+
+
+def test_a_restart_opens_the_state_and_does_not_replay_it(spark, root):
+    for _ in range(2):
+        deliver(spark, clicks(spark, [(i, f"u{i}", "x") for i in range(20)]), root)
+        start_guard(spark, root)
+    state = list(Path(f"{root}/checkpoints/guard/state").rglob("*"))
+    assert any(f.suffix == ".zip" for f in state) and not any(f.suffix == ".changelog" for f in state)
+
+
+def test_a_line_is_parsed_once_for_the_click_and_the_metrics(spark):
+    lines = spark.createDataFrame([("1704103200123 n c 7 2",), ("oops",), (None,)], "value STRING")
+    frame = op.ads.parse_observed_ads_log(lines)
+    text = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("split(") == 1
+    assert [tuple(r) for r in frame.collect()] == [tuple(r) for r in op.parse_ads_log(lines).collect()]
