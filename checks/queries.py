@@ -356,10 +356,13 @@ def _guarded(spark, sf_dir, *counted: str, external: bool = False) -> RealtimeAd
     root = work_folder(spark, "stream")
     lines = views.ads_lines(spark, sf_dir)
     hour = F.hour(F.timestamp_millis(F.split("value", " ")[0].cast("bigint")))
+    # all lines are made once, laid out by delivery
+    lines.withColumn("part", F.floor(hour * ARRIVALS / 24)).write.partitionBy("part").parquet(f"{root}/deliveries")
+    deliveries = spark.read.schema("value string, part bigint").parquet(f"{root}/deliveries")
     users = views.user_info(spark, sf_dir).select(F.col("user_id").cast("string").alias("user_id"))
     listed = (lambda: spark.read.parquet(f"{root}/listed")) if external else None
     for part in range(ARRIVALS):
-        delivered = lines.where(F.floor(hour * ARRIVALS / 24) == part)
+        delivered = deliveries.where(F.col("part") == part).select("value")
         delivered.write.mode("append").text(f"{root}/ads_log")
         if external:
             users.where(F.col("user_id").cast("bigint") % 7 == part).write.mode("overwrite").parquet(f"{root}/listed")

@@ -3,8 +3,10 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from checks import views
 from checks.compare import compare, duck
 from checks.oracle import ORACLE
 from checks.queries import REGISTRY
@@ -42,3 +44,17 @@ def test_entry_works_without_the_training_data_part():
             "from checks.queries import REGISTRY; assert set(e.queries()) == set(REGISTRY) == set(e.oracle_sql())")
     root = Path(__file__).resolve().parents[1]
     assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
+
+
+def test_deliveries_of_a_stream_make_each_line_once(spark, sf_dir, monkeypatch):
+    calls, lines = spark.sparkContext.accumulator(0), views.ads_lines
+
+    def counted(value):
+        calls.add(1)
+        return value
+
+    monkeypatch.setattr(views, "ads_lines", lambda *args: lines(*args).select(F.udf(counted, "string")("value").alias("value")))
+    n = lines(spark, sf_dir).count()
+    REGISTRY["stream_last_hour_ads_minutes"](spark, sf_dir).collect()
+    # at most once for the line and once for its hour
+    assert n <= calls.value <= 2 * n
