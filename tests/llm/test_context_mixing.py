@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +235,38 @@ def test_words_in_another_order_score_lower(spark):
     forth, back = (np.array([got[first + i].score for i in range(20)]) for first in (1000, 2000))
     assert (forth > back + 5).all()
     assert all(got[1000 + i].base_score == pytest.approx(got[2000 + i].base_score) for i in range(20))
+
+
+def test_slots_are_hashed_once_for_the_counts_of_a_batch(monkeypatch):
+    words = [b"abcdefgh", b"abcdefgi", b"abcdxyz"]
+    code = cm.binary_code(np.ones(256))
+    events = cm._Events(cm._Batch(words, np.zeros(3, np.int64), np.array([3, 2, 1])), code)
+    calls, slots = [], cm._Events.slots
+    monkeypatch.setattr(cm._Events, "slots", lambda *args: (calls.append(args[1]), slots(*args))[1])
+    found = events.deep_counts()
+    assert calls == [cm.STARTS, cm.STARTS_OF_KIND]
+    # the fifth byte, after "abcd": what follows is counted by word, with each word's occurrences
+    deep = np.flatnonzero(events.deep)
+    for table in found:
+        own = slots(events, table, deep, cm.BATCH_BITS)
+        for bit in (0, 1):
+            want = [events.count[deep][(own == s) & (events.bit[deep] == bit)].sum() for s in own]
+            assert found[table][bit, deep].tolist() == want
+
+
+def test_batches_are_cut_where_the_place_changes_once_full(monkeypatch):
+    monkeypatch.setattr(cm, "BATCH_WORDS", 5)
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        n = int(rng.integers(1, 60))
+        places, counts = np.sort(rng.integers(0, 12, n)), rng.integers(0, 2, n)
+        words = [b"%03d" % i for i in range(n)]
+        want, first, seen = [], 0, 0
+        for i in range(n):
+            if seen >= 5 and places[i] != places[i - 1]:
+                want.append(words[first:i])
+                first, seen = i, 0
+            seen += counts[i] > 0
+        want.append(words[first:])
+        table = pa.table({"word": pa.array(words, pa.binary()), "kind": np.zeros(n, np.int64), "c": counts, "place": places})
+        assert [b.words for b in cm._word_batches(iter(table.to_batches(max_chunksize=int(rng.integers(1, 20)))))] == want
